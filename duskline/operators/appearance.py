@@ -53,29 +53,33 @@ def rank_similarity(probes: DataFrame, candidates: DataFrame, min_similarity: fl
     cb = spread(c, "_cb", "_pb", "_nc", "_np").select(
         *GROUP, "_pb", "_cb", "observation_id", "timestamp_ms", "source_id", "vals")
     keys = [*GROUP, "_pb", "_cb"]
+    # Fresh names on the right: both sides may come from one table.
+    cb = cb.select(*[F.col(k).alias("r" + k) for k in keys], *[c for c in cb.columns if c not in keys])
+    cb = cb.select(*[F.col(c).alias(c if c.startswith("r") else "c_" + c) for c in cb.columns])
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            right = right.sort_values(["timestamp_ms", "source_id", "observation_id"])
-            a, b = np.stack(left["vals"].to_numpy()), np.stack(right["vals"].to_numpy())
-            ids, cids = left["observation_id"].to_numpy(), right["observation_id"].to_numpy()
+            right = right.sort_values(["c_timestamp_ms", "c_source_id", "c_observation_id"])
+            a, b = np.stack(left["vals"].to_numpy()), np.stack(right["c_vals"].to_numpy())
+            ids, cids = left["observation_id"].to_numpy(), right["c_observation_id"].to_numpy()
+            dims = np.ascontiguousarray(b.T)
             for row, pid in zip(a, ids):
                 acc = np.zeros(len(b))
-                for d in range(b.shape[1]):
-                    acc += np.minimum(row[d], b[:, d])
+                for value, column in zip(row, dims):
+                    acc += np.minimum(value, column)
                 acc = np.where((acc > 1.0) & (np.abs(acc - 1.0) <= TOLERANCE), 1.0, acc)
                 keep = np.flatnonzero(((acc >= min_similarity) | (np.abs(acc - min_similarity) <= TOLERANCE))
                                       & (cids != pid))
                 best = keep[np.argsort(-acc[keep], kind="stable")[:limit]]
                 out.append(pd.DataFrame({
                     "probe_id": pid, "candidate_id": cids[best], "similarity": acc[best],
-                    "timestamp_ms": right["timestamp_ms"].to_numpy()[best],
-                    "source_id": right["source_id"].to_numpy()[best]}))
+                    "timestamp_ms": right["c_timestamp_ms"].to_numpy()[best],
+                    "source_id": right["c_source_id"].to_numpy()[best]}))
         return pd.concat(out) if out else pd.DataFrame(
             {"probe_id": [], "candidate_id": [], "similarity": [], "timestamp_ms": [], "source_id": []})
 
-    pairs = pb.groupBy(*keys).cogroup(cb.groupBy(*keys)).applyInPandas(
+    pairs = pb.groupBy(*keys).cogroup(cb.groupBy(*["r" + k for k in keys])).applyInPandas(
         score, "probe_id string, candidate_id string, similarity double, timestamp_ms long, source_id string")
     return rank_limit(
         pairs, ["probe_id"],

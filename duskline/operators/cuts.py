@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import BUCKET
+from .scale import BUCKET, Columns, map_sorted_groups
 
 NO_LIMIT = 2**62
 
@@ -54,13 +54,6 @@ def _segment_end(ts: np.ndarray, src: np.ndarray, start: int, rules: CutRules) -
     return stop
 
 
-def _ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, int]:
-    pdf = pdf.sort_values(["_ts", "_src", "_id"], kind="stable")
-    ts = pdf["_ts"].to_numpy(dtype=np.int64)
-    src = pd.factorize(pdf["_src"])[0]
-    return pdf, ts, src, int((pdf["_own"].to_numpy()).sum())
-
-
 def greedy_segments(df: DataFrame, keys: Sequence[str], ts: str, source: str, row_id: str,
                     rules: CutRules) -> DataFrame:
     """(keys, row_id, ts, source, segment_id, segment_start_ms) for every row; segment_id is its first row's id."""
@@ -71,16 +64,18 @@ def greedy_segments(df: DataFrame, keys: Sequence[str], ts: str, source: str, ro
     borrowed = F.col("_ts") - own * F.lit(size) <= rules.max_span_ms
     spread = rows.withColumn(BUCKET, F.explode(F.when(borrowed, F.array(own, own - 1)).otherwise(F.array(own))))
     spread = spread.withColumn("_own", F.floor(F.col("_ts") / F.lit(size)).cast("long") == F.col(BUCKET))
-    part = [*keys, BUCKET]
+    part, order = [*keys, BUCKET], ["_ts", "_src", "_id"]
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
 
-    def exits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, t, s, n = _ordered(pdf)
-        if n == 0:
-            return pd.DataFrame({**{k: [v] for k, v in zip(part, key)}, "_n": [0], "_exits": [[0]]})
-        reach = int(np.searchsorted(t[:n], key[-1] * size + rules.max_span_ms, side="right"))
-        if rules.max_rows < NO_LIMIT:
-            reach = min(reach, rules.max_rows)
+    def arrays(cols: Columns) -> tuple[np.ndarray, np.ndarray, int]:
+        return cols["_ts"].astype(np.int64), pd.factorize(cols["_src"])[0], int(cols["_own"].sum())
+
+    def exits(cols: Columns) -> Columns | None:
+        t, s, n = arrays(cols)
+        if n == 0:  # only borrowed rows: no segment starts here
+            return None
+        reach = int(np.searchsorted(t[:n], int(cols[BUCKET][0]) * size + rules.max_span_ms, side="right"))
+        reach = min(reach, rules.max_rows)
         known: dict[int, int] = {}
         for entry in range(min(reach, n - 1), -1, -1):
             path, at = [], entry
@@ -88,41 +83,34 @@ def greedy_segments(df: DataFrame, keys: Sequence[str], ts: str, source: str, ro
                 path.append(at)
                 at = _segment_end(t, s, at, rules)
             out = known[at] if at < n else at - n
-            for q in path:
-                known[q] = out
-        table = [known.get(e, 0) for e in range(reach + 1)]
-        return pd.DataFrame({**{k: [v] for k, v in zip(part, key)}, "_n": [n], "_exits": [table]})
+            known.update((q, out) for q in path)
+        table = np.empty(1, dtype=object)
+        table[0] = [known.get(e, 0) for e in range(reach + 1)]
+        return {**{k: cols[k][:1] for k in part}, "_exits": table}
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BUCKET)
+    def chain(cols: Columns) -> Columns:
         entries, last, carry = [], None, 0
-        for b, table in zip(pdf[BUCKET], pdf["_exits"]):
+        for b, table in zip(cols[BUCKET].tolist(), cols["_exits"]):
             at = carry if last is not None and b == last + 1 else 0
             entries.append(at)
             carry, last = int(table[at]), b
-        return pdf[list(part)].assign(_entry=entries)
+        return {**{k: cols[k] for k in part}, "_entry": np.array(entries, dtype=np.int64)}
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = int(pdf["_entry"].iloc[0])
-        pdf, t, s, n = _ordered(pdf)
-        seg = np.full(len(t), -1)
+    def cut(cols: Columns) -> Columns | None:
+        t, s, n = arrays(cols)
+        at, seg = int(cols["_entry"][0]), np.full(len(t), -1)
         while at < n:
             end = _segment_end(t, s, at, rules)
             seg[at:end] = at
             at = end
         taken = seg >= 0
-        ids, head = pdf["_id"].to_numpy(), seg[taken]
-        out = pdf.loc[taken, [*keys, "_id", "_ts", "_src"]].copy()
-        out["segment_id"], out["segment_start_ms"] = ids[head], t[head]
-        return out
-
-    # A bucket that only holds borrowed rows starts no segment and is skipped.
-    per_bucket = (
-        spread.groupBy(*part).applyInPandas(exits, f"{key_schema}, {BUCKET} long, _n long, _exits array<int>")
-        .filter("_n > 0").select(*part, "_exits"))
-    entries = per_bucket.groupBy(*keys).applyInPandas(chain, f"{key_schema}, {BUCKET} long, _entry long")
-    return (
-        spread.join(entries, part).groupBy(*part)
-        .applyInPandas(cut, f"{key_schema}, _id string, _ts long, _src string, segment_id string, "
-                            "segment_start_ms long")
-        .withColumnsRenamed({"_id": row_id, "_ts": ts, "_src": source}))
+        head = seg[taken]
+        return {**{k: cols[k][taken] for k in [*keys, "_id", "_ts", "_src"]},
+                "segment_id": cols["_id"][head], "segment_start_ms": t[head]}
+
+    per_bucket = map_sorted_groups(spread, part, order, exits, f"{key_schema}, {BUCKET} long, _exits array<int>")
+    entries = map_sorted_groups(per_bucket, keys, [BUCKET], chain, f"{key_schema}, {BUCKET} long, _entry long")
+    return map_sorted_groups(
+        spread.join(entries, part), part, order, cut,
+        f"{key_schema}, _id string, _ts long, _src string, segment_id string, segment_start_ms long",
+    ).withColumnsRenamed({"_id": row_id, "_ts": ts, "_src": source})

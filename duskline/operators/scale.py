@@ -7,8 +7,10 @@ look-back is bounded) or through a table with one row per bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +67,58 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: C
             F.lit(0)).alias("_base"),
     )
     return local.join(base, part).withColumn(out, F.col("_base") + F.col("_local")).drop("_base", "_local", BUCKET)
+
+
+Columns = dict[str, np.ndarray]
+
+
+def map_sorted_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                      fn: Callable[[Columns], Columns | None], schema: str) -> DataFrame:
+    """Apply ``fn`` to the rows of every key, in order, as numpy columns.
+
+    Like a grouped map, but a task streams through its sorted partition and hands over array slices, so many small
+    groups cost little. Only one group is held at a time; callers keep groups bounded.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys, names = list(keys), list(df.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        held_key: tuple | None = None
+        ready: list[Columns] = []
+
+        def close() -> None:
+            cols = {n: np.concatenate([h[n].to_numpy() for h in held]) for n in names}
+            out = fn(cols)
+            if out is not None:
+                ready.append(out)
+            held.clear()
+
+        def flush() -> pd.DataFrame:
+            frame = pd.DataFrame({n: np.concatenate([r[n] for r in ready]) for n in ready[0]})
+            ready.clear()
+            return frame
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ks = [pdf[k].to_numpy() for k in keys]
+            change = np.zeros(len(pdf), dtype=bool)
+            for k in ks:
+                change[1:] |= k[1:] != k[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), len(pdf)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                key = tuple(k[a] for k in ks)
+                if held and key != held_key:
+                    close()
+                held.append(pdf.iloc[a:b])
+                held_key = key
+            if ready:
+                yield flush()
+        if held:
+            close()
+        if ready:
+            yield flush()
+
+    return (df.repartition(parts, *keys).sortWithinPartitions(*keys, *[o for o in order if o not in keys])
+            .mapInPandas(run, schema))

@@ -153,7 +153,7 @@ def cte(names: str, body: str) -> str:
             parts.append(f"{n} as ({_DERIVED[n][1]})")
             continue
         source, ms, cols, where = _VIEWS[n]
-        picks = ", ".join(f"{e.replace('{ms}', f'epoch_ms({ms})')} as {c}" for c, e in cols.items())
+        picks = ", ".join(f"{e.replace('{ms}', f'(epoch_us({ms}) // 1000)')} as {c}" for c, e in cols.items())
         parts.append(f"{n} as (select {picks} from {source}{' where ' + where if where else ''})")
     head = "with recursive " + ",\n".join(parts) if parts else ""
     body = body.strip()
