@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("persistence", "search")
+MODULES = ("persistence", "search", "detections")
 
 
 def load_all() -> None:
