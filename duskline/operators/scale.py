@@ -73,23 +73,26 @@ Columns = dict[str, np.ndarray]
 
 
 def map_sorted_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                      fn: Callable[[Columns], Columns | None], schema: str) -> DataFrame:
+                      fn: Callable[[Columns], Columns | None], schema: str,
+                      spread_by: Sequence[str] | None = None) -> DataFrame:
     """Apply ``fn`` to the rows of every key, in order, as numpy columns.
 
     Like a grouped map, but a task streams through its sorted partition and hands over array slices, so many small
-    groups cost little. Only one group is held at a time; callers keep groups bounded.
+    groups cost little. Only one group is held at a time; callers keep groups bounded. ``spread_by`` (a prefix of
+    ``keys``) keeps groups sharing it in one task, visited in key order; ``fn`` is then a factory called per task.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys, names = list(keys), list(df.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = fn() if spread_by is not None else fn
         held: list[pd.DataFrame] = []
         held_key: tuple | None = None
         ready: list[Columns] = []
 
         def close() -> None:
             cols = {n: np.concatenate([h[n].to_numpy() for h in held]) for n in names}
-            out = fn(cols)
+            out = call(cols)
             if out is not None:
                 ready.append(out)
             held.clear()
@@ -120,5 +123,26 @@ def map_sorted_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         if ready:
             yield flush()
 
-    return (df.repartition(parts, *keys).sortWithinPartitions(*keys, *[o for o in order if o not in keys])
+    return (df.repartition(parts, *(spread_by or keys)).sortWithinPartitions(*keys, *[o for o in order if o not in keys])
             .mapInPandas(run, schema))
+
+
+def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, out: str, bucket: int) -> DataFrame:
+    """Label each interval with the start of its chain of touching intervals, and the latest end before it.
+
+    The running maximum is taken inside buckets of ``start`` and carried between them through one row per bucket, so
+    a busy key is not one window. Adds ``out`` and ``_before`` (NULL for the first interval of a key).
+    """
+    part = [*keys, BUCKET]
+    b = df.withColumn(BUCKET, F.floor(F.col(start) / F.lit(bucket)).cast("long"))
+    w = Window.partitionBy(*part).orderBy(start, end)
+    across = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    ends = b.groupBy(*part).agg(F.max(end).alias("_m")).select(*part, F.max("_m").over(across).alias("_carry"))
+    b = b.join(ends, part).withColumn(
+        "_before", F.greatest(F.col("_carry"), F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    opens = F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), F.col(start))
+    b = b.withColumn("_open", opens)
+    heads = b.groupBy(*part).agg(F.max("_open").alias("_o")).select(*part, F.max("_o").over(across).alias("_last"))
+    inner = F.max("_open").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return b.withColumn("_in", inner).join(heads, part).withColumn(
+        out, F.coalesce(F.col("_in"), F.col("_last"))).drop(BUCKET, "_carry", "_open", "_in", "_last")

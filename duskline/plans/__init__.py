@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("persistence", "search", "detections")
+MODULES = ("persistence", "search", "detections", "tracking")
 
 
 def load_all() -> None:

@@ -15,7 +15,8 @@ _BOX = {
     "session_id": "'s0'",
     "frame_index": "l_orderkey",
     "timestamp_ms": "l_orderkey * 40",
-    "det_ordinal": "cast(l_linenumber as bigint) * 1000000000000 + l_partkey * 100000 + l_suppkey",
+    "det_ordinal": "cast(l_linenumber as bigint) * 10000000000000 + l_partkey * 10000000 + l_suppkey * 100"
+                   " + cast(l_quantity as bigint)",
     "category": "l_returnflag",
     "confidence": "cast(30 + (cast(l_quantity as bigint) % 7) * 10 as double) / 100",
     "x_min": "cast((l_partkey * 37) % 800 as double) / 1000",
