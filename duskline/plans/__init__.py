@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("persistence", "search", "detections", "tracking")
+MODULES = ("persistence", "search", "detections", "tracking", "diagnostics")
 
 
 def load_all() -> None:
