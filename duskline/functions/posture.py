@@ -1,6 +1,7 @@
 """Posture rules over the shoulder and hip joints of a pose, as Column expressions.
 
-``joints`` is a ``map<string, struct<x, y, confidence>>``; the pose box is a tuple of four Columns.
+``joints`` is a ``map<string, struct<x, y, confidence>>`` Column, or a dict with one struct Column per joint (faster:
+no lookups). The pose box is a tuple of four Columns.
 """
 
 from __future__ import annotations
@@ -37,7 +38,12 @@ def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.lit(float(v))
 
 
-def _parts(joints: Column) -> list[Column]:
+Joints = Column | dict[str, Column]
+
+
+def _parts(joints: Joints) -> list[Column]:
+    if isinstance(joints, dict):
+        return [joints[name] for name in REQUIRED]
     return [F.try_element_at(joints, F.lit(name)) for name in REQUIRED]
 
 
@@ -45,11 +51,11 @@ def _lowest(points: list[Column]) -> Column:
     return F.least(*[p["confidence"] for p in points])
 
 
-def required_present(joints: Column) -> Column:
+def required_present(joints: Joints) -> Column:
     return sum((p.isNotNull().cast("int") for p in _parts(joints)), F.lit(0))
 
 
-def pose_metrics(joints: Column, b: Box) -> dict[str, Column]:
+def pose_metrics(joints: Joints, b: Box) -> dict[str, Column]:
     """Torso and aspect measurements; NULL where a joint is missing or a length is zero."""
     ls, rs, lh, rh = pts = _parts(joints)
     dx = (lh["x"] + rh["x"]) / 2.0 - (ls["x"] + rs["x"]) / 2.0
@@ -82,7 +88,7 @@ def _result(posture: str, basis: str, confidence: Column) -> Column:
                     F.lit(basis).alias("basis"))
 
 
-def classify(pose_confidence: Column, joints: Column, b: Box, cfg: PostureConfig = PostureConfig()) -> Column:
+def classify(pose_confidence: Column, joints: Joints, b: Box, cfg: PostureConfig = PostureConfig()) -> Column:
     """Four-joint posture: struct<posture, confidence, basis>."""
     ls, rs, lh, rh = pts = _parts(joints)
     low = _lowest(pts)
@@ -105,7 +111,7 @@ def classify(pose_confidence: Column, joints: Column, b: Box, cfg: PostureConfig
     )
 
 
-def three_joint(joints: Column, b: Box, cfg: PostureConfig = DECODED) -> Column:
+def three_joint(joints: Joints, b: Box, cfg: PostureConfig = DECODED) -> Column:
     """Posture from the complete body side when exactly one of the four joints is absent."""
     ls, rs, lh, rh = pts = _parts(joints)
     left, right = ls.isNotNull() & lh.isNotNull(), rs.isNotNull() & rh.isNotNull()
@@ -129,7 +135,7 @@ def three_joint(joints: Column, b: Box, cfg: PostureConfig = DECODED) -> Column:
     )
 
 
-def corrected(pose_confidence: Column, joints: Column, b: Box, cfg: PostureConfig = DECODED) -> Column:
+def corrected(pose_confidence: Column, joints: Joints, b: Box, cfg: PostureConfig = DECODED) -> Column:
     """Four-joint posture, then the three-joint rule where exactly three joints left it unknown.
 
     A NULL box stands for a frame with no associated pose.
@@ -149,7 +155,7 @@ def corrected(pose_confidence: Column, joints: Column, b: Box, cfg: PostureConfi
     )
 
 
-def bounded(pose_confidence: Column, joints: Column, b: Box, cfg: PostureConfig = DECODED) -> Column:
+def bounded(pose_confidence: Column, joints: Joints, b: Box, cfg: PostureConfig = DECODED) -> Column:
     """``corrected`` with a near-45-degree undecided torso reported as unknown."""
     c = corrected(pose_confidence, joints, b, cfg)
     m = pose_metrics(joints, b)

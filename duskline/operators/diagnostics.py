@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import posture as ps
 from ..functions.geometry import Box
+from .poses import joints
 from .persistence import PersistenceConfig
 from .scale import BUCKET
 
@@ -154,7 +155,7 @@ def posture_sensitivity(poses: DataFrame, group: Sequence[str], box: Box) -> Dat
                                for p in POSE_FLOORS for k in KEYPOINT_FLOORS]))
     cfg = ps.PostureConfig(min_pose_confidence=F.col("g.p"), min_keypoint_confidence=F.col("g.k"))
     g = poses.withColumn("g", grid).withColumn(
-        "posture", ps.classify(F.col("pose_confidence"), F.col("joint_map"), box, cfg)["posture"])
+        "posture", ps.classify(F.col("pose_confidence"), joints(), box, cfg)["posture"])
     return g.groupBy(*group, F.col("g.p").alias("pose_floor"), F.col("g.k").alias("keypoint_floor"), "posture").agg(
         F.count(F.lit(1)).alias("n"))
 
@@ -183,8 +184,8 @@ def posture_quality(poses: DataFrame, group: Sequence[str], box: Box) -> DataFra
     Feed the result to ``long_counts`` / ``long_stats``.
     """
     one = F.lit(1.0)
-    base = ps.classify(one, F.col("joint_map"), box, ps.DECODED)
-    alt = ps.three_joint(F.col("joint_map"), box)
+    base = ps.classify(one, joints(), box, ps.DECODED)
+    alt = ps.three_joint(joints(), box)
     unknown = base["posture"] == "unknown"
     tried = unknown & (F.col("required_points") == 3)
     took = tried & alt["posture"].isin("upright", "down")
@@ -194,7 +195,7 @@ def posture_quality(poses: DataFrame, group: Sequence[str], box: Box) -> DataFra
         "three_joint_result": F.when(tried, alt["posture"]), "three_joint_basis": F.when(tried, alt["basis"]),
         "three_joint_accepted": F.when(tried, took),
         "corrected_posture": F.when(took, alt["posture"]).otherwise(base["posture"]),
-        **ps.pose_metrics(F.col("joint_map"), box)})
+        **ps.pose_metrics(joints(), box)})
 
 
 # Temporal trace -------------------------------------------------------------------------------------------------------

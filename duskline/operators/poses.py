@@ -23,71 +23,63 @@ def _sel() -> Box:
     return tuple(F.col(c) for c in SEL)  # type: ignore[return-value]
 
 
-def _mapped(clip: bool) -> Column:
-    """Array of struct<i, x, y, confidence> in source pixels; joints without confidence are gone."""
-    sx = F.col("frame_w") / F.col("resized_w") * STRIDE
-    sy = F.col("frame_h") / F.col("resized_h") * STRIDE
+def joints() -> dict[str, Column]:
+    """The four required joints of a candidate row: struct<x, y, confidence>, NULL when absent."""
+    return {name: F.col("j_" + name) for name in REQUIRED_INDEX.values()}
 
-    def place(v: Column, scale: Column, extent: str) -> Column:
-        p = v * scale
-        return F.least(F.col(extent).cast("double"), F.greatest(F.lit(0.0), p)) if clip else p
-
-    return F.filter(
-        F.transform(F.slice("joints", 1, JOINTS), lambda j, i: F.struct(
-            i.alias("i"), place(j["x"], sx, "frame_w").alias("x"), place(j["y"], sy, "frame_h").alias("y"),
-            F.least(F.lit(1.0), j["confidence"]).alias("confidence"))),
-        lambda j: j["confidence"] > 0)
 
+def _points(poses: DataFrame, clip: bool) -> DataFrame:
+    """One row per valid joint, placed in source pixels, with ``_inside`` for the selected box."""
+    def place(c: str, resized: str, extent: str) -> Column:
+        p = F.col("_j." + c) * (F.col(extent) / F.col(resized) * STRIDE)
+        return F.least(F.col(extent).cast("double"), F.greatest(F.lit(0.0), p)) if clip else p
 
-def _inside(j: Column) -> Column:
     s = _sel()
-    return j["x"].between(s[0], s[2]) & j["y"].between(s[1], s[3])
-
-
-def _required(joints: Column) -> Column:
-    return F.filter(joints, lambda j: j["i"].isin(*REQUIRED_INDEX))
-
-
-def _joint_map(req: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for kv in REQUIRED_INDEX.items() for x in kv])
-    return F.map_from_entries(F.transform(req, lambda j: F.struct(
-        F.element_at(names, j["i"]).alias("key"),
-        F.struct(j["x"].alias("x"), j["y"].alias("y"), j["confidence"].alias("confidence")).alias("value"))))
-
-
-def own_box_candidates(poses: DataFrame) -> DataFrame:
-    """Poses with their own box, point counts and IoU with the selection. No shuffle: arrays stay in the row.
+    return (
+        poses.filter(F.size("joints") >= JOINTS)
+        .select(*[c for c in poses.columns if c != "joints"], F.posexplode(F.slice("joints", 1, JOINTS)).alias("_i", "_j"))
+        .filter("_j.confidence > 0")
+        .withColumns({"_x": place("x", "resized_w", "frame_w"), "_y": place("y", "resized_h", "frame_h"),
+                      "_c": F.least(F.lit(1.0), F.col("_j.confidence"))})
+        .withColumn("_inside", F.col("_x").between(s[0], s[2]) & F.col("_y").between(s[1], s[3])))
+
+
+def _gather(points: DataFrame, key: Sequence[str], extra: dict[str, Column]) -> DataFrame:
+    """Back to one row per pose. The rows of a pose sit together, so the partial aggregate does the work."""
+    need = F.col("_i").isin(*REQUIRED_INDEX)
+    keep = [c for c in points.columns if c not in key and not c.startswith("_")]
+    fields = {"x": "_x", "y": "_y", "confidence": "_c"}
+    # Plain numbers aggregate by hash; structs would force a sort of every point.
+    flat = points.groupBy(*key).agg(
+        *[F.any_value(c).alias(c) for c in keep], *[c.alias(n) for n, c in extra.items()],
+        F.count_if(need).alias("required_points"), F.count_if(need & F.col("_inside")).alias("required_inside"),
+        *[F.max(F.when(F.col("_i") == i, F.col(c))).alias(f"_{n}_{f}")
+          for i, n in REQUIRED_INDEX.items() for f, c in fields.items()])
+    names = REQUIRED_INDEX.values()
+    return flat.withColumns({
+        "j_" + n: F.when(F.col(f"_{n}_x").isNotNull(), F.struct(*[F.col(f"_{n}_{f}").alias(f) for f in fields]))
+        for n in names}).drop(*[f"_{n}_{f}" for n in names for f in fields])
+
+
+def own_box_candidates(poses: DataFrame, frame: Sequence[str] = FRAME) -> DataFrame:
+    """Poses with their own box, point counts, IoU and distances to the selection.
 
     Poses with fewer than two valid points, or whose points do not span a box, are dropped.
     """
-    m = F.col("_m")
-    xs, ys = F.transform(m, lambda j: j["x"]), F.transform(m, lambda j: j["y"])
-    df = (
-        poses.filter(F.size("joints") >= JOINTS).withColumn("_m", _mapped(True))
-        .filter(F.size("_m") >= 2)
-        .withColumns(dict(zip(POSE, (F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))))
-        .filter(F.col(POSE[2]) > F.col(POSE[0])).filter(F.col(POSE[3]) > F.col(POSE[1]))
-        .withColumn("_r", _required(m)))
+    x, y = F.col("_x"), F.col("_y")
+    out = _gather(_points(poses, True), [*frame, "pose_ordinal"], {
+        "valid_points": F.count(F.lit(1)), "all_inside": F.count_if("_inside"),
+        **dict(zip(POSE, (F.min(x), F.min(y), F.max(x), F.max(y))))})
     pose = tuple(F.col(c) for c in POSE)
-    return df.withColumns({
-        "valid_points": F.size("_m").cast("long"),
-        "all_inside": F.size(F.filter(m, _inside)).cast("long"),
-        "required_points": F.size("_r").cast("long"),
-        "required_inside": F.size(F.filter("_r", _inside)).cast("long"),
-        "selection_iou": iou(pose, _sel()),  # type: ignore[arg-type]
-        "joint_map": _joint_map(F.col("_r")),
-        **pose_vs_selection(pose, _sel()),  # type: ignore[arg-type]
-    }).drop("_m", "_r", "joints")
-
-
-def selection_box_candidates(poses: DataFrame) -> DataFrame:
+    return (
+        out.filter("valid_points >= 2").filter(pose[2] > pose[0]).filter(pose[3] > pose[1])
+        .withColumns({"selection_iou": iou(pose, _sel()), **pose_vs_selection(pose, _sel())}))  # type: ignore
+
+
+def selection_box_candidates(poses: DataFrame, frame: Sequence[str] = FRAME) -> DataFrame:
     """The variant that keeps the selected box as the pose box and looks at the four required joints only."""
-    df = poses.filter(F.size("joints") >= JOINTS).withColumn("_r", _required(_mapped(False)))
-    return df.withColumns({
-        "required_points": F.size("_r").cast("long"),
-        "required_inside": F.size(F.filter("_r", _inside)).cast("long"),
-        "joint_map": _joint_map(F.col("_r")),
-    }).drop("_r", "joints")
+    points = _points(poses, False).filter(F.col("_i").isin(*REQUIRED_INDEX))
+    return _gather(points, [*frame, "pose_ordinal"], {})
 
 
 def _first(df: DataFrame, frame: Sequence[str], *order: Column) -> DataFrame:

@@ -8,12 +8,17 @@ from ..functions import posture as ps
 from ..operators import diagnostics as dg
 from ..operators import poses as po
 from ..operators.persistence import PersistenceConfig
+from ..operators.scale import rank_limit
 from .catalog import query
 from .detections import rounded
 from .views import cte, table, view
 
 FRAME = list(po.FRAME)
-POSE_BOX = tuple(F.col(c) for c in po.POSE)
+
+
+def pose_box():
+    return tuple(F.col(c) for c in po.POSE)
+
 
 # Decoded poses: joint i of a row sits at heat-map cells derived from its numbers; some joints have no confidence.
 _JX, _JY = "cast((l_partkey + i * (3 + line % 4)) % 57 as double)", "cast((l_suppkey * 3 + i * 2) % 32 as double)"
@@ -36,11 +41,12 @@ def poses(spark, sf):
         else:
             cur += ch
     v = view(spark, sf, "v_boxes")
-    sel = v.groupBy(*FRAME).agg(F.min(F.struct("det_ordinal", "x_min", "y_min", "x_max", "y_max")).alias("s")).select(
-        *FRAME, (F.col("s.x_min") * 1000).alias("sel_x_min"), (F.col("s.y_min") * 600).alias("sel_y_min"),
-        (F.col("s.x_max") * 1000).alias("sel_x_max"), (F.col("s.y_max") * 600).alias("sel_y_max"))
+    sel = rank_limit(v, FRAME, [F.col("det_ordinal")], 1).selectExpr(
+        *FRAME, "x_min * 1000 sel_x_min", "y_min * 600 sel_y_min", "x_max * 1000 sel_x_max", "y_max * 600 sel_y_max")
     joints = f"transform(sequence(0, 16), i -> struct({_JX} as x, {_JY} as y, {_JC} as confidence)) joints"
-    p = v.selectExpr(*parts).selectExpr(*FRAME, "pose_ordinal", "decoder_score", joints)
+    # The one-element generator keeps the numbers above from being worked out again for every joint.
+    flat = v.selectExpr(f"inline(array(struct({', '.join(parts)})))")
+    p = flat.selectExpr(*FRAME, "pose_ordinal", "decoder_score", joints)
     return p.join(sel, FRAME).withColumns({
         "frame_w": F.lit(1000), "frame_h": F.lit(600), "resized_w": F.lit(456), "resized_h": F.lit(256)})
 
@@ -157,13 +163,13 @@ select source_id, session_id, frame_index, pose_ordinal, posture4 as posture, ba
   case when posture4 = 'other' and abs(dx / torso - dy / torso) <= cast(0.02 as double) then 'diagonal_torso_ambiguous'
        when posture4 = 'unknown' and required_points = 3 then basis3 else basis4 end as bounded_basis from q"""))
 def posture_classification(spark, sf):
-    one, jm = F.lit(1.0), F.col("joint_map")
+    one, jm = F.lit(1.0), po.joints()
     c = _candidates(spark, sf)
-    base, alt = ps.classify(one, jm, POSE_BOX, ps.DECODED), ps.three_joint(jm, POSE_BOX)
+    base, alt = ps.classify(one, jm, pose_box(), ps.DECODED), ps.three_joint(jm, pose_box())
     return c.select(*FRAME, "pose_ordinal", base["posture"].alias("posture"), base["basis"].alias("basis"),
                     alt["posture"].alias("three_joint_posture"), alt["basis"].alias("three_joint_basis"),
-                    ps.corrected(one, jm, POSE_BOX)["posture"].alias("corrected_posture"),
-                    ps.bounded(one, jm, POSE_BOX)["basis"].alias("bounded_basis"))
+                    ps.corrected(one, jm, pose_box())["posture"].alias("corrected_posture"),
+                    ps.bounded(one, jm, pose_box())["basis"].alias("bounded_basis"))
 
 
 @query("posture_sensitivity", cte("v_boxes", "with " + _P.strip() + _CORR.replace("{kp}", "g.k").replace(
@@ -174,7 +180,7 @@ select source_id, p.pf as pose_floor, k as keypoint_floor,
 from q cross join (select unnest([0.35, 0.1]::double[]) as pf) p group by all"""))
 def posture_sensitivity(spark, sf):
     c = _candidates(spark, sf).withColumn("pose_confidence", F.col("decoder_score"))
-    return dg.posture_sensitivity(c, ["source_id"], POSE_BOX)
+    return dg.posture_sensitivity(c, ["source_id"], pose_box())
 
 
 @query("posture_quality_counts", cte("v_boxes", "with " + _P.strip() + _CORR10 + """,
@@ -188,7 +194,7 @@ u as (select source_id, 'unknown_basis' as metric, unknown_basis as value from t
   select source_id, 'corrected_posture', corrected_posture from t)
 select source_id, metric, value, count(*) as n from u where value is not null group by all"""))
 def posture_quality_counts(spark, sf):
-    q = dg.posture_quality(_candidates(spark, sf), ["source_id"], POSE_BOX)
+    q = dg.posture_quality(_candidates(spark, sf), ["source_id"], pose_box())
     return dg.long_counts(q, ["source_id"], ["unknown_basis", "unknown_required_points", "three_joint_result",
                                              "corrected_posture"])
 
@@ -202,7 +208,7 @@ u as (select source_id, posture, 'torso_fraction' as metric, torso_fraction as v
 select source_id, posture, metric, count(v) as n, round(min(v), 6) as min, round(quantile_disc(v, 0.5), 6) as p50,
   round(quantile_disc(v, 0.9), 6) as p90, round(max(v), 6) as max from u where v is not null group by all"""))
 def posture_quality_metrics(spark, sf):
-    q = dg.posture_quality(_candidates(spark, sf), ["source_id"], POSE_BOX)
+    q = dg.posture_quality(_candidates(spark, sf), ["source_id"], pose_box())
     s = dg.long_stats(q, ["source_id", "posture"], ["torso_fraction", "vertical_fraction", "width_over_height"], True)
     return s.select("source_id", "posture", "metric", "n", *[F.round(c, 6).alias(c) for c in ("min", "p50", "p90", "max")])
 
@@ -219,10 +225,10 @@ def pose_confidence_stats(spark, sf):
 
 def _pose_frames(spark, sf):
     """One row per frame with candidates: association outcome, bounded posture and nearest-pose metrics."""
-    one, jm = F.lit(1.0), F.col("joint_map")
+    one, jm = F.lit(1.0), po.joints()
     c = po.associated_or_fallback(po.own_box_candidates(poses(spark, sf)))
     none = ~F.col("associated")
-    bnd = ps.bounded(one, jm, tuple(F.when(F.col("associated"), b) for b in POSE_BOX))
+    bnd = ps.bounded(one, jm, tuple(F.when(F.col("associated"), b) for b in pose_box()))
     return c.withColumns({"posture": bnd["posture"], "basis": bnd["basis"],
                           "unmatched_required_points": F.when(none, F.col("required_points")),
                           "unmatched_edge_gap": F.when(none, F.col("edge_gap_norm"))})
