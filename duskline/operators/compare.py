@@ -65,14 +65,15 @@ def manifest_problems(assets: DataFrame) -> DataFrame:
 
 
 def manifest_digest(assets: DataFrame) -> DataFrame:
-    """One digest for any number of rows: row digests are combined per hash group, then over the groups."""
+    """One digest for any number of rows: row digests are combined in a tree by their leading digits."""
     from .rules import digest
 
-    rows = assets.select(digest(assets).alias("d"))
-    groups = rows.groupBy(F.substring("d", 1, 3).alias("g")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("s"), F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "s"))), lambda x: x["s"]), "\n"), 256)
-                      .alias("digest"), F.sum("n").alias("rows"))
+    level = assets.select(digest(assets).alias("g"), F.lit(1).cast("long").alias("n"))
+    level = level.select("g", F.col("g").alias("s"), "n")
+    for width in (6, 3, 0):
+        level = level.groupBy(F.substring("g", 1, width).alias("g")).agg(
+            F.sha2(F.array_join(F.array_sort(F.collect_list("s")), "\n"), 256).alias("s"), F.sum("n").alias("n"))
+    return level.select(F.col("s").alias("digest"), F.col("n").alias("rows"))
 
 
 def overlap(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

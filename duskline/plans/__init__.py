@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("persistence", "search", "detections", "tracking", "diagnostics")
+MODULES = ("persistence", "search", "detections", "tracking", "diagnostics", "ingest")
 
 
 def load_all() -> None:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.rules import capacity, without
+
 # Segments in a window and the longest window.
 WINDOW_SEGMENTS, MAX_WINDOW_SECONDS = 3, 35.0
 
@@ -44,9 +46,17 @@ def segment_report(frames: DataFrame, sampled: DataFrame, tracks: DataFrame,
     return f.join(s, key, "left").join(t, key, "left").na.fill(0).withColumn("accuracy", F.lit(None).cast("double"))
 
 
+MAX_FRAMES = 100_000
+
+
+def _within(frames: DataFrame, key: Sequence[str]) -> DataFrame:
+    return without(frames, capacity(frames, list(key), MAX_FRAMES), list(key))
+
+
 def frame_manifest_digest(frames: DataFrame, key: Sequence[str] = ("sequence_id",)) -> DataFrame:
-    """SHA-256 over the ordered lines ``<index> TAB <sha>``. A digest needs its whole text; sequences hold at most
-    100 000 frames, larger ones are left out and show up in the capacity rule."""
+    """SHA-256 over the ordered lines ``<index> TAB <sha>``. A digest needs its whole text, so sequences over the frame
+    bound are left out first; ``rules.capacity`` reports them."""
+    frames = _within(frames, key)
     line = F.concat(F.col("frame_index").cast("string"), F.lit("\t"), F.col("sha256"), F.lit("\n"))
     ordered = F.array_sort(F.collect_list(F.struct("frame_index", line.alias("line"))))
     return frames.groupBy(*key).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), ""), 256).alias("digest"),
@@ -55,12 +65,14 @@ def frame_manifest_digest(frames: DataFrame, key: Sequence[str] = ("sequence_id"
 
 def frame_chain_digest(frames: DataFrame, key: Sequence[str] = ("source_id", "segment_id")) -> DataFrame:
     """SHA-256 over index, timestamp (8 bytes each) and frame digest of a segment's frames in order."""
+    frames = _within(frames, key)
+
     def eight(c: str):
         return F.unhex(F.lpad(F.hex(F.col(c)), 16, "0"))
 
     item = F.struct("frame_index", F.concat(eight("frame_index"), eight("timestamp_ms"), F.unhex("sha256")).alias("b"))
     ordered = F.array_sort(F.collect_list(item))
-    joined = F.aggregate(F.transform(ordered, lambda x: F.hex(x["b"])), F.lit(""), lambda a, x: F.concat(a, x))
+    joined = F.array_join(F.transform(ordered, lambda x: F.hex(x["b"])), "")
     return frames.groupBy(*key).agg(F.sha2(F.unhex(joined), 256).alias("chain_sha256"))
 
 
