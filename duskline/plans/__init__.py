@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("persistence", "search", "detections", "tracking", "diagnostics", "ingest")
+MODULES = ("persistence", "search", "detections", "tracking", "diagnostics", "ingest", "streams")
 
 
 def load_all() -> None:

@@ -216,12 +216,11 @@ def live_windows(spark, sf):
 
 
 @query("camera_problems", """
-select n_nationkey as "index" from nation left join (select c_nationkey, count(*) as n, bool_and(c_acctbal > 0) as ok from customer
-  where c_custkey % 20 = 0 group by 1) on c_nationkey = n_nationkey where not coalesce(n = 1 and ok, false)""")
+select o_orderkey as "index" from orders left join (select l_orderkey, count(*) as n, bool_and(l_linestatus = 'O') as ok from lineitem group by 1)
+  on l_orderkey = o_orderkey where not coalesce(n = 1 and ok, false)""")
 def camera_problems(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey % 20 = 0").selectExpr(
-        "c_nationkey as index", "concat('NATION_', c_nationkey) name", "case when c_acctbal > 0 then 'true' else 'false' end in_service")
-    return live.camera_problems(c, table(spark, sf, "nation").selectExpr("n_nationkey as index", "n_name name"))
+    c = table(spark, sf, "lineitem").selectExpr("l_orderkey as index", "concat('camera ', l_orderkey) name", "case when l_linestatus = 'O' then 'true' else 'false' end in_service")
+    return live.camera_problems(c, table(spark, sf, "orders").selectExpr("o_orderkey as index", "concat('camera ', o_orderkey) name"))
 
 
 @query("segment_report", cte("v_obs", """
@@ -337,7 +336,6 @@ l as (select *, lag(timestamp_ms) over (partition by source_id, session_id order
 select source_id, session_id, count(*) as violations from l where p >= timestamp_ms group by all"""))
 def session_violations(spark, sf):
     f = view(spark, sf, "v_obs").select("source_id", "session_id", F.col("ordinal").alias("frame_index"), "timestamp_ms")
-    # A boundary between buckets compares their outermost times, which is the neighbouring pair while time runs on.
     return tr.session_violations(f, bucket_frames=1_000)
 
 

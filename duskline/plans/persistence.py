@@ -56,6 +56,7 @@ select source_id, session_id, track_id, start_ms, timestamp_ms as end_ms, cast(n
 _WITH_MARKERS = "select * from clean union all by name select *, false as observed, 'U' as kind from markers"
 _COLS = ["source_id", "session_id", "track_id", "start_ms", "end_ms", "sample_count", "confidence"]
 BRIDGED = p.PersistenceConfig(max_unknown_gap_ms=750, bucket_ms=60_000)
+MISSING = p.PersistenceConfig(max_unknown_gap_ms=650, bucket_ms=60_000)
 STRICT = p.PersistenceConfig(bucket_ms=60_000)
 
 
@@ -76,11 +77,11 @@ def person_down_bridged(spark, sf):
 
 
 @query("person_down_with_missing",
-       cte("v_obs", "with " + _MARKERS.strip() + "," + _runs_sql(_WITH_MARKERS, BRIDGED) + _OUT))
+       cte("v_obs", "with " + _MARKERS.strip() + "," + _runs_sql(_WITH_MARKERS, MISSING) + _OUT))
 def person_down_with_missing(spark, sf):
     obs = view(spark, sf, "v_obs")
     markers = p.missing_markers(obs, obs, bucket_ms=600_000)
-    return p.person_down_events(obs, markers, BRIDGED).select(*_COLS)
+    return p.person_down_events(obs, markers, MISSING).select(*_COLS)
 
 
 _ENVELOPE_SQL = cte("v_obs", "with " + _runs_sql("select * from clean", BRIDGED).strip() + """
