@@ -8,13 +8,16 @@ from __future__ import annotations
 import numpy as np
 
 
-def _exact(weights: np.ndarray, valid: np.ndarray) -> np.ndarray:
+Edge = tuple[int, int, float]
+
+
+def _exact(edges: list[Edge], rows: dict[int, int], cols: dict[int, int]) -> np.ndarray:
     """Integer gains: any pair outweighs every possible total of weights."""
-    ratios = {(r, c): float(weights[r, c]).as_integer_ratio() for r, c in zip(*np.nonzero(valid))}
-    scale = max((den for _, den in ratios.values()), default=1)
-    bonus = (min(weights.shape) + 1) * scale
-    gain = np.zeros(weights.shape, dtype=object)
-    for (r, c), (num, den) in ratios.items():
+    ratios = [(rows[r], cols[c], *float(w).as_integer_ratio()) for r, c, w in edges]
+    scale = max(den for *_, den in ratios)
+    bonus = (min(len(rows), len(cols)) + 1) * scale
+    gain = np.zeros((len(rows), len(cols)), dtype=object)
+    for r, c, num, den in ratios:
         gain[r, c] = bonus + num * (scale // den)
     return gain
 
@@ -57,46 +60,47 @@ def _solve(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(int(owner[c]), c) for c in range(m) if owner[c] >= 0]
 
 
-def _components(valid: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Row and column index sets linked by valid edges, in order of their first row."""
-    out, seen = [], np.zeros(valid.shape[0], dtype=bool)
-    for r in range(valid.shape[0]):
-        if seen[r] or not valid[r].any():
+def assign_edges(edges: list[Edge]) -> list[tuple[int, int]]:
+    """Pairs (row, column) out of weighted edges: maximum count, then maximum total weight, ties in matrix order."""
+    by_row: dict[int, list[Edge]] = {}
+    by_col: dict[int, list[Edge]] = {}
+    for e in sorted(edges):
+        by_row.setdefault(e[0], []).append(e)
+        by_col.setdefault(e[1], []).append(e)
+    pairs: list[tuple[int, int]] = []
+    done: set[int] = set()
+    for start in by_row:
+        if start in done:
             continue
-        rows = np.zeros_like(seen)
-        rows[r] = True
-        while True:
-            cols = valid[rows].any(axis=0)
-            grown = valid[:, cols].any(axis=1)
-            if (grown == rows).all():
-                break
-            rows = grown
-        seen |= rows
-        out.append((np.flatnonzero(rows), np.flatnonzero(cols)))
-    return out
+        rows, cols, todo = {start}, set(), [start]
+        while todo:
+            for _, c, _ in by_row[todo.pop()]:
+                if c not in cols:
+                    cols.add(c)
+                    for r, _, _ in by_col[c]:
+                        if r not in rows:
+                            rows.add(r)
+                            todo.append(r)
+        done |= rows
+        group = [e for r in sorted(rows) for e in by_row[r]]
+        if len(rows) == 1 or len(cols) == 1:
+            pairs.append(max(group, key=lambda e: e[2])[:2])
+            continue
+        turned = len(rows) > len(cols)
+        r_at, c_at = ({x: i for i, x in enumerate(sorted(xs))} for xs in (rows, cols))
+        gain = _exact(group, r_at, c_at)
+        valid = {(r, c) for r, c, _ in group}
+        r_of, c_of = sorted(rows), sorted(cols)
+        for i, j in _solve(gain.T if turned else gain):
+            pair = (r_of[j], c_of[i]) if turned else (r_of[i], c_of[j])
+            if pair in valid:
+                pairs.append(pair)
+    return sorted(pairs)
 
 
 def assign(weights: np.ndarray, valid: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column): maximum count, then maximum total weight, ties in matrix order."""
-    if not valid.any():
-        return []
-    if valid.sum(axis=0).max() == 1 and valid.sum(axis=1).max() == 1:
-        return list(zip(*(x.tolist() for x in np.nonzero(valid))))
-    pairs: list[tuple[int, int]] = []
-    for rows, cols in _components(valid):
-        w, ok = weights[np.ix_(rows, cols)], valid[np.ix_(rows, cols)]
-        if min(w.shape) == 1:
-            flat = np.where(ok, w, -1.0).ravel()
-            k = int(np.argmax(flat))
-            pairs.append((int(rows[k // w.shape[1]]), int(cols[k % w.shape[1]])))
-            continue
-        turned = w.shape[0] > w.shape[1]
-        got = _solve(_exact(w.T, ok.T) if turned else _exact(w, ok))
-        for a, b in got:
-            r, c = (b, a) if turned else (a, b)
-            if ok[r, c]:
-                pairs.append((int(rows[r]), int(cols[c])))
-    return sorted(pairs)
+    r, c = np.nonzero(valid)
+    return assign_edges(list(zip(r.tolist(), c.tolist(), weights[r, c].tolist())))
 
 
 def match_most(choices: list[list[int]], order: list[int]) -> dict[int, int]:
@@ -127,6 +131,27 @@ def match_most(choices: list[list[int]], order: list[int]) -> dict[int, int]:
     return taken
 
 
+def iou_pair(a, b) -> float:
+    w = (a[2] if a[2] < b[2] else b[2]) - (a[0] if a[0] > b[0] else b[0])
+    h = (a[3] if a[3] < b[3] else b[3]) - (a[1] if a[1] > b[1] else b[1])
+    if w <= 0 or h <= 0:
+        return 0.0
+    inter = w * h
+    return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
+
+
+SMALL = 400
+
+
+def iou_edges(a: list, b: list, least: float) -> list[Edge]:
+    """(i, j, IoU) of the pairs reaching ``least``; arrays only pay off on crowded frames."""
+    if len(a) * len(b) <= SMALL:
+        return [(i, j, v) for i, p in enumerate(a) for j, q in enumerate(b) if (v := iou_pair(p, q)) >= least]
+    w = iou_matrix(np.array(a, dtype=float), np.array(b, dtype=float))
+    r, c = np.nonzero(w >= least)
+    return list(zip(r.tolist(), c.tolist(), w[r, c].tolist()))
+
+
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """IoU of every box in ``a`` (n, 4) with every box in ``b`` (m, 4)."""
     left, top = np.maximum(a[:, None, 0], b[None, :, 0]), np.maximum(a[:, None, 1], b[None, :, 1])

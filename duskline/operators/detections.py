@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import clamp01, has_area, iou
+from ..functions.geometry import clamp01, has_area
 
 FRAME = ("source_id", "session_id", "frame_index")
 BOX = ("x_min", "y_min", "x_max", "y_max")
@@ -198,23 +199,28 @@ def plate_proposals(rects: DataFrame, cfg: Mapping = PROPOSAL) -> DataFrame:
 
 def suppress_overlaps(proposals: DataFrame, threshold: float = 0.5, keep: int = 16,
                       frame: Sequence[str] = FRAME) -> DataFrame:
-    """Greedy non-maximum suppression per frame, best first; the fold holds at most ``keep`` boxes."""
-    item = "struct<neg:double,x_min:double,y_min:double,x_max:double,y_max:double>"
-    entry = F.struct((-F.col("score")).alias("neg"), *BOX)
+    """Greedy non-maximum suppression per frame, best first, keeping at most ``keep`` boxes.
 
-    def box(s):
-        return tuple(s[c] for c in BOX)
-
-    def step(kept, p):
-        clash = F.exists(kept, lambda k: iou(box(p), box(k)) > threshold)
-        return F.when(clash | (F.size(kept) >= keep), kept).otherwise(F.concat(kept, F.array(p)))
-
-    return (
-        proposals.groupBy(*frame).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-        .select(*frame, F.posexplode(
-            F.aggregate("_all", F.array().cast(f"array<{item}>"), step)).alias("rank", "p"))
-        .select(*frame, (F.col("rank") + 1).cast("long").alias("rank"), (-F.col("p.neg")).alias("score"),
-                *[F.col(f"p.{c}") for c in BOX]))
+    Frames are bounded, and a task streams through them; nested array lambdas were several times slower here.
+    """
+    from ..functions.assignment import iou_pair
+    from .scale import Columns, map_sorted_groups
+
+    cols = [*frame, "score", *BOX]
+    rows = proposals.select(cols).withColumn("_neg", -F.col("score"))
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in proposals.select(cols).schema], "rank long"])
+
+    def greedy(c: Columns) -> Columns:
+        boxes = list(zip(*(c[b].tolist() for b in BOX)))
+        kept: list[int] = []
+        for i, b in enumerate(boxes):
+            if len(kept) == keep:
+                break
+            if all(iou_pair(b, boxes[k]) <= threshold for k in kept):
+                kept.append(i)
+        return {**{n: c[n][kept] for n in cols}, "rank": np.arange(1, len(kept) + 1)}
+
+    return map_sorted_groups(rows, frame, ["_neg", *BOX], greedy, schema)
 
 
 def plate_reads(words: DataFrame, min_confidence: float = 0.0, key: Sequence[str] = ("crop_id",)) -> DataFrame:

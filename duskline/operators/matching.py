@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.assignment import assign
+from ..functions.assignment import assign_edges
 from ..functions.geometry import iou, iou_scaled
 from .scale import Columns, islands, map_sorted_groups
 
@@ -46,13 +46,12 @@ def best_pairs(edge: DataFrame, frame: Sequence[str]) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in contested.schema)
 
     def solve(c: Columns) -> Columns:
+        # Rows arrive in (left, right) order, so positions number both sides canonically.
         rows, r = np.unique(c["left_id"], return_inverse=True)
         cols_, k = np.unique(c["right_id"], return_inverse=True)
-        w = np.zeros((len(rows), len(cols_)))
-        ok = np.zeros(w.shape, dtype=bool)
-        where = np.zeros(w.shape, dtype=np.int64)
-        w[r, k], ok[r, k], where[r, k] = c["weight"], True, np.arange(len(r))
-        keep = np.array([where[i, j] for i, j in assign(w, ok)], dtype=np.int64)
+        at = {pair: n for n, pair in enumerate(zip(r.tolist(), k.tolist()))}
+        found = assign_edges(list(zip(r.tolist(), k.tolist(), c["weight"].tolist())))
+        keep = np.array([at[p] for p in found], dtype=np.int64)
         return {n: c[n][keep] for n in cols}
 
     solved = map_sorted_groups(contested, frame, ["left_id", "right_id"], solve, schema)

@@ -86,15 +86,17 @@ def map_sorted_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = fn() if spread_by is not None else fn
-        held: list[pd.DataFrame] = []
+        held: list[Columns] = []  # pieces of the group still open at the end of a batch
         held_key: tuple | None = None
         ready: list[Columns] = []
 
-        def close() -> None:
-            cols = {n: np.concatenate([h[n].to_numpy() for h in held]) for n in names}
+        def take(cols: Columns) -> None:
             out = call(cols)
             if out is not None:
                 ready.append(out)
+
+        def close() -> None:
+            take(held[0] if len(held) == 1 else {n: np.concatenate([h[n] for h in held]) for n in names})
             held.clear()
 
         def flush() -> pd.DataFrame:
@@ -105,17 +107,23 @@ def map_sorted_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         for pdf in batches:
             if not len(pdf):
                 continue
-            ks = [pdf[k].to_numpy() for k in keys]
+            cols = {n: pdf[n].to_numpy() for n in names}
             change = np.zeros(len(pdf), dtype=bool)
-            for k in ks:
-                change[1:] |= k[1:] != k[:-1]
+            for k in keys:
+                change[1:] |= cols[k][1:] != cols[k][:-1]
             cuts = [0, *np.flatnonzero(change).tolist(), len(pdf)]
+            if held and tuple(cols[k][0] for k in keys) != held_key:
+                close()
             for a, b in zip(cuts[:-1], cuts[1:]):
-                key = tuple(k[a] for k in ks)
-                if held and key != held_key:
+                piece = {n: v[a:b] for n, v in cols.items()}
+                if b == len(pdf):
+                    held_key = tuple(cols[k][a] for k in keys)
+                    held.append(piece)
+                elif held:
+                    held.append(piece)
                     close()
-                held.append(pdf.iloc[a:b])
-                held_key = key
+                else:
+                    take(piece)
             if ready:
                 yield flush()
         if held:

@@ -43,11 +43,10 @@ def poses(spark, sf):
     v = view(spark, sf, "v_boxes")
     sel = rank_limit(v, FRAME, [F.col("det_ordinal")], 1).selectExpr(
         *FRAME, "x_min * 1000 sel_x_min", "y_min * 600 sel_y_min", "x_max * 1000 sel_x_max", "y_max * 600 sel_y_max")
-    joints = f"transform(sequence(0, 16), i -> struct({_JX} as x, {_JY} as y, {_JC} as confidence)) joints"
-    # The one-element generator keeps the numbers above from being worked out again for every joint.
-    flat = v.selectExpr(f"inline(array(struct({', '.join(parts)})))")
-    p = flat.selectExpr(*FRAME, "pose_ordinal", "decoder_score", joints)
-    return p.join(sel, FRAME).withColumns({
+    joint = [f"{_JX} joint_x", f"{_JY} joint_y", f"{_JC} joint_confidence"]
+    flat = v.selectExpr(*parts).join(sel, FRAME).selectExpr("*", "explode(sequence(0, 16)) i")
+    p = flat.selectExpr(*FRAME, "pose_ordinal", "decoder_score", *sel.columns[3:], "i joint_index", *joint)
+    return p.withColumns({
         "frame_w": F.lit(1000), "frame_h": F.lit(600), "resized_w": F.lit(456), "resized_h": F.lit(256)})
 
 
@@ -289,7 +288,7 @@ select f.source_id, count(*) as frames, count(*) as selected_frames, count(case
 from f left join a using (source_id, session_id, frame_index) group by 1"""))
 def decoded_pose_totals(spark, sf):
     p = poses(spark, sf)
-    n = p.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("_n"))
+    n = view(spark, sf, "v_boxes").groupBy(*FRAME).agg(F.count(F.lit(1)).alias("_n"))
     a = po.associate(po.own_box_candidates(p)).select(*FRAME, F.lit(True).alias("associated"))
     f = n.join(a, FRAME, "left").na.fill(False, ["associated"]).withColumns({
         "selected": F.lit(True), "decoded_count": F.when(F.col("frame_index") % 10 > 0, F.col("_n"))})
