@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clamp01, has_area
+from .scale import once
 
 FRAME = ("source_id", "session_id", "frame_index")
 BOX = ("x_min", "y_min", "x_max", "y_max")
@@ -180,21 +181,23 @@ def plate_proposals(rects: DataFrame, cfg: Mapping = PROPOSAL) -> DataFrame:
     """Integer rectangles (x, y, width, height, contour_area, image_width, image_height) that look like plates."""
     x, y, w, h, a, iw, ih = (F.col(c) for c in (
         "x", "y", "width", "height", "contour_area", "image_width", "image_height"))
-    aspect, wf, hf = w / h, w / iw, h / ih
-    af = (w * h) / (iw * ih)
-    rect = F.least(F.lit(1.0), a / (w * h))
     low, high = cfg["aspect"]
     reach = max(cfg["target_aspect"] - low, high - cfg["target_aspect"])
     wa, wr, ws = cfg["weights"]
+    inside = (x >= 0) & (y >= 0) & (w >= 1) & (h >= 1) & (x + w <= iw) & (y + h <= ih) & (a >= 0)
+    measured = once(rects.filter(inside), {
+        "_aspect": w / h, "_wf": w / iw, "_hf": h / ih, "_af": (w * h) / (iw * ih), "_rect": F.least(F.lit(1.0), a / (w * h))})
+    aspect, wf, hf, af, rect = (F.col(c) for c in ("_aspect", "_wf", "_hf", "_af", "_rect"))
+    kept = measured.filter(
+        aspect.between(*cfg["aspect"]) & wf.between(*cfg["width"]) & hf.between(*cfg["height"])
+        & af.between(*cfg["area"]) & (rect >= cfg["min_rectangularity"]))
     score = clamp01(
         F.lit(wa) * F.greatest(F.lit(0.0), 1.0 - F.abs(aspect - cfg["target_aspect"]) / reach)
         + F.lit(wr) * F.least(F.lit(1.0), rect / cfg["full_rectangularity"])
         + F.lit(ws) * F.least(F.lit(1.0), wf / cfg["full_width"]))
-    inside = (x >= 0) & (y >= 0) & (w >= 1) & (h >= 1) & (x + w <= iw) & (y + h <= ih) & (a >= 0)
-    return rects.filter(inside).filter(
-        aspect.between(*cfg["aspect"]) & wf.between(*cfg["width"]) & hf.between(*cfg["height"])
-        & af.between(*cfg["area"]) & (rect >= cfg["min_rectangularity"])
-    ).withColumns({"score": score, "x_min": x / iw, "y_min": y / ih, "x_max": (x + w) / iw, "y_max": (y + h) / ih})
+    return kept.withColumns({
+        "score": score, "x_min": x / iw, "y_min": y / ih, "x_max": (x + w) / iw, "y_max": (y + h) / ih,
+    }).drop("_aspect", "_wf", "_hf", "_af", "_rect")
 
 
 def suppress_overlaps(proposals: DataFrame, threshold: float = 0.5, keep: int = 16,

@@ -11,7 +11,7 @@ from ..functions import posture as ps
 from ..functions.geometry import Box
 from .poses import joints
 from .persistence import PersistenceConfig
-from .scale import BUCKET
+from .scale import BUCKET, once
 
 # Threshold grids and the pass marks of the detector choice.
 THRESHOLDS = (0.50, 0.40, 0.30, 0.20, 0.10)
@@ -151,13 +151,16 @@ def long_stats(rows: DataFrame, group: Sequence[str], columns: Sequence[str], qu
 
 def posture_sensitivity(poses: DataFrame, group: Sequence[str], box: Box) -> DataFrame:
     """(group, pose floor, keypoint floor, posture): counts over the threshold grid, classified in one pass."""
-    grid = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(k).alias("k"))
-                               for p in POSE_FLOORS for k in KEYPOINT_FLOORS]))
-    cfg = ps.PostureConfig(min_pose_confidence=F.col("g.p"), min_keypoint_confidence=F.col("g.k"))
-    g = poses.withColumn("g", grid).withColumn(
-        "posture", ps.classify(F.col("pose_confidence"), joints(), box, cfg)["posture"])
-    return g.groupBy(*group, F.col("g.p").alias("pose_floor"), F.col("g.k").alias("keypoint_floor"), "posture").agg(
-        F.count(F.lit(1)).alias("n"))
+    # Only the two floors vary over the grid: the geometry is judged once per pose, with both floors off.
+    free = ps.PostureConfig(min_pose_confidence=-1.0, min_keypoint_confidence=-1.0)
+    low = F.least(*[j["confidence"] for j in joints().values()])
+    g = once(poses.select(*group, "pose_confidence", *box, *joints().values()), {
+        "_geo": ps.classify(F.lit(0.0), joints(), box, free)["posture"], "_low": low})
+    g = g.select(*group, "pose_confidence", "_geo", "_low", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("p"), F.lit(k).alias("k")) for p in POSE_FLOORS for k in KEYPOINT_FLOORS])).alias("g"))
+    weak = (F.col("pose_confidence") < F.col("g.p")) | F.coalesce(F.col("_low") < F.col("g.k"), F.lit(False))
+    return g.groupBy(*group, F.col("g.p").alias("pose_floor"), F.col("g.k").alias("keypoint_floor"),
+                     F.when(weak, "unknown").otherwise(F.col("_geo")).alias("posture")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def decoded_pose_totals(frames: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -183,19 +186,18 @@ def posture_quality(poses: DataFrame, group: Sequence[str], box: Box) -> DataFra
 
     Feed the result to ``long_counts`` / ``long_stats``.
     """
-    one = F.lit(1.0)
-    base = ps.classify(one, joints(), box, ps.DECODED)
-    alt = ps.three_joint(joints(), box)
+    df = once(poses, {"_b": ps.classify(F.lit(1.0), joints(), box, ps.DECODED), "_a": ps.three_joint(joints(), box),
+                      **ps.pose_metrics(joints(), box)})
+    base, alt = F.col("_b"), F.col("_a")
     unknown = base["posture"] == "unknown"
     tried = unknown & (F.col("required_points") == 3)
     took = tried & alt["posture"].isin("upright", "down")
-    return poses.withColumns({
+    return df.withColumns({
         "posture": base["posture"], "unknown_basis": F.when(unknown, base["basis"]),
         "unknown_required_points": F.when(unknown, F.col("required_points")),
         "three_joint_result": F.when(tried, alt["posture"]), "three_joint_basis": F.when(tried, alt["basis"]),
         "three_joint_accepted": F.when(tried, took),
-        "corrected_posture": F.when(took, alt["posture"]).otherwise(base["posture"]),
-        **ps.pose_metrics(joints(), box)})
+        "corrected_posture": F.when(took, alt["posture"]).otherwise(base["posture"])}).drop("_a", "_b")
 
 
 # Temporal trace -------------------------------------------------------------------------------------------------------

@@ -75,6 +75,9 @@ def own_box_candidates(poses: DataFrame, frame: Sequence[str] = FRAME) -> DataFr
 
     Poses with fewer than two valid points, or whose points do not span a box, are dropped.
     """
+    if "joints" in poses.columns:
+        # One shuffle serves everything after it: gathering a pose, ranking a frame, joining by frame.
+        poses = poses.repartition(*frame)
     x, y = F.col("_x"), F.col("_y")
     out = _gather(_points(poses, True), [*frame, "pose_ordinal"], {
         "valid_points": F.count(F.lit(1)), "all_inside": F.count_if("_inside"),

@@ -49,6 +49,16 @@ def bucketed_lead(df: DataFrame, keys: Sequence[str], ts: str, out: str, bucket_
     )
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are worked out once per row.
+
+    A plain projection is folded into every later use and every filter pushed below it, so long expressions run many
+    times over and outgrow the compiled method; a one-element generator is not folded.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def rank_limit(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key. Spark limits each group before the shuffle, so a hot key moves k rows per task."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -44,7 +44,7 @@ def poses(spark, sf):
     sel = rank_limit(v, FRAME, [F.col("det_ordinal")], 1).selectExpr(
         *FRAME, "x_min * 1000 sel_x_min", "y_min * 600 sel_y_min", "x_max * 1000 sel_x_max", "y_max * 600 sel_y_max")
     joint = [f"{_JX} joint_x", f"{_JY} joint_y", f"{_JC} joint_confidence"]
-    flat = v.selectExpr(*parts).join(sel, FRAME).selectExpr("*", "explode(sequence(0, 16)) i")
+    flat = v.selectExpr(*parts).repartition(*FRAME).join(sel, FRAME).selectExpr("*", "explode(sequence(0, 16)) i")
     p = flat.selectExpr(*FRAME, "pose_ordinal", "decoder_score", *sel.columns[3:], "i joint_index", *joint)
     return p.withColumns({
         "frame_w": F.lit(1000), "frame_h": F.lit(600), "resized_w": F.lit(456), "resized_h": F.lit(256)})
