@@ -17,6 +17,8 @@ def build_session(app: str = "duskline", cores: str | None = None, **conf: str)
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # HotSpot does not compile methods over 8000 bytes; let Spark split such stages instead of running them slowly.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("DUSKLINE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
