@@ -58,26 +58,24 @@ def rank_similarity(probes: DataFrame, candidates: DataFrame, min_similarity: fl
     cb = cb.select(*[F.col(c).alias(c if c.startswith("r") else "c_" + c) for c in cb.columns])
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        names = ("probe_id", "candidate_id", "similarity", "timestamp_ms", "source_id")
+        out: list[list[np.ndarray]] = [[np.empty(0, dtype=t)] for t in (object, object, float, np.int64, object)]
         if len(left) and len(right):
             right = right.sort_values(["c_timestamp_ms", "c_source_id", "c_observation_id"])
-            a, b = np.stack(left["vals"].to_numpy()), np.stack(right["c_vals"].to_numpy())
-            ids, cids = left["observation_id"].to_numpy(), right["c_observation_id"].to_numpy()
-            dims = np.ascontiguousarray(b.T)
-            for row, pid in zip(a, ids):
-                acc = np.zeros(len(b))
+            dims = np.ascontiguousarray(np.stack(right["c_vals"].to_numpy()).T)
+            ids, sources = (right[c].to_numpy(dtype=object) for c in ("c_observation_id", "c_source_id"))
+            times = right["c_timestamp_ms"].to_numpy()
+            for row, pid in zip(left["vals"], left["observation_id"]):
+                acc = np.zeros(len(ids))
                 for value, column in zip(row, dims):
                     acc += np.minimum(value, column)
                 acc = np.where((acc > 1.0) & (np.abs(acc - 1.0) <= TOLERANCE), 1.0, acc)
-                keep = np.flatnonzero(((acc >= min_similarity) | (np.abs(acc - min_similarity) <= TOLERANCE))
-                                      & (cids != pid))
+                keep = np.flatnonzero(((acc >= min_similarity) | (np.abs(acc - min_similarity) <= TOLERANCE)) & (ids != pid))
                 best = keep[np.argsort(-acc[keep], kind="stable")[:limit]]
-                out.append(pd.DataFrame({
-                    "probe_id": pid, "candidate_id": cids[best], "similarity": acc[best],
-                    "timestamp_ms": right["c_timestamp_ms"].to_numpy()[best],
-                    "source_id": right["c_source_id"].to_numpy()[best]}))
-        return pd.concat(out) if out else pd.DataFrame(
-            {"probe_id": [], "candidate_id": [], "similarity": [], "timestamp_ms": [], "source_id": []})
+                found = (np.full(len(best), pid, dtype=object), ids[best], acc[best], times[best], sources[best])
+                for column, part in zip(out, found):
+                    column.append(part)
+        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, out)})
 
     pairs = pb.groupBy(*keys).cogroup(cb.groupBy(*["r" + k for k in keys])).applyInPandas(
         score, "probe_id string, candidate_id string, similarity double, timestamp_ms long, source_id string")

@@ -56,7 +56,7 @@ def _segment_end(ts: np.ndarray, src: np.ndarray, start: int, rules: CutRules) -
 
 def greedy_segments(df: DataFrame, keys: Sequence[str], ts: str, source: str, row_id: str,
                     rules: CutRules) -> DataFrame:
-    """(keys, row_id, ts, source, segment_id, segment_start_ms) for every row; segment_id is its first row's id."""
+    """(keys, row_id, ts, source, cut_id, cut_start_ms) for every row; cut_id is its first row's id."""
     size = rules.bucket_ms
     rows = df.select(*keys, F.col(ts).cast("long").alias("_ts"), F.col(source).alias("_src"),
                      F.col(row_id).cast("string").alias("_id"))
@@ -106,11 +106,11 @@ def greedy_segments(df: DataFrame, keys: Sequence[str], ts: str, source: str, ro
         taken = seg >= 0
         head = seg[taken]
         return {**{k: cols[k][taken] for k in [*keys, "_id", "_ts", "_src"]},
-                "segment_id": cols["_id"][head], "segment_start_ms": t[head]}
+                "cut_id": cols["_id"][head], "cut_start_ms": t[head]}
 
     per_bucket = map_sorted_groups(spread, part, order, exits, f"{key_schema}, {BUCKET} long, _exits array<int>")
     entries = map_sorted_groups(per_bucket, keys, [BUCKET], chain, f"{key_schema}, {BUCKET} long, _entry long")
     return map_sorted_groups(
         spread.join(entries, part), part, order, cut,
-        f"{key_schema}, _id string, _ts long, _src string, segment_id string, segment_start_ms long",
+        f"{key_schema}, _id string, _ts long, _src string, cut_id string, cut_start_ms long",
     ).withColumnsRenamed({"_id": row_id, "_ts": ts, "_src": source})

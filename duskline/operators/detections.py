@@ -270,7 +270,7 @@ def sampled_frames(frames: DataFrame, period_ms: int = 360, segment: Sequence[st
 
     rules = CutRules(max_span_ms=period_ms - 1, bucket_ms=bucket_ms or max(60_000, 20 * period_ms))
     cut = greedy_segments(frames.withColumn("_s", F.lit("")), segment, "timestamp_ms", "_s", "frame_id", rules)
-    return cut.filter(F.col("frame_id") == F.col("segment_id")).select(*segment, "frame_id", "timestamp_ms")
+    return cut.filter(F.col("frame_id") == F.col("cut_id")).select(*segment, "frame_id", "timestamp_ms")
 
 
 def heatmap_peak(matrix: Column) -> Column:

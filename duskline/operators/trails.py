@@ -29,12 +29,12 @@ def _trails(records: DataFrame, key: str, cfg: TrailConfig) -> DataFrame:
     cut = greedy_segments(records, [key], "timestamp_ms", "source_id", "observation_id", cfg.rules)
     member = F.struct("timestamp_ms", "source_id", "observation_id")
     return (
-        cut.groupBy(key, "segment_id", "segment_start_ms")
+        cut.groupBy(key, "cut_id", "cut_start_ms")
         .agg(F.sort_array(F.collect_list(member)).alias("members"),
              F.count_distinct("source_id").alias("source_count"),
              F.max("timestamp_ms").alias("end_ms"))
         .filter("source_count >= 2")
-        .select(key, F.col("segment_start_ms").alias("start_ms"), "end_ms", "source_count",
+        .select(key, F.col("cut_start_ms").alias("start_ms"), "end_ms", "source_count",
                 F.size("members").cast("long").alias("record_count"), "members",
                 F.lit(False).alias("identity_claim"), F.lit(False).alias("authorizes_action")))
 

@@ -81,19 +81,30 @@ class Runs:
 
 
 def person_down_stream(obs: DataFrame, cfg: PersistenceConfig = PersistenceConfig(), missing_frames: bool = False,
-                       delay: str = "0 seconds", keys: Sequence[str] = ("source_id", "session_id")) -> DataFrame:
+                       delay: str = "10 seconds", keys: Sequence[str] = ("source_id", "session_id")) -> DataFrame:
     """Events and refusals (``refused`` set) of an observation stream.
 
     Rows of a micro-batch are taken in time order. Rows behind a track's last evidence, or behind the session clock,
     are refused and reported. With ``missing_frames`` rows without a track are frame heartbeats, and a track of the
-    frame before that is absent from a frame counts as unknown there.
+    frame before that is absent from a frame counts as unknown there; a frame then waits until a later one has
+    arrived, since its rows may be spread over micro-batches. Rows older than the watermark are dropped by Spark and
+    counted in the query progress.
     """
     order = "ordinal" if "ordinal" in obs.columns else "track_id"
+    names = list(dict.fromkeys(["timestamp_ms", "track_id", "posture", "confidence", order]))
 
     def step(key: tuple, rows: pd.DataFrame, text: str | None, flush: bool):
-        if flush:
+        saved, wait = json.loads(text) if text else (None, [])
+        runs, out = Runs(cfg, saved), []
+        if wait:
+            held = pd.DataFrame(wait, columns=names)
+            rows = pd.concat([held, rows[names]]) if len(rows) else held
+        if not len(rows):
             return None, None, None
-        runs, out = Runs(cfg, text), []
+        wait = []
+        if missing_frames and not flush:
+            newest = rows["timestamp_ms"] == rows["timestamp_ms"].max()
+            wait, rows = rows.loc[newest, names].astype(object).where(rows.loc[newest, names].notna(), None).values.tolist(), rows[~newest]
 
         def emit(track, start, end, n, low, refused):
             out.append((*key, track, start, end, n, low, refused))
@@ -125,7 +136,10 @@ def person_down_stream(obs: DataFrame, cfg: PersistenceConfig = PersistenceConfi
                     emit(x, event[0], event[1], event[2], event[3], None)
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype(
             {"start_ms": "Int64", "end_ms": "Int64", "sample_count": "Int64"}) if out else None
-        return frame, runs.text(), runs.clock + TTL_MS
+        if flush:
+            return frame, None, None
+        latest = int(wait[0][names.index("timestamp_ms")]) if wait else runs.clock
+        return frame, json.dumps([runs.text(), wait]), latest + TTL_MS
 
     timed = with_event_time(obs, delay)
     got = keyed(timed, keys, step, SCHEMA)

@@ -13,7 +13,7 @@ from ..operators.trails import TrailConfig
 from .hosting import keyed, with_event_time
 
 
-def trail_stream(records: DataFrame, key: str, cfg: TrailConfig = TrailConfig(), delay: str = "0 seconds") -> DataFrame:
+def trail_stream(records: DataFrame, key: str, cfg: TrailConfig = TrailConfig(), delay: str = "10 seconds") -> DataFrame:
     """Closed trails per ``key``: when a record cuts the open segment, or the watermark passes its last link.
 
     The state holds one open segment, at most ``max_records`` members. Records behind the open segment are left out.
@@ -49,7 +49,7 @@ def trail_stream(records: DataFrame, key: str, cfg: TrailConfig = TrailConfig(),
 
 
 def sample_stream(frames: DataFrame, period_ms: int = 360, segment: Sequence[str] = ("source_id", "segment_id"),
-                  delay: str = "0 seconds", idle_ms: int = 60_000) -> DataFrame:
+                  delay: str = "10 seconds", idle_ms: int = 60_000) -> DataFrame:
     """Frames at least ``period_ms`` after the last one taken, per segment."""
     def step(k: tuple, rows: pd.DataFrame, text: str | None, flush: bool):
         if flush:
