@@ -435,9 +435,9 @@ select source_id, track_id, count(case when kind = 'D' then 1 end) as qualified_
   count(case when down and kind <> 'D' then 1 end) as low_confidence_down_frames, count(bridged) as bridged_unknown_frames,
   coalesce(max(bridged), 0) as longest_bridged_unknown_gap_ms,
   coalesce(max(case when down then timestamp_ms - raw_start end), 0) as longest_raw_run_ms,
-  coalesce(arg_max(raw_cnt, (timestamp_ms - raw_start) * 100000 + raw_cnt), 0) as longest_raw_run_samples,
+  cast(coalesce(arg_max(raw_cnt, (timestamp_ms - raw_start) * 100000 + raw_cnt), 0) as bigint) as longest_raw_run_samples,
   coalesce(max(case when kind = 'D' then timestamp_ms - run_start end), 0) as longest_qualified_run_ms,
-  coalesce(arg_max(case when kind = 'D' then cnt end, case when kind = 'D' then (timestamp_ms - run_start) * 100000 + cnt end), 0) as longest_qualified_run_samples
+  cast(coalesce(arg_max(case when kind = 'D' then cnt end, case when kind = 'D' then (timestamp_ms - run_start) * 100000 + cnt end), 0) as bigint) as longest_qualified_run_samples
 from walk group by all"""))
 def temporal_trace_totals(spark, sf):
     return dg.trace_totals(_trace(spark, sf), ["source_id", "track_id"], bucket_ms=5_000)

@@ -514,7 +514,17 @@ def colour_histograms(spark, sf):
     return inf.histograms(f)[0]
 
 
-@query("frame_clock")
+@query("frame_clock", cte("v_lanes", """
+with f as (select source_id, session_id, frame_index, row_number() over (partition by source_id order by frame_index) - 1 as i,
+    case when frame_index % 11 = 5 then cast(0 as double) else frame_index * 40 + frame_index % 3 end as pos from (select distinct source_id, session_id, frame_index from v_lanes)),
+o as (select *, first_value(pos) over (partition by source_id order by i) as origin from f),
+walk as (select source_id, session_id, frame_index, i, cast(0 as bigint) as elapsed from o where i = 0
+  union all
+  select o.source_id, o.session_id, o.frame_index, o.i,
+    case when o.pos - o.origin >= 0 and cast(o.pos - o.origin as bigint) > w.elapsed then cast(o.pos - o.origin as bigint) when o.i * 40 > w.elapsed then o.i * 40 end
+  from walk w join o on o.source_id = w.source_id and o.i = w.i + 1)
+select source_id, session_id, frame_index, elapsed as elapsed_ms from walk union all
+select source_id, session_id, frame_index, null from o where not exists (select 1 from walk w where w.source_id = o.source_id and w.i = o.i)"""))
 def frame_clock(spark, sf):
     f = view(spark, sf, "v_lanes").select("source_id", "session_id", "frame_index").distinct().withColumns({
         "position_ms": F.when(F.col("frame_index") % 11 == 5, 0.0).otherwise(F.col("frame_index") * 40.0 + F.col("frame_index") % 3), "fps": F.lit(25.0)})

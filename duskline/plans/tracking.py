@@ -193,13 +193,8 @@ def candidate_evaluation_counts(spark, sf):
     return r.select("sample_id", "duration_ms", "positive_episodes", "candidate_events")
 
 
-@query("candidate_evaluation")
-def candidate_evaluation(spark, sf):
-    return ev.evaluate_candidates(*_eval_inputs(spark, sf), tolerance_ms=1500)
-
-
 # With intervals this short a greedy by end time is a recursive walk per sample: state = the labels already used.
-@query("interval_matches", cte("", "with recursive " + _EVAL.strip() + """,
+_WALK = _EVAL.strip() + """,
 e as (select *, row_number() over (partition by sample_id order by end_ms, start_ms, event_id) as k from events),
 walk as (
   select sample_id, 0 as k, cast([] as varchar[]) as used, cast(null as varchar) as event_id,
@@ -210,13 +205,34 @@ walk as (
   from walk w join e on e.sample_id = w.sample_id and e.k = w.k + 1
   left join lateral (select l.label_id, l.start_ms from labels l where l.sample_id = w.sample_id
       and l.start_ms - 1500 <= e.end_ms and l.end_ms + 1500 >= e.start_ms and not list_contains(w.used, l.label_id)
-      order by l.end_ms, l.start_ms, l.label_id limit 1) c on true)
-select sample_id, event_id, label_id, delay_ms from walk where label_id is not null"""))
+      order by l.end_ms, l.start_ms, l.label_id limit 1) c on true)"""
+
+
+@query("interval_matches", "with recursive " + _WALK + """
+select sample_id, event_id, label_id, delay_ms from walk where label_id is not null""")
 def interval_matches(spark, sf):
     _, events, labels = _eval_inputs(spark, sf)
     return mt.match_intervals(events, labels, 1500, bucket_ms=10_000)
 
 
+@query("candidate_evaluation", cte("v_samples", "with " + _WALK + """,
+m as (select sample_id, count(*) as m, median(delay_ms) as d from walk where label_id is not null group by 1),
+r as (select s.*, coalesce(m.m, 0) as matched_events, m.d as median_alert_delay_ms,
+  (select count(*) from labels l where l.sample_id = s.sample_id) as positive_episodes,
+  (select count(*) from events v where v.sample_id = s.sample_id) as candidate_events
+  from v_samples s left join m on m.sample_id = s.sample_id)
+select sample_id, matched_events, positive_episodes - matched_events as missed_episodes, candidate_events - matched_events as false_alerts,
+  cast(median_alert_delay_ms as double) as median_alert_delay_ms,
+  round(cast(matched_events as double) / nullif(candidate_events, 0), 9) as precision,
+  round(cast(matched_events as double) / nullif(positive_episodes, 0), 9) as recall,
+  round((candidate_events - matched_events) / ((end_ms - start_ms) / cast(3600000 as double)), 6) as false_alerts_per_camera_hour from r"""))
+def candidate_evaluation(spark, sf):
+    r = ev.evaluate_candidates(*_eval_inputs(spark, sf), tolerance_ms=1500)
+    return r.select("sample_id", "matched_events", "missed_episodes", "false_alerts", "median_alert_delay_ms",
+                    F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"),
+                    F.round("false_alerts_per_camera_hour", 6).alias("false_alerts_per_camera_hour"))
+
+
 @query("candidate_roll_up")
 def candidate_roll_up(spark, sf):
     samples, events, labels = _eval_inputs(spark, sf)
