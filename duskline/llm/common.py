@@ -36,10 +36,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def bits(*parts: Column | str | int, width: int = 13) -> Column:
+def bits(label: str, *parts: Column | str | int, width: int = 13) -> Column:
     """A reproducible whole number of 4*width bits from md5, which other SQL engines compute alike."""
-    text = F.concat_ws(":", *[F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p)
-                              .cast("string") for p in parts])
+    text = F.concat_ws(":", F.lit(label), *[F.lit(str(p)) if isinstance(p, int) else (
+        F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, width), 16, 10).cast("long")
 
 

@@ -36,3 +36,10 @@ def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from . import exact_dedup
 
     return exact_dedup.dedup(table(spark, sf, "documents")).drop("copy")
+
+
+@query("op5_source_mix")
+def op5_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(table(spark, sf, "documents"))
