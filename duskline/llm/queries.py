@@ -43,3 +43,10 @@ def op5_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     from . import mixing
 
     return mixing.mix(table(spark, sf, "documents"))
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    from . import fingerprints
+
+    return fingerprints.compare_neighbours(table(spark, sf, "documents"))
