@@ -50,3 +50,10 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     from . import fingerprints
 
     return fingerprints.compare_neighbours(table(spark, sf, "documents"))
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
+    from . import pii
+
+    return pii.report(table(spark, sf, "documents"))
