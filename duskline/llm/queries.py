@@ -57,3 +57,28 @@ def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
     from . import pii
 
     return pii.report(table(spark, sf, "documents"))
+
+
+@query("op1_chat_rotation", r"""
+    with t as (
+      select conv_id, turn, case when trim(coalesce(role, '')) = '' then 'unknown' else trim(role) end as speaker,
+             coalesce(text, '') as text from conversations),
+    p as (select distinct conv_id, speaker as perspective from t where speaker <> 'system'),
+    m as (
+      select t.*, p.perspective,
+        case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user' end as role,
+        '<|im_start|>' || case when speaker = 'system' then 'system' when speaker = perspective then 'assistant'
+          else 'user name=' || replace(replace(speaker, '<|', '< |'), '|>', '| >') end || chr(10) as head,
+        replace(replace(text, '<|', '< |'), '|>', '| >') || '<|im_end|>' || chr(10) as tail
+      from t join p on t.conv_id is not distinct from p.conv_id),
+    r as (
+      select *, head || tail as message,
+        cast(coalesce(sum(length(head || tail)) over (partition by conv_id, perspective order by turn, speaker, text
+             rows between unbounded preceding and 1 preceding), 0) as bigint) as start from m)
+    select conv_id, perspective, turn, speaker, role, message, start,
+      start + case when speaker = perspective then length(head) else length(message) end as train_start,
+      start + length(message) as train_end from r""")
+def op1_chat_rotation(spark: SparkSession, sf: str) -> DataFrame:
+    from . import chat
+
+    return chat.rotate(table(spark, sf, "conversations"))
