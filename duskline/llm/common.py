@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +44,11 @@ def bits(label: str, *parts: Column | str | int, width: int = 13) -> Column:
     return F.conv(F.substring(F.md5(text), 1, width), 16, 10).cast("long")
 
 
+def widened(schema: StructType, more: dict[str, DataType]) -> StructType:
+    """The schema with further columns at its end."""
+    return StructType([*schema.fields, *[StructField(n, t) for n, t in more.items()]])
+
+
 def with_group(rows: DataFrame, key: str, aggs: dict[str, tuple[str, Column]]) -> DataFrame:
     """Add aggregates over each key to its rows; no task ever holds a whole key.
 

@@ -82,3 +82,17 @@ def op1_chat_rotation(spark: SparkSession, sf: str) -> DataFrame:
     from . import chat
 
     return chat.rotate(table(spark, sf, "conversations"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    from . import language
+
+    return language.identify(table(spark, sf, "documents"))
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    from . import quality
+
+    return quality.rate(table(spark, sf, "documents"), table(spark, sf, "labels"))
