@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,3 +97,20 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     from . import quality
 
     return quality.rate(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+#: The model file of op3; the path is a parameter.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def piece_model() -> bytes:
+    """Read on the driver; executors get the bytes."""
+    with open(PIECE_MODEL, "rb") as f:
+        return f.read()
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    from . import pieces
+
+    return pieces.tokenise(table(spark, sf, "documents"), piece_model())
