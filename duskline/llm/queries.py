@@ -114,3 +114,27 @@ def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     from . import pieces
 
     return pieces.tokenise(table(spark, sf, "documents"), piece_model())
+
+
+@query("op8_near_join", rf"""
+    with recursive w as (
+      select doc_id, list_filter(regexp_split_to_array({SQL_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+      from documents),
+    s as (
+      select doc_id, list_distinct(case when len(ws) = 0 then []
+        when len(ws) < 3 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as sh
+      from w),
+    e as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+    p as (
+      select a.doc_id as x, b.doc_id as y, any_value(a.n) as nx, any_value(b.n) as ny, count(*) as common
+      from e a join e b on a.g = b.g and a.doc_id <> b.doc_id and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n
+      group by 1, 2),
+    l as (select x, y from p where 100 * common >= 90 * (nx + ny - common)),
+    r as (select doc_id as x, doc_id as y from s union select r.x, l.y from r join l on r.y = l.x)
+    select s.doc_id, cast(len(sh) as bigint) as n_shingles, min(r.y) as component_id
+    from s join r on r.x = s.doc_id group by 1, 2""")
+def op8_near_join(spark: SparkSession, sf: str) -> DataFrame:
+    from . import near_join
+
+    return near_join.link(table(spark, sf, "documents"), words=3, percent=90)
