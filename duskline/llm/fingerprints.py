@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing.
 
-Every run of K characters gets a hash, built by doubling: hashes of 2m characters combine two overlapping hashes of m, so
-a character costs log2(K) steps. Of every WINDOW consecutive hashes the smallest is chosen, the rightmost on ties, and
-kept with its position. Any run of K + WINDOW - 1 characters that two texts share therefore puts a common hash into both
-fingerprints. All of it is array expressions; long texts are worked through in overlapping pieces, so memory is bounded.
+A text is read as tokens: its words, cut into parts of at most PART characters. Every run of K tokens gets a hash, built by
+doubling: hashes of 2m tokens combine two overlapping hashes of m, so a token costs log2(K) steps. Of every WINDOW
+consecutive hashes the smallest is chosen, the rightmost on ties, and kept with its position (in tokens). Any run of
+K + WINDOW - 1 tokens that two texts share therefore puts a common hash into both fingerprints. All of it is array
+expressions; the tokens of long texts are worked through in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import filled, let
 
-#: Characters in a hashed run and hashes in a window, both powers of two; window starts in a piece of a long text.
-K, WINDOW, PIECE = 8, 16, 8192
+#: Tokens in a hashed run and hashes in a window, both powers of two; window starts in a piece of a long text.
+K, WINDOW, PIECE, PART = 2, 4, 8192, 8
+TOKEN = rf"[^\x20\x09-\x0D]{{1,{PART}}}"
 #: Hashes are taken modulo this prime below 2^42; multipliers stay below 2^20, so products fit a long.
 PRIME, MULTIPLIERS = (1 << 42) - 11, (1_000_003, 786_433, 950_009, 611_953, 524_287)
-#: A packed value is hash * POSITIONS + (POSITIONS - 1 - position): its minimum has the rightmost of equal hashes.
+#: A packed value is hash * POSITIONS - position: its minimum has the rightmost of equal hashes.
 POSITIONS = 1 << 14
 #: Rows (by id) whose next document is found in one sorted run; buckets likewise.
 RUN, RUNS = 256, 4096
@@ -37,17 +39,18 @@ def _doubled(values: Column, times: int, step) -> Column:
     return let(values, lambda a: level(a, 0))
 
 
-def _packed(piece: Column) -> Column:
-    """Packed hashes of every run of K characters in a text of at least K."""
-    chars = F.transform(F.split(piece, ""), lambda c: F.hash(c).cast("long") + (1 << 31))
-    runs = _doubled(chars, K.bit_length() - 1, lambda x, y, i: (x * MULTIPLIERS[i] + y) % PRIME)
-    return F.transform(runs, lambda x, i: x * POSITIONS + (POSITIONS - 1 - i).cast("long"))
+def _packed(tokens: Column) -> Column:
+    """Packed hashes of every run of K tokens, from the hashes of at least K tokens."""
+    runs = _doubled(tokens, K.bit_length() - 1, lambda x, y, i: (x * MULTIPLIERS[i] + y) % PRIME)
+    return F.transform(runs, lambda x, i: x * POSITIONS - i)
 
 
 def _unpacked(packed: Column, base: Column) -> Selection:
-    return F.transform(packed, lambda p: F.struct(
-        (base + POSITIONS - p % POSITIONS).cast("long").alias("pos"),
-        F.shiftright(p, POSITIONS.bit_length() - 1).alias("hash")))
+    def one(p: Column) -> Column:
+        high = F.shiftright(p + (POSITIONS - 1), POSITIONS.bit_length() - 1)
+        return F.struct((base + 1 + high * POSITIONS - p).cast("long").alias("pos"), high.alias("hash"))
+
+    return F.transform(packed, one)
 
 
 def _steps(a: Column) -> Column:
@@ -55,32 +58,32 @@ def _steps(a: Column) -> Column:
     return let(a, lambda b: F.filter(b, lambda x, i: (i == 0) | (F.get(b, i - 1) != x)))
 
 
-def select(text: Column, offset: Column | int = 0) -> Selection:
-    """The winnowed hashes of a text with their positions (from 1, plus ``offset``).
+def select(text: Column) -> Selection:
+    """The winnowed hashes of a text with their positions, from 1.
 
-    An empty text has none. A text shorter than K is one run; one with fewer runs than WINDOW is one window.
+    An empty text has none. A text of fewer tokens than K is one run as a whole (also one without any token); one with
+    fewer runs than WINDOW is one window.
     """
-    offset = F.lit(offset).cast("long") if isinstance(offset, int) else offset.cast("long")
+    none = F.expr("cast(array() as array<struct<pos:bigint,hash:bigint>>)")
 
-    def of(t: Column) -> Column:
-        n = F.length(t)
-        windows = n - (K + WINDOW - 2)
-        whole = F.array(F.struct((offset + 1).alias("pos"), F.pmod(F.xxhash64(t), F.lit(PRIME)).alias("hash")))
-        one = _unpacked(F.array(F.array_min(_packed(t))), offset)
+    def of(tokens: Column) -> Column:
+        windows = F.size(tokens) - (K + WINDOW - 2)
+        whole = F.array(F.struct(F.lit(1).cast("long").alias("pos"), F.pmod(F.xxhash64(text), F.lit(PRIME)).alias("hash")))
 
         def piece(c: Column) -> Column:
             start = (c * PIECE).cast("int")
-            packed = _packed(F.substring(t, start + 1, F.lit(PIECE + K + WINDOW - 2)))
+            packed = _packed(F.slice(tokens, start + 1, F.lit(PIECE + K + WINDOW - 2)))
             least = _doubled(packed, WINDOW.bit_length() - 1, lambda x, y, i: F.least(x, y))
-            return _unpacked(_steps(least), offset + start)
+            return _unpacked(_steps(least), start)
 
         last = F.floor((windows - 1) / PIECE).cast("int")
         many = F.when(last == 0, piece(F.lit(0))).otherwise(
             _steps(F.flatten(F.transform(F.sequence(F.lit(0), last), piece))))
-        none = F.filter(whole, lambda x: F.lit(False))
-        return F.when(n == 0, none).when(n < K, whole).when(windows < 1, one).otherwise(many)
+        return (F.when(F.size(tokens) < K, whole)
+                .when(windows < 1, _unpacked(F.array(F.array_min(_packed(tokens))), F.lit(0))).otherwise(many))
 
-    return let(text, of)
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME)))
+    return F.when(F.length(text) == 0, none).otherwise(let(tokens, of))
 
 
 def hashes(selection: Selection) -> Column:
@@ -123,7 +126,6 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     The edited text replaces the last quarter of the code points by the first as many of the next document by
     ascending doc_id (after the last: the first). Null text is empty; a null doc_id counts as smaller than all; rows with
     the same doc_id follow each other by text; a lone row is its own next. An empty table gives an empty result.
-    Only the part of the edited text that windows over the edit can see is hashed again.
     """
     rows = docs.select("doc_id", filled("text").alias("text"))
     run = F.floor(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long") / RUN)
@@ -138,16 +140,11 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     met = met.withColumn("next_text", F.coalesce("next_text", "_head")).withColumn(
         "next_hashes", F.coalesce(F.col("next_hashes"), hashes(select(F.col("_head")))))
     n = F.col("n")
-    keep = n - F.floor(n / 4).cast("int")
-    head = F.substring(F.col("next_text"), F.lit(1), F.floor(n / 4).cast("int"))
-    same = keep - (K + WINDOW - 2)  # windows that lie in the kept part
-    start = same - WINDOW + 1
-    tail = F.concat(F.substring(F.col("text"), start, keep - start + 1), head)
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), keep), head)
-    again = F.filter(select(tail, start - 1), lambda s: s["pos"] > same)
-    changed = F.when(start > 1, F.concat(F.filter("sel", lambda s: s["pos"] <= same), again)).otherwise(select(edited))
-    return (met.withColumn("edited_sel", changed).withColumn("edited_hashes", hashes(F.col("edited_sel")))
-            .select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
+    cut = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
+    met = met.withColumn("edited", edited)
+    return (met.withColumn("edited_sel", select(F.col("edited"))).withColumn("edited_hashes", hashes(F.col("edited_sel")))
+            .select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                     digest(F.col("sel")).alias("fingerprint"), digest(F.col("edited_sel")).alias("edited_fingerprint"),
                     likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
                     likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
