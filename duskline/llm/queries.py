@@ -138,3 +138,10 @@ def op8_near_join(spark: SparkSession, sf: str) -> DataFrame:
     from . import near_join
 
     return near_join.link(table(spark, sf, "documents"), words=3, percent=90)
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(table(spark, sf, "documents"))
