@@ -1,101 +1,98 @@
 """Exact one-to-one assignment on the small matrices left after edges are gated.
 
-Most pairs first, then the largest total weight, both exactly: float weights are scaled to integers.
+Most pairs first, then the largest total weight, both exactly: float weights are compared as whole numbers.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
 Edge = tuple[int, int, float]
 
 
-def _exact(edges: list[Edge], rows: dict[int, int], cols: dict[int, int]) -> np.ndarray:
-    """Integer gains: any pair outweighs every possible total of weights."""
-    ratios = [(rows[r], cols[c], *float(w).as_integer_ratio()) for r, c, w in edges]
-    scale = max(den for *_, den in ratios)
-    bonus = (min(len(rows), len(cols)) + 1) * scale
-    gain = np.zeros((len(rows), len(cols)), dtype=object)
-    for r, c, num, den in ratios:
-        gain[r, c] = bonus + num * (scale // den)
-    return gain
-
-
-def _solve(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Rows enter one by one along a shortest augmenting path; needs rows <= columns. First minimum wins."""
-    n, m = gain.shape
-    price_row, price_col = np.zeros(n, dtype=object), np.zeros(m, dtype=object)
-    owner = np.full(m, -1)
-    for entering in range(n):
-        best, via = None, np.full(m, -1)
-        open_cols, done_rows, done_cols = np.ones(m, dtype=bool), [entering], []
-        row, col = entering, -1
-        while True:
-            slack = -gain[row] - price_row[row] - price_col
-            if best is None:
-                best = slack.copy()
-                via[:] = -1
+def _costs(edges: list[Edge]) -> list[int]:
+    """The weights' negatives as whole numbers on one common scale, so sums compare exactly."""
+    ratios = [float(w).as_integer_ratio() for *_, w in edges]
+    scale = max(den for _, den in ratios)
+    return [-num * (scale // den) for num, den in ratios]
+
+
+def _fill(edges: list[Edge]) -> list[int]:
+    """Numbers of the edges chosen in one connected group, by successive cheapest paths over the edges themselves.
+
+    Each round looks for the cheapest way from any free row to a free column, going back over chosen edges, and turns it
+    over: one pair more, at the least total cost that this many pairs allow. It ends when no free column can be reached.
+    Node potentials keep the remaining costs from being negative, so a heap finds the way.
+    """
+    cost = _costs(edges)
+    out: dict[int, list[int]] = {}
+    for n, (r, _, _) in enumerate(edges):
+        out.setdefault(r, []).append(n)
+    lift = {("r", r): max(-cost[n] for n in at) for r, at in out.items()}
+    ceiling = max(lift.values())
+    lift.update({("c", c): 0 for _, c, _ in edges})
+    row_pair: dict[int, int] = {}
+    col_pair: dict[int, int] = {}
+    while True:
+        far = {("r", r): ceiling - lift["r", r] for r in out if r not in row_pair}
+        came: dict[tuple, int] = {}
+        heap = [(d, v) for v, d in far.items()]
+        heapq.heapify(heap)
+        while heap:
+            d, v = heapq.heappop(heap)
+            if d > far[v]:
+                continue
+            if v[0] == "r":
+                ways = [(("c", edges[n][1]), cost[n], n) for n in out[v[1]] if row_pair.get(v[1]) != n]
             else:
-                better = open_cols & (slack < best)
-                best[better], via[better] = slack[better], col
-            free = np.flatnonzero(open_cols)
-            pick = int(free[np.argmin(best[free])])
-            step = best[pick]
-            for r in done_rows:
-                price_row[r] += step
-            price_col[done_cols] -= step
-            best[free] -= step
-            open_cols[pick] = False
-            col = pick
-            if owner[col] < 0:
+                n = col_pair.get(v[1])
+                ways = [] if n is None else [(("r", edges[n][0]), -cost[n], n)]
+            for to, price, n in ways:
+                there = d + price + lift[v] - lift[to]
+                if to not in far or there < far[to]:
+                    far[to], came[to] = there, n
+                    heapq.heappush(heap, (there, to))
+        goals = [(d + lift[v], v) for v, d in far.items() if v[0] == "c" and v[1] not in col_pair]
+        if not goals:
+            return list(row_pair.values())
+        at = min(goals)[1]
+        for v, d in far.items():
+            lift[v] += d
+        ceiling = max(lift["r", r] for r in out)
+        # Turn the way over, from its column back to the free row.
+        while True:
+            n = came[at]
+            row, col = edges[n][:2]
+            before = row_pair.get(row)
+            row_pair[row], col_pair[col] = n, n
+            if before is None:
                 break
-            row = int(owner[col])
-            done_rows.append(row)
-            done_cols.append(col)
-        while col >= 0:
-            before = int(via[col])
-            owner[col] = entering if before < 0 else owner[before]
-            col = before
-    return [(int(owner[c]), c) for c in range(m) if owner[c] >= 0]
+            at = ("c", edges[before][1])
 
 
 def assign_edges(edges: list[Edge]) -> list[tuple[int, int]]:
-    """Pairs (row, column) out of weighted edges: maximum count, then maximum total weight, ties in matrix order."""
-    by_row: dict[int, list[Edge]] = {}
-    by_col: dict[int, list[Edge]] = {}
-    for e in sorted(edges):
-        by_row.setdefault(e[0], []).append(e)
-        by_col.setdefault(e[1], []).append(e)
-    pairs: list[tuple[int, int]] = []
-    done: set[int] = set()
-    for start in by_row:
-        if start in done:
-            continue
-        rows, cols, todo = {start}, set(), [start]
-        while todo:
-            for _, c, _ in by_row[todo.pop()]:
-                if c not in cols:
-                    cols.add(c)
-                    for r, _, _ in by_col[c]:
-                        if r not in rows:
-                            rows.add(r)
-                            todo.append(r)
-        done |= rows
-        group = [e for r in sorted(rows) for e in by_row[r]]
-        if len(rows) == 1 or len(cols) == 1:
-            pairs.append(max(group, key=lambda e: e[2])[:2])
-            continue
-        turned = len(rows) > len(cols)
-        r_at, c_at = ({x: i for i, x in enumerate(sorted(xs))} for xs in (rows, cols))
-        gain = _exact(group, r_at, c_at)
-        valid = {(r, c) for r, c, _ in group}
-        r_of, c_of = sorted(rows), sorted(cols)
-        for i, j in _solve(gain.T if turned else gain):
-            pair = (r_of[j], c_of[i]) if turned else (r_of[i], c_of[j])
-            if pair in valid:
-                pairs.append(pair)
-    return sorted(pairs)
+    """Pairs (row, column) out of weighted edges: as many as possible, then the largest total weight, both exactly.
+
+    Edges that share no row or column, directly or through others, are solved apart.
+    """
+    edges = sorted(edges)
+    parent: dict[tuple, tuple] = {}
+
+    def head(v: tuple) -> tuple:
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = parent.setdefault(up, up)
+            v = up
+        return v
+
+    for r, c, _ in edges:
+        parent[head(("c", c))] = head(("r", r))
+    groups: dict[tuple, list[Edge]] = {}
+    for e in edges:
+        groups.setdefault(head(("r", e[0])), []).append(e)
+    return sorted(group[n][:2] for group in groups.values() for n in (_fill(group) if len(group) > 1 else [0]))
 
 
 def assign(weights: np.ndarray, valid: np.ndarray) -> list[tuple[int, int]]:

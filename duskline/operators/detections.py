@@ -39,12 +39,15 @@ def _screen(df: DataFrame, frame: Sequence[str], reason: Column) -> Screened:
                     tagged.filter("_reason is not null").groupBy(*frame).agg(F.min("_reason").alias("reason")))
 
 
-def _finite(cols: Sequence[str]) -> Column:
-    bad = F.lit(False)
+def _is_finite(v: Column) -> Column:
+    return ~(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+
+
+def _finite(cols: Sequence[str | Column]) -> Column:
+    good = F.lit(True)
     for c in cols:
-        v = F.col(c)
-        bad = bad | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    return ~bad
+        good = good & _is_finite(F.col(c) if isinstance(c, str) else c)
+    return good
 
 
 def best_first(category: bool = False) -> list[Column]:
@@ -66,18 +69,21 @@ def _top_or_refuse(rows: DataFrame, frame: Sequence[str], cap: int, overflow: st
 
 def ssd_detections(raw: DataFrame, label: int, threshold: float = 0.5, cap: int = 64, overflow: str = "refuse",
                    category: str = "object", class_id: int | None = None, max_rows: int = 4096,
-                   frame: Sequence[str] = FRAME) -> Screened:
+                   frame: Sequence[str] = FRAME, unit_confidence: bool = False) -> Screened:
     """Rows ``image_id, label, confidence, x1..y2`` in ``row_ordinal`` order; a negative image id ends the frame.
 
-    ``overflow='truncate'`` keeps the best ``cap``; ``'refuse'`` rejects the frame.
+    ``overflow='truncate'`` keeps the best ``cap``; ``'refuse'`` rejects the frame. With ``unit_confidence`` a
+    confidence outside 0 to 1 refuses the frame.
     """
     w = Window.partitionBy(*frame)
     live = raw.withColumn("_end", F.min(F.when(F.col("image_id") < 0, F.col("row_ordinal"))).over(w)).filter(
         F.col("_end").isNull() | (F.col("row_ordinal") <= F.col("_end")))
     live = live.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn(
         "_bad", F.max((~_finite(["image_id", "label", "confidence", "x1", "y1", "x2", "y2"])).cast("int")).over(w))
+    outside = F.max((~F.col("confidence").between(0.0, 1.0) & (F.col("image_id") >= 0)).cast("int")).over(w)
+    live = live.withColumn("_outside", outside if unit_confidence else F.lit(0))
     screened = _screen(live, frame, F.when(F.col("_n") > max_rows, "too_many_rows").when(
-        F.col("_bad") == 1, "not_finite"))
+        F.col("_bad") == 1, "not_finite").when(F.col("_outside") == 1, "bad_confidence"))
     box = tuple(clamp01(F.col(c)) for c in ("x1", "y1", "x2", "y2"))
     rows = (
         screened.rows.filter((F.col("image_id") >= 0) & (F.col("label") == label) & (F.col("confidence") >= threshold))
@@ -91,7 +97,8 @@ def ssd_detections(raw: DataFrame, label: int, threshold: float = 0.5, cap: int
 
 def person_detections(raw: DataFrame, threshold: float = 0.5, max_people: int = 16, person_label: int = 1,
                       frame: Sequence[str] = FRAME) -> Screened:
-    return ssd_detections(raw, person_label, threshold, max_people, "truncate", "person", frame=frame)
+    return ssd_detections(raw, person_label, threshold, max_people, "truncate", "person", frame=frame,
+                          unit_confidence=True)
 
 
 def plate_detections(raw: DataFrame, threshold: float = 0.5, max_plates: int = 16,
@@ -119,10 +126,13 @@ def tensor_detections(tensors: DataFrame, classes: Mapping[int, str], threshold:
     wrong_class = F.exists(used, lambda e: e["classes"].isNull() | (e["classes"] != F.floor(e["classes"])))
     wrong_score = F.exists(used, lambda e: e["scores"].isNull() | F.isnan(e["scores"]) | (e["scores"] < 0)
                            | (e["scores"] > 1))
+    wrong_box = F.exists(used, lambda e: e["boxes"].isNull() | (F.size(e["boxes"]) != 4) | F.exists(
+        e["boxes"], lambda v: ~_is_finite(v)))
     reason = (
         F.when(num.isNull() | (num != F.floor(num)) | (num < 0) | (num > MAX_TENSOR_ROWS), "bad_count")
         .when((shortest < n) | (longest > MAX_TENSOR_ROWS), "bad_length")
-        .when(wrong_class, "bad_class").when(wrong_score, "bad_score"))
+        .when(wrong_class, "bad_class").when(wrong_score, "bad_score")
+        .when(wrong_box, "bad_box"))
     screened = _screen(tensors, frame, reason)
     names = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
     e = F.col("e")
@@ -140,12 +150,19 @@ def tensor_detections(tensors: DataFrame, classes: Mapping[int, str], threshold:
 
 def landmark_face_detections(raw: DataFrame, threshold: float = 0.9, max_faces: int = 64,
                              frame: Sequence[str] = FRAME) -> Screened:
-    """Rows ``vals`` = x, y, w, h, ten landmark numbers, score, in pixels of ``width`` × ``height``."""
+    """Rows ``vals`` = x, y, w, h, ten landmark numbers, score, in pixels of ``width`` × ``height``.
+
+    A row that is too short, or whose box or score is not finite, refuses its frame."""
     v = F.col("vals")
     x, y, w, h, score = (v[i] for i in (0, 1, 2, 3, 14))
     box = (clamp01(x / F.col("width")), clamp01(y / F.col("height")), clamp01((x + w) / F.col("width")),
            clamp01((y + h) / F.col("height")))
-    screened = _screen(raw, frame, F.when(F.size(v) < 15, "bad_length"))
+    used = (~_finite([x, y, w, h, score])).cast("int")
+    short = (F.coalesce(F.size(v), F.lit(-1)) < 15).cast("int")
+    whole = Window.partitionBy(*frame)
+    tagged = raw.withColumn("_short", F.max(short).over(whole)).withColumn(
+        "_bad", F.max(F.when(short == 0, used).otherwise(0)).over(whole))
+    screened = _screen(tagged, frame, F.when(F.col("_short") == 1, "bad_length").when(F.col("_bad") == 1, "not_finite"))
     rows = (
         screened.rows.filter((score >= threshold) & (w > 0) & (h > 0)).filter(has_area(box))
         .select(*frame, "row_ordinal", F.lit("face").alias("category"), score.alias("confidence"),

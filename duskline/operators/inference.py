@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import Columns, map_sorted_groups
+from .scale import Columns, fold_sorted
 
 PredictFn = Callable[[pd.DataFrame], pd.DataFrame]
 REFUSED = ("face", "license_plate")
@@ -79,32 +79,37 @@ def histograms(frames: DataFrame, key: Sequence[str] = ("observation_id",)) -> t
     return good.mapInPandas(run, schema), tagged.filter("reason is not null").select(*key, "reason")
 
 
-def repair_clock(frames: DataFrame, key: Sequence[str] = ("source_id", "session_id"), max_frames: int = 100_000) -> DataFrame:
+def repair_clock(frames: DataFrame, key: Sequence[str] = ("source_id", "session_id")) -> DataFrame:
     """``elapsed_ms`` per frame: the media position while it moves forward, else the nominal index·1000/fps.
 
-    ``frames``: key, frame_index, position_ms, fps. A file holds at most ``max_frames`` frames, larger ones are left
-    out. Rows from the first frame no clock can order get NULL, as does everything after it.
+    ``frames``: key, frame_index, position_ms, fps. Rows from the first frame no clock can order get NULL, as does
+    everything after it. Sessions are read in order, a slice at a time, so they may have any length.
     """
-    from .rules import capacity, without
-
     key = list(key)
-    ok = without(frames, capacity(frames, key, max_frames), key)
     types = {f.name: f.dataType.simpleString() for f in frames.schema}
 
-    def run(c: Columns) -> Columns:
+    class Clock:
+        at, last, first, stopped = 0, -1, float("nan"), False
+
+    def take(clock: Clock, c: Columns) -> Columns:
         pos, fps = c["position_ms"].astype(float), c["fps"].astype(float)
-        media = len(pos) > 0 and np.isfinite(pos[0]) and pos[0] >= 0
         out = np.full(len(pos), None, dtype=object)
-        last = -1
+        if clock.at == 0:
+            clock.first = pos[0]
+        media = np.isfinite(clock.first) and clock.first >= 0
         for i in range(len(pos)):
-            moved = pos[i] - pos[0] if media else -1.0
+            if clock.stopped:
+                break
+            moved = pos[i] - clock.first if media else -1.0
             now = round(moved) if np.isfinite(moved) and moved >= 0 else -1
-            if now <= last:
-                now = round(i * 1000.0 / fps[i])
-            if now <= last:
+            if now <= clock.last:
+                now = round((clock.at + i) * 1000.0 / fps[i])
+            if now <= clock.last:
+                clock.stopped = True
                 break
-            out[i] = last = now
+            out[i] = clock.last = now
+        clock.at += len(pos)
         return {**{k: c[k] for k in key}, "frame_index": c["frame_index"], "elapsed_ms": out}
 
-    return map_sorted_groups(ok.select(*key, "frame_index", "position_ms", "fps"), key, ["frame_index"], run,
-                             ", ".join([*[f"{k} {types[k]}" for k in key], "frame_index long, elapsed_ms long"]))
+    return fold_sorted(frames.select(*key, "frame_index", "position_ms", "fps"), key, ["frame_index"], Clock, take,
+                       lambda clock: None, ", ".join([*[f"{k} {types[k]}" for k in key], "frame_index long, elapsed_ms long"]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+import bisect
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.assignment import assign_edges
 from ..functions.geometry import iou, iou_scaled
-from .scale import Columns, islands, map_sorted_groups
+from .scale import Columns, fold_sorted, islands, map_sorted_groups
 
 BOX = ("x_min", "y_min", "x_max", "y_max")
 
@@ -32,9 +32,11 @@ def best_pairs(edge: DataFrame, frame: Sequence[str]) -> DataFrame:
     """Maximum number of pairs per frame, then maximum total weight.
 
     An edge whose two ends have no other edge is a pair already and never leaves the JVM. The rest goes through the
-    exact solver, one (bounded) frame at a time.
+    exact solver, one (bounded) frame at a time. Rows are dealt out by frame once, which serves both counts and the
+    solver.
     """
     frame = list(frame)
+    edge = edge.repartition(*frame)
 
     def degree(side: str):
         return F.count(F.lit(1)).over(Window.partitionBy(*frame, side))
@@ -62,8 +64,8 @@ def match_intervals(events: DataFrame, labels: DataFrame, tolerance_ms: int = 0,
     """One-to-one event/label pairs per sample, as many as possible.
 
     ``events``: sample_id, event_id, start_ms, end_ms. ``labels``: sample_id, label_id, start_ms, end_ms. Samples are
-    cut where no interval reaches across, so a long recording is many small groups; inside a group events are taken
-    by end and get the open label that closes first.
+    cut where no interval reaches across, so a long recording is many small groups; a group is read along its time line
+    with only the open labels in memory. Events are taken by end and get the open label that closes first.
     """
     ev = events.select("sample_id", F.lit(0).alias("kind"), F.col("event_id").cast("string").alias("id"),
                        "start_ms", "end_ms", F.col("start_ms").alias("lo"), F.col("end_ms").alias("hi"))
@@ -72,35 +74,27 @@ def match_intervals(events: DataFrame, labels: DataFrame, tolerance_ms: int = 0,
                        (F.col("end_ms") + tolerance_ms).alias("hi"))
     groups = islands(ev.unionByName(lb), ["sample_id"], "lo", "hi", "island", bucket_ms).drop("_before")
     w = Window.partitionBy("sample_id", "island")
-    mixed = groups.withColumn("_k", F.max("kind").over(w) - F.min("kind").over(w))
-    mixed = mixed.filter("_k = 1").drop("_k")
-
-    def sweep(c: Columns) -> Columns | None:
-        is_event = c["kind"] == 0
-        ev_at = np.flatnonzero(is_event)
-        ev_at = ev_at[np.lexsort((c["id"][ev_at], c["start_ms"][ev_at], c["end_ms"][ev_at]))]
-        lab = np.flatnonzero(~is_event)
-        lab = lab[np.lexsort((c["id"][lab], c["hi"][lab], c["lo"][lab]))]
-        open_labels: list[tuple] = []
-        nxt, pairs = 0, []
-        for e in ev_at:
-            while nxt < len(lab) and c["lo"][lab[nxt]] <= c["end_ms"][e]:
-                i = lab[nxt]
-                heapq.heappush(open_labels, (c["hi"][i], c["start_ms"][i], c["id"][i], i))
-                nxt += 1
-            while open_labels and open_labels[0][0] < c["start_ms"][e]:
-                heapq.heappop(open_labels)
-            if open_labels:
-                pairs.append((e, heapq.heappop(open_labels)[3]))
-        if not pairs:
-            return None
-        a, b = (np.array(x) for x in zip(*pairs))
-        return {"sample_id": c["sample_id"][a], "event_id": c["id"][a], "label_id": c["id"][b],
-                "delay_ms": c["end_ms"][a].astype(np.int64) - c["start_ms"][b].astype(np.int64)}
-
+    mixed = groups.withColumn("_k", F.max("kind").over(w) - F.min("kind").over(w)).filter("_k = 1").drop("_k")
+    # One time line: a label counts from where it opens, an event from where it ends, labels first at the same moment.
+    line = mixed.select("sample_id", "island", F.when(F.col("kind") == 1, F.col("lo")).otherwise(F.col("end_ms")).alias("moment"),
+                        (1 - F.col("kind")).alias("turn"), "start_ms", "id", "end_ms", "hi")
     sample_type = events.schema["sample_id"].dataType.simpleString()
-    return map_sorted_groups(mixed, ["sample_id", "island"], ["lo"], sweep,
-                             f"sample_id {sample_type}, event_id string, label_id string, delay_ms long")
+
+    def take(waiting: list, c: Columns) -> Columns | None:
+        """``waiting``: open labels as (closes, start, id), sorted; those closed before an event begins are out."""
+        got = []
+        for turn, start, end, close, name in zip(*(c[n].tolist() for n in ("turn", "start_ms", "end_ms", "hi", "id"))):
+            if turn == 0:
+                bisect.insort(waiting, (close, start, name))
+                continue
+            del waiting[:bisect.bisect_left(waiting, (start,))]
+            if waiting:
+                _, began, label = waiting.pop(0)
+                got.append((c["sample_id"][0], name, label, end - began))
+        return dict(zip(("sample_id", "event_id", "label_id", "delay_ms"), zip(*got))) if got else None
+
+    return fold_sorted(line, ["sample_id", "island"], ["moment", "turn", "start_ms", "id"], list, take, lambda waiting: None,
+                       f"sample_id {sample_type}, event_id string, label_id string, delay_ms long")
 
 
 def overlapping_samples(samples: DataFrame, keys: Sequence[str] = ("site_id", "camera_id"),

@@ -91,7 +91,6 @@ def map_sorted_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     groups cost little. Only one group is held at a time; callers keep groups bounded. ``spread_by`` (a prefix of
     ``keys``) keeps groups sharing it in one task, visited in key order; ``fn`` is then a factory called per task.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys, names = list(keys), list(df.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +140,53 @@ def map_sorted_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         if ready:
             yield flush()
 
-    return (df.repartition(parts, *(spread_by or keys)).sortWithinPartitions(*keys, *[o for o in order if o not in keys])
+    return (df.repartition(*(spread_by or keys)).sortWithinPartitions(*keys, *[o for o in order if o not in keys])
+            .mapInPandas(run, schema))
+
+
+def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], begin: Callable[[], object],
+                take: Callable[[object, Columns], Columns | None], end: Callable[[object], Columns | None],
+                schema: str) -> DataFrame:
+    """Read the rows of every key in order, slice by slice, with a state per key that ``begin`` makes.
+
+    ``take(state, slice)`` and, after the last slice of a key, ``end(state)`` return output columns or None (of ``end`` the
+    key columns are filled in). A task holds one slice and one state, however long a key is.
+    """
+    keys, names = list(keys), list(df.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, held = None, None
+
+        def closed() -> pd.DataFrame | None:
+            out = end(state)
+            if out is None:
+                return None
+            size = len(next(iter(out.values())))
+            return pd.DataFrame({**{k: [v] * size for k, v in zip(keys, held)}, **out})
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cols = {n: pdf[n].to_numpy() for n in names}
+            change = np.zeros(len(pdf), dtype=bool)
+            for k in keys:
+                change[1:] |= cols[k][1:] != cols[k][:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), len(pdf)]
+            ready = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                key = tuple(cols[k][a] for k in keys)
+                if key != held:
+                    ready.append(closed() if held is not None else None)
+                    state, held = begin(), key
+                out = take(state, {n: v[a:b] for n, v in cols.items()})
+                ready.append(None if out is None else pd.DataFrame(out))
+            ready = [r for r in ready if r is not None and len(r)]
+            if ready:
+                yield pd.concat(ready)
+        if held is not None and (last := closed()) is not None and len(last):
+            yield last
+
+    return (df.repartition(*keys).sortWithinPartitions(*keys, *[o for o in order if o not in keys])
             .mapInPandas(run, schema))
 
 

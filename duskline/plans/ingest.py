@@ -60,11 +60,11 @@ _LT = """l_orderkey as frame_number, l_partkey as person_id, l_partkey * 1000 +
 
 
 @query("label_table_objects", f"""
-with r as (select {_LT} from lineitem)
+with r as (select *, count(*) over (partition by frame_number, tracking_id) as times from (select {_LT} from lineitem))
 select frame_number as frame_index, concat('label-track:', tracking_id) as object_id, 'person' as category,
   round(cast(x as double) / 1000, 9) as x_min, round(cast(y as double) / 600, 9) as y_min,
   round(cast(x + width as double) / 1000, 9) as x_max, round(cast(y + height as double) / 600, 9) as y_max
-from r where is_valid = 1 and pose_class < 3 and width > 0 and height > 0 and x + width <= 1000 and y + height <= 600""")
+from r where times = 1 and is_valid = 1 and pose_class < 3 and width > 0 and height > 0 and x + width <= 1000 and y + height <= 600""")
 def label_table_objects(spark, sf):
     return rounded(man.label_table(table(spark, sf, "lineitem").selectExpr(*_split(_LT)), 1000, 600).clean)
 
@@ -72,7 +72,8 @@ def label_table_objects(spark, sf):
 @query("label_table_violations", f"""
 with r as (select {_LT} from lineitem)
 select rule, count(*) as n from (select 'pose_class' as rule from r where pose_class > 2 union all
-  select 'area' from r where height <= 0 union all select 'inside' from r where x + width > 1000 or y + height > 600) group by rule""")
+  select 'area' from r where height <= 0 union all select 'inside' from r where x + width > 1000 or y + height > 600 union all
+  select 'repeated' from r group by frame_number, tracking_id having count(*) > 1) group by rule""")
 def label_table_violations(spark, sf):
     v = man.label_table(table(spark, sf, "lineitem").selectExpr(*_split(_LT)), 1000, 600).violations
     return v.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.rules import capacity, without
+from ..operators.scale import Columns, fold_sorted
 
 # Segments in a window and the longest window.
 WINDOW_SEGMENTS, MAX_WINDOW_SECONDS = 3, 35.0
@@ -46,34 +47,33 @@ def segment_report(frames: DataFrame, sampled: DataFrame, tracks: DataFrame,
     return f.join(s, key, "left").join(t, key, "left").na.fill(0).withColumn("accuracy", F.lit(None).cast("double"))
 
 
-MAX_FRAMES = 100_000
+def _sequence_digest(frames: DataFrame, key: Sequence[str], order: Sequence[str], item: Column, out: str) -> DataFrame:
+    """SHA-256 over the items (binary) of a key in order. A hash reads its text in order, so one task reads a key, but
+    holds only a slice of it."""
+    kind = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in key)
 
+    def take(state: list, c: Columns) -> None:
+        state[0].update(b"".join(bytes(x) for x in c["_item"]))
+        state[1] += len(c["_item"])
 
-def _within(frames: DataFrame, key: Sequence[str]) -> DataFrame:
-    return without(frames, capacity(frames, list(key), MAX_FRAMES), list(key))
+    return fold_sorted(frames.select(*key, *order, item.alias("_item")), key, [*order, "_item"],
+                       lambda: [hashlib.sha256(), 0], take, lambda s: {out: [s[0].hexdigest()], "frames": [s[1]]},
+                       f"{kind}, {out} string, frames long")
 
 
 def frame_manifest_digest(frames: DataFrame, key: Sequence[str] = ("sequence_id",)) -> DataFrame:
-    """SHA-256 over the ordered lines ``<index> TAB <sha>``. A digest needs its whole text, so sequences over the frame
-    bound are left out first; ``rules.capacity`` reports them."""
-    frames = _within(frames, key)
+    """SHA-256 over the ordered lines ``<index> TAB <sha>``, and the number of frames, for sequences of any length."""
     line = F.concat(F.col("frame_index").cast("string"), F.lit("\t"), F.col("sha256"), F.lit("\n"))
-    ordered = F.array_sort(F.collect_list(F.struct("frame_index", line.alias("line"))))
-    return frames.groupBy(*key).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), ""), 256).alias("digest"),
-                                    F.count(F.lit(1)).alias("frames"))
+    return _sequence_digest(frames, list(key), ["frame_index"], F.encode(line, "UTF-8"), "digest")
 
 
 def frame_chain_digest(frames: DataFrame, key: Sequence[str] = ("source_id", "segment_id")) -> DataFrame:
     """SHA-256 over index, timestamp (8 bytes each) and frame digest of a segment's frames in order."""
-    frames = _within(frames, key)
-
     def eight(c: str):
         return F.unhex(F.lpad(F.hex(F.col(c)), 16, "0"))
 
-    item = F.struct("frame_index", F.concat(eight("frame_index"), eight("timestamp_ms"), F.unhex("sha256")).alias("b"))
-    ordered = F.array_sort(F.collect_list(item))
-    joined = F.array_join(F.transform(ordered, lambda x: F.hex(x["b"])), "")
-    return frames.groupBy(*key).agg(F.sha2(F.unhex(joined), 256).alias("chain_sha256"))
+    item = F.concat(eight("frame_index"), eight("timestamp_ms"), F.unhex("sha256"))
+    return _sequence_digest(frames, list(key), ["frame_index"], item, "chain_sha256").drop("frames")
 
 
 def label_digest(objects: DataFrame, key: Sequence[str] = ("sequence_id",)) -> DataFrame:

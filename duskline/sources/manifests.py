@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rules import Checked, check
+from ..operators.rules import Checked, check, duplicates
 
 _SAMPLE = ("sample_id string, site_id string, camera_id string, video_path string, start_timestamp_ms long, "
            "end_timestamp_ms long, authorization_ref string, media_sha256 string, "
@@ -72,7 +72,9 @@ def read_label_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def label_table(rows: DataFrame, image_width: int, image_height: int, key: Sequence[str] = ()) -> Checked:
-    """Twelve-column label rows to normalised truth objects. The person number is checked and then dropped."""
+    """Twelve-column label rows to normalised truth objects. The person number is checked and then dropped.
+
+    A track may be listed once in a frame; rows that repeat it are all refused."""
     c = F.col
     rules = {
         "identifiers": (c("frame_number") >= 0) & (c("person_id") >= 0) & (c("tracking_id") >= 0),
@@ -81,12 +83,14 @@ def label_table(rows: DataFrame, image_width: int, image_height: int, key: Seque
         "area": (c("width") > 0) & (c("height") > 0) & (c("x") >= 0) & (c("y") >= 0),
         "inside": (c("x") + c("width") <= image_width) & (c("y") + c("height") <= image_height),
     }
-    got = check(rows, rules, [*key, "frame_number", "tracking_id"])
-    clean = got.clean.filter("is_valid = 1").select(
+    track = [*key, "frame_number", "tracking_id"]
+    got = check(rows, rules, track)
+    again = duplicates(rows, track).select(*track)
+    clean = got.clean.join(again, track, "left_anti").filter("is_valid = 1").select(
         *key, c("frame_number").alias("frame_index"), F.concat(F.lit("label-track:"), c("tracking_id")).alias("object_id"),
         F.lit("person").alias("category"), (c("x") / image_width).alias("x_min"), (c("y") / image_height).alias("y_min"),
         ((c("x") + c("width")) / image_width).alias("x_max"), ((c("y") + c("height")) / image_height).alias("y_max"))
-    return Checked(clean, got.violations)
+    return Checked(clean, got.violations.unionByName(again.withColumn("rule", F.lit("repeated"))))
 
 
 def activity_intervals(rows: DataFrame, text: str = "classes") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.rules import RuleViolation, observation_rules
 
 MAX_LINE_BYTES = 16_384
+#: One flat object and nothing else; strings may hold anything.
+_ONE_OBJECT = r'^\s*+\{(?:[^"{}\[\]]|"(?:[^"\\]|\\.)*+")*+\}\s*+\z'
 _TYPES = {"timestamp_ms": "long", "track_id": "string", "posture": "string", "confidence": "double"}
 
 
@@ -20,7 +22,7 @@ class Parsed(NamedTuple):
 
 def parse_lines(lines: DataFrame, source_id: str, session_id: str) -> Parsed:
     """``value`` lines to observations. A line is refused when it is too long, not an object with exactly the four
-    fields, or outside the observation rules. Blank lines are skipped."""
+    fields and nothing after it, or outside the observation rules. Blank lines are skipped."""
     raw = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
     exact = F.array_sort(F.map_keys("_m")) == F.array(*[F.lit(c) for c in sorted(_TYPES)])
     m = F.col("_m")
@@ -33,7 +35,8 @@ def parse_lines(lines: DataFrame, source_id: str, session_id: str) -> Parsed:
         .withColumns({**fields, "_long": F.octet_length("value") > MAX_LINE_BYTES}))
     reason: Column = (
         F.when(F.col("_long"), "too_long").when(m.isNull(), "not_an_object").when(~exact, "wrong_fields")
-        .when(~F.coalesce(number, F.lit(False)), "wrong_types"))
+        .when(~F.coalesce(number, F.lit(False)), "wrong_types")
+        .when(~F.col("value").rlike(_ONE_OBJECT), "not_one_object"))
     for name, ok in observation_rules().items():
         reason = reason.when(~F.coalesce(ok, F.lit(False)), name)
     tagged = rows.withColumn("reason", reason)
