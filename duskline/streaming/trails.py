@@ -49,8 +49,11 @@ def trail_stream(records: DataFrame, key: str, cfg: TrailConfig = TrailConfig(),
 
 
 def sample_stream(frames: DataFrame, period_ms: int = 360, segment: Sequence[str] = ("source_id", "segment_id"),
-                  delay: str = "10 seconds", idle_ms: int = 60_000) -> DataFrame:
-    """Frames at least ``period_ms`` after the last one taken, per segment."""
+                  delay: str = "10 seconds") -> DataFrame:
+    """Frames at least ``period_ms`` after the last one taken, per segment.
+
+    The state of a segment is the time from which the next frame is taken; it goes once the watermark has passed that.
+    """
     def step(k: tuple, rows: pd.DataFrame, text: str | None, flush: bool):
         if flush:
             return None, None, None
@@ -61,7 +64,7 @@ def sample_stream(frames: DataFrame, period_ms: int = 360, segment: Sequence[str
                 out.append((*k, fid, int(ts)))
                 due = int(ts) + period_ms
         frame = pd.DataFrame(out, columns=[*segment, "frame_id", "timestamp_ms"]) if out else None
-        return frame, str(due), int(rows["timestamp_ms"].max()) + idle_ms
+        return frame, str(due), max(due, int(rows["timestamp_ms"].max()) + 1)
 
     timed = with_event_time(frames.select(*segment, "frame_id", "timestamp_ms"), delay)
     return keyed(timed, segment, step, ", ".join([*[f"{s} string" for s in segment], "frame_id string, timestamp_ms long"]))

@@ -12,7 +12,8 @@ from duskline.functions.ids import iso_ms, person_down_event_id, uuid5
 from duskline.operators.persistence import PersistenceConfig, event_envelope, missing_markers, person_down_events
 from duskline.sources.observations import event_lines, parse_lines
 from duskline.streaming.hosting import drain
-from duskline.streaming.persistence import Runs, person_down_stream
+from duskline.streaming.persistence import Run, follow, person_down_stream
+from duskline.streaming.trails import sample_stream
 
 SCHEMA = "source_id string, session_id string, track_id string, timestamp_ms long, posture string, confidence double"
 CFG = PersistenceConfig(bucket_ms=20_000)
@@ -68,14 +69,14 @@ def test_batch_equals_the_row_by_row_machine(spark, bridge):
     cfg = PersistenceConfig(max_unknown_gap_ms=bridge, bucket_ms=9_000)
     rows, want = [], []
     for k in range(60):
-        t, machine = rng.randint(0, 4000), Runs(cfg)
+        t, state = rng.randint(0, 4000), None
         for _ in range(120):
             t += rng.choice([100, 250, 400, 500, 750, 751, 900])
             p = rng.choices(["down", "unknown", "upright"], [0.93, 0.06, 0.01])[0]
             c = rng.choice([0.69, 0.7, 0.8, 0.9, 0.95, 0.99])
             rows.append(("c", f"s{k}", "t", t, p, c))
-            machine.advance(t)
-            event, _ = machine.observe("t", t, p, c)
+            state = state or Run(t, t)
+            event = follow(state, cfg, t, p, c)
             if event:
                 want.append((f"s{k}", *event))
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
@@ -130,3 +131,23 @@ def test_lines_in_and_events_out(spark):
         ["not_an_object", "wrong_fields", "wrong_types", "posture", "confidence", "track_id", "wrong_fields", "too_long"])
     text = event_lines(event_envelope(person_down_events(obs(spark, down(0, 750, 1500, 2250, 3000)), None, CFG))).first().value
     assert text.startswith('{"analytic_id":"person_down_persistence"') and '"status":"candidate"' in text
+
+
+def test_any_number_of_tracks_in_a_live_session(spark, tmp_path):
+    rows = [("c", "s", f"t{k}", 3_600_000 + t, "down", 0.9) for k in range(1100) for t in range(0, 3500, 500)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.json(str(tmp_path / "in"))
+    got = drain(person_down_stream(spark.readStream.schema(SCHEMA).json(str(tmp_path / "in")), CFG), spark, "many")
+    assert got.filter("refused is null").count() == 1100 and got.filter("refused is not null").count() == 0
+
+
+def test_streamed_sampling_keeps_its_period_over_batches(spark, tmp_path):
+    """Frames of one segment far apart, with another segment between them, each file a micro-batch."""
+    rows = [("A", 0), ("B", 1_500_000), ("A", 3_000_000), ("B", 5_000_000), ("A", 7_200_000), ("B", 9_000_000)]
+    for i, (segment, ts) in enumerate(rows):
+        spark.createDataFrame([("c", segment, f"f{ts}", 10_000_000 + ts)],
+                              "source_id string, segment_id string, frame_id string, timestamp_ms long").coalesce(1).write.mode(
+            "append").json(str(tmp_path / "in"))
+    frames = (spark.readStream.schema("source_id string, segment_id string, frame_id string, timestamp_ms long")
+              .option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")))
+    got = drain(sample_stream(frames, 7_200_000), spark, "sampled").collect()
+    assert {(r.segment_id, r.timestamp_ms - 10_000_000) for r in got} == {("A", 0), ("A", 7_200_000), ("B", 1_500_000), ("B", 9_000_000)}
