@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..operators.scale import rank_limit
 from . import compression
 from .common import filled, widened
 from .language import held_out
 
 #: The training sample: texts per label, the share of them that calibrates, code points of each text that goes into a
 #: dictionary, code points of a calibrating one, bytes of a dictionary.
-TEXTS, CALIBRATING, DICT_CHARS, CHARS, DICTIONARY = 1000, 0.5, 800, 20_000, 400_000
+TEXTS, CALIBRATING, DICT_CHARS, CHARS, DICTIONARY = 1000, 0.5, 800, 8_000, 400_000
+#: Ids drawn per text wanted, since copies and ids without a document teach nothing.
+DRAWN = 2
 THRESHOLD = 0.3
 GOOD, BAD = "1", "0"
 
@@ -62,14 +65,17 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50,
     return b
 
 
-def train(labelled: DataFrame, texts: int = TEXTS) -> Model | None:
-    """Fit on rows (text, quality): a bounded sample of each label. None if a label has no text.
+def train(docs: DataFrame, told: DataFrame, texts: int = TEXTS) -> Model | None:
+    """Fit on the texts of a bounded sample of each label. None if a label has no text.
 
-    The sample is even between labels; weights bring back the labels' true shares, counted over all rows.
+    ``told``: doc_id, quality (0 or 1). Ids are drawn from it in the order of a hash, DRAWN times as many as texts are
+    wanted, and only their texts are read from ``docs``, behind a broadcast of these ids. The sample is even between
+    labels; weights bring back the labels' true shares, counted over all of ``told``.
     """
-    rows = labelled.filter(F.col("quality").isin(0, 1)).select(
-        F.col("quality").cast("string").alias("quality"), filled("text").alias("text"))
-    share = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    told = told.select("doc_id", F.col("quality").cast("string").alias("quality"))
+    share = {r["quality"]: r["count"] for r in told.groupBy("quality").count().collect()}
+    drawn = rank_limit(told, ["quality"], [F.xxhash64("doc_id"), F.col("doc_id")], DRAWN * texts).drop("rank")
+    rows = docs.select("doc_id", filled("text").alias("text")).join(F.broadcast(drawn), "doc_id")
     found = compression.sample(rows, "quality", "text", texts, CHARS)
     if not (found.get(GOOD) and found.get(BAD)):
         return None
@@ -115,7 +121,6 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     told = (labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
             .withColumn("_held", held_out("doc_id", 5, 0)).filter(~F.col("_held")))
-    rows = docs.select("doc_id", "text").join(told, "doc_id")
-    model = train(rows)
+    model = train(docs, told)
     scored = score(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), filled("text").alias("text")), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
