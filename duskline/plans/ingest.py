@@ -251,7 +251,11 @@ def frame_chain_digest(spark, sf):
     return live.frame_chain_digest(f.withColumn("sha256", F.sha2(F.concat("source_id", F.col("frame_index").cast("string")), 256)))
 
 
-@query("label_digest")
+@query("label_digest", cte("v_lanes", """
+with t as (select source_id as sequence_id, frame_index, concat_ws('|', cast(det_ordinal as varchar), category, hex(cast(x_min as varchar)),
+    hex(cast(y_min as varchar)), hex(cast(x_max as varchar)), hex(cast(y_max as varchar))) as t from v_lanes),
+f as (select sequence_id, frame_index, sha256(string_agg(t, chr(10) order by t)) as h from t group by all)
+select sequence_id, sha256(string_agg(concat(frame_index, chr(9), h, chr(10)), '' order by frame_index)) as digest, count(*) as frames from f group by 1"""))
 def label_digest(spark, sf):
     o = view(spark, sf, "v_lanes").withColumnsRenamed({"source_id": "sequence_id"}).withColumn("object_id", F.col("det_ordinal").cast("string"))
     return live.label_digest(o)
@@ -300,7 +304,8 @@ def trail_envelopes(spark, sf):
     return rs.read_envelopes(lines, "trail").agg(F.count("value").alias("lines"), F.count_if("accepted").alias("accepted"))
 
 
-@query("appearance_envelopes")
+@query("appearance_envelopes", cte("v_desc", "with " + sq._PAIRS.strip() + """
+select count(distinct probe_id) as lines, count(distinct probe_id) as accepted from ranked where s >= 0.6 and rank <= 10"""))
 def appearance_envelopes(spark, sf):
     from ..operators import appearance
 

@@ -233,7 +233,29 @@ def candidate_evaluation(spark, sf):
                     F.round("false_alerts_per_camera_hour", 6).alias("false_alerts_per_camera_hour"))
 
 
-@query("candidate_roll_up")
+@query("candidate_roll_up", cte("v_samples", "with " + _WALK + """,
+d as (select w.sample_id, w.delay_ms, s.site_id, s.camera_id from walk w join v_samples s on s.sample_id = w.sample_id where w.label_id is not null),
+r as (select s.sample_id, s.site_id, s.camera_id, s.end_ms - s.start_ms as duration_ms,
+  (select count(*) from d where d.sample_id = s.sample_id) as matched_events,
+  (select count(*) from labels l where l.sample_id = s.sample_id) as positive_episodes,
+  (select count(*) from events v where v.sample_id = s.sample_id) as candidate_events from v_samples s),
+g as (select 'camera' as level, site_id, camera_id, count(*) as sample_count, sum(duration_ms) as duration_ms, sum(positive_episodes) as positive_episodes,
+    sum(candidate_events) as candidate_events, sum(matched_events) as matched_events,
+    (select median(delay_ms) from d where d.site_id = r.site_id and d.camera_id = r.camera_id) as md from r group by site_id, camera_id
+  union all
+  select 'site', site_id, null, count(*), sum(duration_ms), sum(positive_episodes), sum(candidate_events), sum(matched_events),
+    (select median(delay_ms) from d where d.site_id = r.site_id) from r group by site_id
+  union all
+  select 'all', null, null, count(*), sum(duration_ms), sum(positive_episodes), sum(candidate_events), sum(matched_events),
+    (select median(delay_ms) from d) from r)
+select level, site_id, camera_id, cast(sample_count as bigint) as sample_count, cast(duration_ms as bigint) as duration_ms,
+  cast(positive_episodes as bigint) as positive_episodes, cast(candidate_events as bigint) as candidate_events,
+  cast(matched_events as bigint) as matched_events, cast(md as double) as median_alert_delay_ms,
+  cast(positive_episodes - matched_events as bigint) as missed_episodes, cast(candidate_events - matched_events as bigint) as false_alerts,
+  cast(matched_events as double) / nullif(candidate_events, 0) as precision,
+  cast(matched_events as double) / nullif(positive_episodes, 0) as recall,
+  cast(candidate_events - matched_events as double) / (cast(duration_ms as double) / cast(3600000 as double)) as false_alerts_per_camera_hour,
+  cast(duration_ms as double) / cast(3600000 as double) as camera_hours from g"""))
 def candidate_roll_up(spark, sf):
     samples, events, labels = _eval_inputs(spark, sf)
     r = ev.evaluate_candidates(samples, events, labels, 1500)
