@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import rank_limit
 
 #: Texts are compressed in blocks of so many bytes, so that a long text keeps meeting the dictionary.
 BLOCK, LEVEL = 4096, 6
-#: Candidates drawn per wanted text, so that copies can be left out.
-SPARE = 4
+#: Candidates drawn per wanted text, so that copies can be left out; how many times as many pass the hash threshold
+#: before they are ranked, so that what meets in one task does not grow with the input.
+SPARE, PASSING = 4, 4
+_SPACE = 1 << 30
 
 
 def compressors(dictionaries: Mapping[str, bytes], level: int = LEVEL) -> dict[str, zstandard.ZstdCompressor]:
@@ -38,14 +41,28 @@ def compressed_sizes(data: bytes, made: Mapping[str, zstandard.ZstdCompressor],
     return total
 
 
-def sample(rows: DataFrame, group: str, text: str, per_group: int, chars: int) -> dict[str, list[str]]:
+def thinned(rows: DataFrame, group: Column, by: Column, counts: Mapping[str, int], wanted: int) -> DataFrame:
+    """About PASSING * wanted rows of each group (all of a small one): those whose hash is below a threshold.
+
+    ``counts``: rows of each group, one entry per label or language. Adds the hash as ``_h``.
+    """
+    share = {g: min(_SPACE, math.ceil(_SPACE * PASSING * wanted / n)) for g, n in counts.items() if n}
+    if not share:
+        return rows.withColumn("_h", by).limit(0)
+    below = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+    return rows.withColumn("_h", F.pmod(by, F.lit(_SPACE))).filter(F.col("_h") < F.try_element_at(below, group))
+
+
+def sample(rows: DataFrame, group: str, text: str, per_group: int, chars: int,
+           counts: Mapping[str, int]) -> dict[str, list[str]]:
     """Up to ``per_group`` different texts of each group, cut to ``chars`` code points: the bounded training sample.
 
-    Texts are taken in the order of a hash of what is kept of them, so the choice is the same in every run and does
-    not depend on the size of the input.
+    Texts are taken in the order of a hash of what is kept of them, so the choice is the same in every run. ``counts``:
+    rows of each group.
     """
     cut = F.substring(text, 1, chars)
-    rows = rows.select(F.col(group).alias("_group"), cut.alias("_cut"), F.xxhash64(cut).alias("_h"))
+    rows = rows.select(F.col(group).alias("_group"), cut.alias("_cut"))
+    rows = thinned(rows, F.col("_group"), F.xxhash64("_cut"), counts, SPARE * per_group)
     first = rank_limit(rows, ["_group"], [F.col("_h"), F.col("_cut")], SPARE * per_group).select("_group", "_h", "_cut")
     found: dict[str, dict[int, str]] = {}
     for row in first.orderBy("_group", "_h").toLocalIterator():

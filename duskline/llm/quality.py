@@ -74,9 +74,10 @@ def train(docs: DataFrame, told: DataFrame, texts: int = TEXTS) -> Model | None:
     """
     told = told.select("doc_id", F.col("quality").cast("string").alias("quality"))
     share = {r["quality"]: r["count"] for r in told.groupBy("quality").count().collect()}
-    drawn = rank_limit(told, ["quality"], [F.xxhash64("doc_id"), F.col("doc_id")], DRAWN * texts).drop("rank")
+    told = compression.thinned(told, F.col("quality"), F.xxhash64("doc_id"), share, DRAWN * texts)
+    drawn = rank_limit(told, ["quality"], [F.col("_h"), F.col("doc_id")], DRAWN * texts).drop("rank", "_h")
     rows = docs.select("doc_id", filled("text").alias("text")).join(F.broadcast(drawn), "doc_id")
-    found = compression.sample(rows, "quality", "text", texts, CHARS)
+    found = compression.sample(rows, "quality", "text", texts, CHARS, dict.fromkeys(share, DRAWN * texts))
     if not (found.get(GOOD) and found.get(BAD)):
         return None
     dictionaries, held = {}, []
