@@ -6,12 +6,15 @@ with working columns. Joins that may meet a hot key are salted; broadcasts happe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from ..session import ensure_checkpoint_dir
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,6 +35,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written to the shared checkpoint folder and read again.
+
+    For loops: unlike a checkpoint it also forgets the size estimates of the joins before, which otherwise multiply from
+    round to round until they fill the driver.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

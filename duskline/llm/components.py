@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from .common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     different targets stay. The ranks change from round to round, so chains shrink by a constant share and a star goes
     in one round. Nothing is gathered per vertex but a minimum.
     """
-    live = durable(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     moved = None
     turn = 0
     while not live.isEmpty():
@@ -25,16 +25,16 @@ def components(edges: DataFrame) -> DataFrame:
             return F.struct(F.xxhash64(F.col(end), F.lit(turn)).alias("rank"), F.col(end).alias("id"))
 
         least = both.groupBy("a").agg(F.min(rank("b")).alias("near"))
-        step = durable(least.select(F.col("a").alias("id"), F.least("near", rank("a"))["id"].alias("to")))
+        step = stored(least.select(F.col("a").alias("id"), F.least("near", rank("a"))["id"].alias("to")))
         left, right = step.select(F.col("id").alias("a"), F.col("to").alias("ta")), step.select(
             F.col("id").alias("b"), F.col("to").alias("tb"))
-        live = durable(live.join(left, "a").join(right, "b").filter("ta <> tb").select(
+        live = stored(live.join(left, "a").join(right, "b").filter("ta <> tb").select(
             F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
         if moved is None:
             moved = step
         else:
             then = step.select(F.col("id").alias("to"), F.col("to").alias("then"))
-            moved = durable(moved.join(then, "to", "left").select("id", F.coalesce("then", "to").alias("to")))
+            moved = stored(moved.join(then, "to", "left").select("id", F.coalesce("then", "to").alias("to")))
         turn += 1
     if moved is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)
