@@ -112,3 +112,13 @@ def test_one_long_chain_of_intervals(spark):
     labels = events.select("sample_id", F.col("event_id").alias("label_id"), "start_ms", "end_ms")
     got = matching.match_intervals(events, labels)
     assert got.count() == n and got.filter("event_id = label_id and delay_ms = 12").count() == n
+
+
+def test_a_detection_without_confidence_is_still_a_detection(spark):
+    from duskline.operators import tracking
+
+    rows = [("c", "s", 0, 0, 1, "person", None, .1, .1, .3, .3), ("c", "s", 0, 0, 2, "person", .9, .5, .5, .7, .7)]
+    dets = spark.createDataFrame(rows, "source_id string, session_id string, frame_index long, timestamp_ms long, det_ordinal long, "
+                                       "category string, confidence double, x_min double, y_min double, x_max double, y_max double")
+    got = tracking.track(dets, tracking.OverlapTracker).collect()
+    assert {r.det_ordinal for r in got} == {1, 2} and len({r.track_id for r in got}) == 2
