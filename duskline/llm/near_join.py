@@ -31,6 +31,8 @@ from .components import components
 
 #: Coordinates of a point; growth of a size class; targets and queries of one block of a tree search; rows to a batch.
 GROUPS, CLASS_GROWTH, LEAF_ROWS, QUERY_ROWS, ROWS = 64, 1.5, 256, 4096, 256
+#: Bits of the filter that tells which rows may hold a shared key: 2^25 is 524,288 words of 8 bytes at most, broadcast.
+FILTER_BITS = 1 << 25
 FAN_OUT = 16  # points in a node of the tree, nodes in the one above
 
 U = np.uint64
@@ -216,6 +218,19 @@ class CountTree:
         return self.order[nodes]
 
 
+def _maybe_shared(routed: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows whose key may be among ``shared``: only these need to be shuffled. Keys fall on the cells of a bit table of
+    bounded size; a fuller table lets more rows pass and loses none."""
+    def cell(key: str) -> Column:
+        return F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1))
+
+    words = shared.select(F.shiftright(cell("key"), 6).alias("_word"), (cell("key") % 64).cast("int").alias("_at")).groupBy(
+        "_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_at"))).alias("_bits"))
+    set_bit = F.call_function("shiftright", F.col("_bits"), (cell("key") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return (routed.join(F.broadcast(words), F.shiftright(cell("key"), 6) == F.col("_word")).filter(set_bit)
+            .select(*routed.columns))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids that link, checked on the shingles of one document of each set."""
     ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
@@ -279,7 +294,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # Keys that different sets share, each with its first set as leader; then the members of each leader.
     shared = durable(routed.groupBy("key").agg(F.min("fp").alias("lead"), F.max("fp").alias("last"))
                      .filter("lead < last").select("key", "lead"))
-    led = durable(routed.join(shared, "key").filter("fp <> lead").select("lead", "fp").distinct())
+    led = durable(_maybe_shared(routed, shared).join(shared, "key").filter("fp <> lead").select("lead", "fp").distinct())
     ends = led.select("fp").unionByName(led.select(F.col("lead").alias("fp"))).distinct()
     per_set = durable(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
                                              F.first("point").alias("point"), F.count(F.lit(1)).alias("rows")))
