@@ -27,7 +27,7 @@ UNKNOWN_PENALTY = 10.0
 #: Types of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words kept with their pieces from batch to batch in a worker, words worked out together, rows to a batch.
-MEMORY, TOGETHER, ROWS = 200_000, 20_000, 256
+MEMORY, TOGETHER, ROWS = 400_000, 20_000, 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -208,23 +208,37 @@ class Unigram:
             better = total > best[rows, at + 1]
             rows = rows[better]
             best[rows, at + 1], came[rows, at + 1], by[rows, at + 1] = total[better], at, -1
-        out = []
-        came_of, by_of = came.tolist(), by.tolist()
-        for i, word in enumerate(words):
-            ids: list[int] = []
-            to, back, ids_of = len(word), came_of[i], by_of[i]
-            while to:
-                piece = ids_of[to]
-                if piece >= 0:
-                    ids.append(piece)
-                elif self.byte_ids:
-                    ids.extend(self.byte_ids[b] for b in reversed(word[back[to]:to].encode("utf-8", "replace")))
-                else:
-                    ids.append(self.unknown)
-                to = back[to]
-            out.append(np.array(ids[::-1], np.int32).tobytes())
+        # Back along the best ways, one piece of every word at a time, from the last to the first.
+        at, left, rows_of, ids_of = size.copy(), np.arange(n), [], []
+        while len(left):
+            ids_of.append(by[left, at[left]])
+            rows_of.append(left)
+            at[left] = came[left, at[left]]
+            left = left[at[left] > 0]
+        rows, ids = np.concatenate(rows_of[::-1]), np.concatenate(ids_of[::-1])
+        order = np.argsort(rows, kind="stable")
+        data = ids[order].astype(np.int32).tobytes()
+        ends = (np.cumsum(np.bincount(rows, minlength=n)) * 4).tolist()
+        out = [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        for i in np.unique(rows[ids < 0]).tolist():
+            out[i] = self._with_unknown(words[i], by[i], came[i])
         return out
 
+    def _with_unknown(self, word: str, by: np.ndarray, came: np.ndarray) -> bytes:
+        """Ids of a word in which characters without a piece give way to their bytes."""
+        ids: list[int] = []
+        to = len(word)
+        while to:
+            start = int(came[to])
+            if by[to] >= 0:
+                ids.append(int(by[to]))
+            elif self.byte_ids:
+                ids.extend(self.byte_ids[b] for b in reversed(word[start:to].encode("utf-8", "replace")))
+            else:
+                ids.append(self.unknown)
+            to = start
+        return np.array(ids[::-1], np.int32).tobytes()
+
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Piece ids of each text. An empty text has none."""
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
