@@ -112,15 +112,22 @@ class Classes:
         while self.low[-1] <= n:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * CLASS_GROWTH)))
 
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """(class, blocks) for each class of which a set of n shingles may meet a pair; one block needs no routing,
-        since such sets link only when equal."""
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """(class, blocks, needed) for each class of which a set of n shingles may meet a pair. ``needed``: of so many blocks
+        that are not empty in this set, one is equal in any set that links with it. Classes in which sets link only when
+        equal need no routing. A few blocks more than any pair can differ in make up for empty ones."""
         self._grow(n)
         c = next(i for i in range(len(self.low) - 1, -1, -1) if self.low[i] <= n)
         self._grow(self.low[c + 1])
         meets = [c] + ([c + 1] if 100 * n >= self.percent * self.low[c + 1] else [])
-        blocks = [2 * (self.low[m + 1] - 1) * (100 - self.percent) // (100 + self.percent) + 1 for m in meets]
-        return [(m, k) for m, k in zip(meets, blocks) if k > 1]
+        out = []
+        for m in meets:
+            top = self.low[m + 1] - 1
+            differ = 2 * top * (100 - self.percent) // (100 + self.percent)
+            own = (n + min(top, 100 * n // self.percent)) * (100 - self.percent) // (100 + self.percent)
+            if differ:
+                out.append((m, differ + 3 + differ // 32, own + 1))
+        return out
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -130,13 +137,20 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def bucket_keys(shingles: np.ndarray, classes: Classes) -> np.ndarray:
-    """Keys of the set's blocks: the counts of a block's groups, hashed with the class and the block."""
+    """Keys of the set's blocks: the counts of a block's groups, hashed with the class and the block.
+
+    Empty blocks are alike in many sets and say little; they get keys only in a set that has too few others. Of two sets
+    that link, one with enough others shares one of them, and two without share some block of either kind.
+    """
     spread = mixed(shingles ^ _ODD[5])
     keys = []
-    for c, k in classes.of(len(shingles)):
+    for c, k, needed in classes.of(len(shingles)):
+        block = (spread % U(k)).astype(np.int64)
         sums = np.zeros(k, U)
-        np.add.at(sums, (spread % U(k)).astype(np.int64), mixed(shingles + _ODD[4]))
-        keys.append(mixed(sums + np.arange(k, dtype=U) * _ODD[1] + _times(c + 1, 2)))
+        np.add.at(sums, block, mixed(shingles + _ODD[4]))
+        every = mixed(sums + np.arange(k, dtype=U) * _ODD[1] + _times(c + 1, 2))
+        filled_blocks = np.bincount(block, minlength=k) > 0
+        keys.append(every[filled_blocks] if filled_blocks.sum() >= needed else every)
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
