@@ -53,23 +53,35 @@ def thinned(rows: DataFrame, group: Column, by: Column, counts: Mapping[str, int
     return rows.withColumn("_h", F.pmod(by, F.lit(_SPACE))).filter(F.col("_h") < F.try_element_at(below, group))
 
 
-def sample(rows: DataFrame, group: str, text: str, per_group: int, chars: int,
-           counts: Mapping[str, int]) -> dict[str, list[str]]:
+def sample(rows: DataFrame, group: str, text: str, per_group: int, chars: int, counts: Mapping[str, int],
+           copies: bool = False) -> dict[str, list[str]]:
     """Up to ``per_group`` different texts of each group, cut to ``chars`` code points: the bounded training sample.
 
     Texts are taken in the order of a hash of what is kept of them, so the choice is the same in every run. ``counts``:
-    rows of each group.
+    rows of each group, or with ``copies`` its different cut texts (see ``different``): then copies become one row
+    before they are ranked, and a group with fewer texts than wanted gives all of them.
     """
     cut = F.substring(text, 1, chars)
     rows = rows.select(F.col(group).alias("_group"), cut.alias("_cut"))
     rows = thinned(rows, F.col("_group"), F.xxhash64("_cut"), counts, SPARE * per_group)
+    if copies:
+        rows = rows.groupBy("_group", F.xxhash64("_cut").alias("_key")).agg(F.min("_h").alias("_h"),
+                                                                            F.min("_cut").alias("_cut"))
     first = rank_limit(rows, ["_group"], [F.col("_h"), F.col("_cut")], SPARE * per_group).select("_group", "_h", "_cut")
-    found: dict[str, dict[int, str]] = {}
-    for row in first.orderBy("_group", "_h").toLocalIterator():
+    found: dict[str, dict[str, None]] = {}
+    for row in first.orderBy("_group", "_h", "_cut").toLocalIterator():
         kept = found.setdefault(row["_group"], {})
         if len(kept) < per_group:
-            kept.setdefault(row["_h"], row["_cut"])
-    return {name: list(texts.values()) for name, texts in sorted(found.items(), key=lambda x: str(x[0]))}
+            kept.setdefault(row["_cut"])
+    return {name: list(texts) for name, texts in sorted(found.items(), key=lambda x: str(x[0]))}
+
+
+def different(rows: DataFrame, group: str, text: str, chars: int) -> tuple[dict[str, int], dict[str, int]]:
+    """Rows of each group, and its different texts after the cut, told apart by hash: only hashes are shuffled."""
+    known = rows.groupBy(F.col(group).alias("_group"), F.xxhash64(F.substring(text, 1, chars)).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    per = known.groupBy("_group").agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("texts")).collect()
+    return {r["_group"]: r["rows"] for r in per}, {r["_group"]: r["texts"] for r in per}
 
 
 def joined(texts: Sequence[str], limit: int) -> bytes:

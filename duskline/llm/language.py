@@ -40,8 +40,8 @@ class Languages:
 def train(docs: DataFrame, texts: int = TEXTS, chars: int = CHARS, limit: int = DICTIONARY) -> Languages:
     """A dictionary per non-null language, from texts with a letter. Empty if nothing is labelled."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    found = compression.sample(rows, "lang", "text", texts, chars, counts)
+    counts, distinct = compression.different(rows, "lang", "text", chars)
+    found = compression.sample(rows, "lang", "text", texts, chars, distinct, copies=True)
     total = sum(counts.values())
     return Languages({lang: compression.joined([t.lower() for t in of], limit) for lang, of in found.items()},
                      {lang: -math.log2(counts[lang] / total) for lang in found})
