@@ -1,8 +1,8 @@
 """License scan by conditional compression.
 
 Passages around license words are candidate blocks. A block is compressed on its own and with each template as zstandard
-raw-content dictionary; templates are ranked by how much smaller the block gets. The winners are then confirmed by the
-exact wording: the words that the block adds to or leaves out of the template.
+raw-content dictionary; templates are ranked by how much smaller the block gets for the bytes that the template has. The
+winners are then confirmed by the exact wording: the words that the block adds to or leaves out of the template.
 """
 
 from __future__ import annotations
@@ -82,13 +82,13 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 #: Words that make a passage a candidate.
 SIGNS = r"licen[cs]ed?\b|copyright|permission|redistribut|public domain|creative commons|free software"
-#: Words before and after a sign that belong to its blocks: one as wide as a notice, one as wide as a license. Blocks of one
-#: width that touch are one, cut at BLOCK_WORDS with an overlap of the longest template.
-NOTICE, WHOLE, BLOCK_WORDS = (7, 8), (12, 200), 640
+#: A sign has two blocks: one that reaches the longest template of up to NOTICE words on both sides of it, one that reaches
+#: the longest of all. Wide blocks that touch are one, cut at BLOCK_WORDS with an overlap of the longest template.
+NOTICE, BLOCK_WORDS = 20, 640
 #: Compression level: the best matches count, and blocks are few.
 LEVEL = 19
-#: Templates whose wording is compared for a block, and the least size reduction of one that is; the most differences
-#: per word of the template.
+#: Templates whose wording is compared for a block, and the least size reduction of one that is, as a share of its own
+#: compressed size; the most differences per word of the template.
 RANKED, REDUCTION, DIFFERENCES = 6, 0.1, 0.08
 
 _WORD = re.compile(r"[0-9A-Za-z]+(?:\.[0-9A-Za-z]+)*")
@@ -103,6 +103,8 @@ class Found:
     reduction: float
     added: str
     missing: str
+    differences: int
+    agreed: int  # words of the template less differences
 
 
 class Scanner:
@@ -111,7 +113,11 @@ class Scanner:
         self.words = [t.split() for _, t in templates]
         self.made = compression.compressors({str(i): t.encode() for i, (_, t) in enumerate(templates)}, level=LEVEL)
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
-        self.reach = max(map(len, self.words))
+        self.own = [len(self.alone.compress(t.encode())) for _, t in templates]
+        # Words that a template takes up with its most differences.
+        widths = [len(w) + int(len(w) * DIFFERENCES) for w in self.words]
+        self.reach = max(widths)
+        self.notice = max((n for n, w in zip(widths, self.words) if len(w) <= NOTICE), default=0)
 
     def blocks(self, text: str) -> list[list[tuple[str, int, int]]]:
         """Words (lower case, start, end) of the passages around signs."""
@@ -120,14 +126,14 @@ class Scanner:
             return []
         words = [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
         out = []
-        for before, after in (NOTICE, WHOLE):
+        for reach in (self.notice, self.reach):
             ranges: list[list[int]] = []
             at = 0
             for sign in signs:
                 while at < len(words) and words[at][2] <= sign:
                     at += 1
-                low, high = max(0, at - before), min(len(words), at + after)
-                if ranges and low <= ranges[-1][1] and after > NOTICE[1]:
+                low, high = max(0, at - reach), min(len(words), at + reach)
+                if ranges and low <= ranges[-1][1] and reach == self.reach:
                     ranges[-1][1] = max(high, ranges[-1][1])
                 else:
                     ranges.append([low, high])
@@ -137,11 +143,11 @@ class Scanner:
         return out
 
     def ranked(self, block: list[str]) -> list[tuple[float, int]]:
-        """(size reduction, template), the largest first."""
+        """(size reduction as a share of what the template could save, template), the largest first."""
         data = " ".join(block).encode()
         plain = len(self.alone.compress(data))
         size = compression.compressed_sizes(data, self.made, block=1 << 20)
-        gains = sorted(((plain - size[str(i)]) / plain, -i) for i in range(len(self.names)))
+        gains = sorted(((plain - size[str(i)]) / self.own[i], -i) for i in range(len(self.names)))
         return [(g, -i) for g, i in reversed(gains)]
 
     def compared(self, block: list[str], template: list[str]) -> list[tuple[int, int, list[str], list[str]]]:
@@ -165,9 +171,9 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[int, list[Found]]:
         """Number of candidate blocks, and the confirmed licenses in order of place; where several templates stand at
-        one place, the longest counts."""
+        one place, the one that agrees in most words counts, with the fewest differences."""
         blocks = self.blocks(text)
-        found: dict[tuple[int, int], Found] = {}
+        found: set[Found] = set()
         for block in blocks:
             words = [w for w, _, _ in block]
             for gain, i in self.ranked(words)[:RANKED]:
@@ -175,9 +181,11 @@ class Scanner:
                     break
                 for low, high, added, missing in self.compared(words, self.words[i]):
                     span = (block[low][1], block[high - 1][2])
-                    found[span] = Found(self.names[i], *span, round(gain, 6), " ".join(added), " ".join(missing))
+                    n = len(added) + len(missing)
+                    found.add(Found(self.names[i], *span, round(gain, 6), " ".join(added), " ".join(missing), n,
+                                    len(self.words[i]) - n))
         kept: list[Found] = []
-        for f in sorted(found.values(), key=lambda f: (f.start - f.end, f.start, f.name)):
+        for f in sorted(found, key=lambda f: (-f.agreed, f.differences, f.start - f.end, f.start, f.name, -f.reduction)):
             if all(f.end <= k.start or f.start >= k.end for k in kept):
                 kept.append(f)
         return len(blocks), sorted(kept, key=lambda f: f.start)

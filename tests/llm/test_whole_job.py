@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from duskline.llm import language
+from duskline.llm import language, licenses
 
 
 def test_a_language_of_copies_is_learned_whole(spark):
@@ -15,3 +15,19 @@ def test_a_language_of_copies_is_learned_whole(spark):
     got = {k: set(v.decode().split("\n")) for k, v in learned.dictionaries.items()}
     assert got["aa"] == {f"few {i}." for i in range(30)} and len(got["bb"]) == language.TEXTS
     assert set(learned.prior_bits) == {"aa", "bb"} and learned.prior_bits["aa"] < 1 < learned.prior_bits["bb"]
+
+
+def test_notices_inside_long_texts(spark, sf):
+    """Every template in the middle of long texts; a text of licenses only has all the words of a notice elsewhere."""
+    scanner = licenses.Scanner()
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(12).collect()]
+    words = " ".join(texts).split()
+    for n, (name, template) in enumerate(licenses.TEMPLATES):
+        for i, length in enumerate((20, 130, 400, 700)):
+            at = (n * 4 + i) * 37
+            text = f"{' '.join(words[at:at + length])} {template} {' '.join(words[at + length:at + 2 * length])}"
+            assert name in {f.name for f in scanner.scan(text)[1]}, (name, length)
+    for name, template in licenses.TEMPLATES:
+        if len(template.split()) == 12:
+            text = "the license of a public work is general " * 40 + template + " version of this license is public" * 40
+            assert [f.name for f in scanner.scan(text)[1]] == [name]
