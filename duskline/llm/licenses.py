@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,9 +86,9 @@ SIGNS = r"licen[cs]ed?\b|copyright|permission|redistribut|public domain|creative
 NOTICE, BLOCK_WORDS = 20, 640
 #: Compression level: the best matches count, and blocks are few.
 LEVEL = 19
-#: Templates whose wording is compared for a block, and the least size reduction of one that is, as a share of its own
-#: compressed size; the most differences per word of the template.
-RANKED, REDUCTION, DIFFERENCES = 6, 0.1, 0.08
+#: The least size reduction of a template whose wording is compared, as a share of its own compressed size (templates that
+#: must stand word for word are always looked up); the most differences per word of the template.
+REDUCTION, DIFFERENCES = 0.1, 0.08
 
 _WORD = re.compile(r"[0-9A-Za-z]+(?:\.[0-9A-Za-z]+)*")
 _SIGN = re.compile(rf"(?i)\b(?:{SIGNS})")
@@ -107,15 +106,71 @@ class Found:
     agreed: int  # words of the template less differences
 
 
+def aligned(words: list[str], block: list[str], start: int, allowed: int,
+            past: int = 0) -> tuple[int, int, list[str], list[str]] | None:
+    """The place (from, to) in the block from ``past`` on, with words added and missing, where the template differs least,
+    at most ``allowed`` from a copy that begins at ``start``. None if it differs in more words."""
+    end = start + len(words)
+    if start >= past and block[start:end] == words:
+        return start, end, [], []
+    if not allowed:
+        return None
+    # cost[i][k]: least differences of the first i words from words of the block that end at start - allowed + i + k.
+    width, none = 2 * allowed + 1, len(words) + len(block)
+    base = start - allowed
+    cost = [[0 if past <= base + k <= len(block) else none for k in range(width)]]
+    for i, word in enumerate(words, 1):
+        above, row = cost[-1], []
+        for k in range(width):
+            j = base + i + k
+            best = none
+            if past <= j <= len(block):
+                if j > past and block[j - 1] == word:
+                    best = above[k]
+                if k + 1 < width:
+                    best = min(best, above[k + 1] + 1)
+                if k and j > past:
+                    best = min(best, row[k - 1] + 1)
+            row.append(best)
+        cost.append(row)
+        if min(row) > allowed:
+            return None
+    k = max(range(width), key=lambda k: (-cost[-1][k], k))
+    i, added, missing, used, between = len(words), [], [], [], []
+    while i:
+        j = base + i + k
+        if j > past and block[j - 1] == words[i - 1] and cost[i][k] == cost[i - 1][k]:
+            used.append(j - 1)
+            added += between
+            between, i = [], i - 1
+        elif k + 1 < width and cost[i][k] == cost[i - 1][k + 1] + 1:
+            missing.append(words[i - 1])
+            i, k = i - 1, k + 1
+        else:
+            if used:
+                between.append(block[j - 1])
+            k -= 1
+    return used[-1], used[0] + 1, added[::-1], missing[::-1]
+
+
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         self.names = [n for n, _ in templates]
         self.words = [t.split() for _, t in templates]
+        self.allowed = [int(len(w) * DIFFERENCES) for w in self.words]
+        # The allowed differences leave a run of so many words whole; where such runs stand in the template.
+        self.runs = [-(-(len(w) - d) // (d + 1)) for w, d in zip(self.words, self.allowed)]
+        self.anchors: list[dict[tuple[str, ...], list[int]]] = []
+        for words, run in zip(self.words, self.runs):
+            at: dict[tuple[str, ...], list[int]] = {}
+            for i in range(len(words) - run + 1):
+                at.setdefault(tuple(words[i:i + run]), []).append(i)
+            self.anchors.append(at)
         self.made = compression.compressors({str(i): t.encode() for i, (_, t) in enumerate(templates)}, level=LEVEL)
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
         self.own = [len(self.alone.compress(t.encode())) for _, t in templates]
         # Words that a template takes up with its most differences.
-        widths = [len(w) + int(len(w) * DIFFERENCES) for w in self.words]
+        widths = [len(w) + d for w, d in zip(self.words, self.allowed)]
         self.reach = max(widths)
         self.notice = max((n for n, w in zip(widths, self.words) if len(w) <= NOTICE), default=0)
 
@@ -150,23 +205,25 @@ class Scanner:
         gains = sorted(((plain - size[str(i)]) / self.own[i], -i) for i in range(len(self.names)))
         return [(g, -i) for g, i in reversed(gains)]
 
-    def compared(self, block: list[str], template: list[str]) -> list[tuple[int, int, list[str], list[str]]]:
-        """Places (from, to) in the block where the template stands, with the words added and missing."""
-        allowed = int(len(template) * DIFFERENCES)
-        out = []
-        if not allowed:
-            first, n = template[0], len(template)
-            return [(i, i + n, [], []) for i, w in enumerate(block) if w == first and block[i:i + n] == template]
-        matcher = SequenceMatcher(None, template, block, autojunk=False)
-        pairs = [m for m in matcher.get_matching_blocks() if m.size]
-        if pairs:
-            low, high = pairs[0].b, pairs[-1].b + pairs[-1].size
-            covered, added, missing = {i for m in pairs for i in range(m.a, m.a + m.size)}, [], []
-            used = {i for m in pairs for i in range(m.b, m.b + m.size)}
-            missing = [w for i, w in enumerate(template) if i not in covered]
-            added = [block[i] for i in range(low, high) if i not in used]
-            if len(missing) + len(added) <= allowed:
-                out.append((low, high, added, missing))
+    def compared(self, block: list[str], template: int) -> list[tuple[int, int, list[str], list[str]]]:
+        """Every place (from, to) in the block where the template stands, with the words added and missing.
+
+        A copy holds a run of the template; it is aligned within the allowed differences of where the run puts it.
+        """
+        words, allowed, run = self.words[template], self.allowed[template], self.runs[template]
+        out: list[tuple[int, int, list[str], list[str]]] = []
+        past, failed = 0, set()
+        for j in range(len(block) - run + 1):
+            for i in self.anchors[template].get(tuple(block[j:j + run]), ()):
+                if j < past:
+                    break
+                if j - i not in failed:
+                    hit = aligned(words, block, j - i, allowed, past)
+                    if hit:
+                        out.append(hit)
+                        past = hit[1]
+                    else:
+                        failed.add(j - i)
         return out
 
     def scan(self, text: str) -> tuple[int, list[Found]]:
@@ -176,10 +233,10 @@ class Scanner:
         found: set[Found] = set()
         for block in blocks:
             words = [w for w, _, _ in block]
-            for gain, i in self.ranked(words)[:RANKED]:
-                if gain < REDUCTION:
-                    break
-                for low, high, added, missing in self.compared(words, self.words[i]):
+            for gain, i in self.ranked(words):
+                if gain < REDUCTION and self.allowed[i]:
+                    continue
+                for low, high, added, missing in self.compared(words, i):
                     span = (block[low][1], block[high - 1][2])
                     n = len(added) + len(missing)
                     found.add(Found(self.names[i], *span, round(gain, 6), " ".join(added), " ".join(missing), n,

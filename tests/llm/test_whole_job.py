@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from duskline.llm import language, licenses
@@ -31,3 +33,52 @@ def test_notices_inside_long_texts(spark, sf):
         if len(template.split()) == 12:
             text = "the license of a public work is general " * 40 + template + " version of this license is public" * 40
             assert [f.name for f in scanner.scan(text)[1]] == [name]
+
+
+def test_every_copy_and_every_license_of_a_block():
+    scanner = licenses.Scanner()
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-2.0" and len(t) > 200)
+    for gap in (0, 5, 100):
+        text = f"{gpl} {'more ' * gap}{gpl}"
+        assert [(f.name, f.start) for f in scanner.scan(text)[1]] == [("GPL-2.0", 0), ("GPL-2.0", len(text) - len(gpl))]
+    # The last or the first word is changed, and stands again further away.
+    last = gpl.rsplit(" ", 1)[0] + " issue " + "plain " * 60 + "version"
+    first = "this " + "plain " * 60 + "that " + gpl.split(" ", 1)[1]
+    for text, word in ((last, "version"), (first, "this")):
+        assert [(f.name, f.added, f.missing) for f in scanner.scan(text)[1]] == [("GPL-2.0", "", word)]
+    # All templates one after the other.
+    every = [f for f in scanner.scan(" filler and more ".join(t for _, t in licenses.TEMPLATES))[1]]
+    assert [f.name for f in every] == [n for n, _ in licenses.TEMPLATES] and not any(f.differences for f in every)
+
+
+def test_alignment_is_the_least_of_all():
+    """Against all pairs of edits on small texts."""
+    rng = random.Random(3)
+
+    def least(words, block):
+        best = len(words)
+        for low in range(len(block) + 1):
+            row = list(range(len(words) + 1))
+            for j in range(low, len(block)):
+                new = [row[0] + 1]
+                for i, w in enumerate(words):
+                    new.append(row[i] if w == block[j] else min(row[i + 1], new[i]) + 1)
+                row = new
+                best = min(best, row[-1])
+        return best
+
+    for _ in range(200):
+        words = [rng.choice("abcdefgh") for _ in range(14)]
+        copy = list(words)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(len(copy)):][:1] = []
+            at = rng.randrange(len(copy))
+            copy[at:at + rng.randrange(2)] = rng.choice([[], ["x"]])
+        block = ["y"] * 6 + copy + ["z"] * 6
+        hits = [h for s in range(3, 10) if (h := licenses.aligned(words, block, s, 3))]
+        want = least(words, block)
+        assert bool(hits) == (want <= 3)
+        if hits:
+            low, high, added, missing = min(hits, key=lambda h: len(h[2]) + len(h[3]))
+            assert len(added) + len(missing) == want
+            assert sorted(block[low:high]) == sorted([*words, *added], key=str) or missing
