@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import filled, only_ids, with_group
+from .common import BROADCAST_IDS, filled, only_ids, with_group
 from .components import components
 
 #: Coordinates of a point; growth of a size class; targets and queries of one block of a tree search; rows to a batch.
@@ -160,8 +160,9 @@ def point(shingles: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, fp (id of the set), point, keys per row."""
-    id_type = dict(docs.dtypes)["doc_id"]
+    """doc_id and all other columns but the text, n, fp (id of the set), point, keys per row."""
+    kept = [c for c in docs.columns if c != "text"]
+    types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(percent)
@@ -173,14 +174,14 @@ def described(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 points = np.concatenate([point(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    *[part.column(c) for c in kept], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS), pa.array(points)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                    names=["doc_id", "n", "fp", "point", "keys"])
+                    names=[*kept, "n", "fp", "point", "keys"])
 
-    return docs.select("doc_id", filled("text").alias("text")).mapInArrow(
-        run, f"doc_id {id_type}, n long, fp long, point array<int>, keys array<long>")
+    return docs.select(*kept, filled("text").alias("text")).mapInArrow(
+        run, f"{', '.join(f'{c} {types[c]}' for c in kept)}, n long, fp long, point array<int>, keys array<long>")
 
 
 def shingles_of(docs: DataFrame, words: int) -> DataFrame:
@@ -302,6 +303,16 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     without words have no runs and link with nothing. Repeated rows link like any equal texts; a null doc_id gives way
     to any number, and a component of null ids only has null. An empty table gives an empty result.
     """
+    base, met = grouped(docs.select("doc_id", "text"), words, percent)
+    whole = durable(with_group(met, "root", {"component": ("min", F.col("doc_id"))}).select("fp", "component"))
+    alone = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return base.select("doc_id", "n", "fp").join(whole, "fp", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), alone.cast("long").alias("component_id"))
+
+
+def grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What ``described`` tells of the rows, and fp, doc_id (the smallest), root of the sets that are linked or have
+    several rows."""
     base = durable(described(docs, words, percent))
     sets = base.filter("n > 0")
     routed = sets.select("fp", F.explode("keys").alias("key"))
@@ -323,17 +334,36 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     more = durable(_left_over(led, known, roots, percent))
     if not more.isEmpty():
         roots = components(edges.unionByName(_verified(more, docs, known, words, percent)))
-    # Back to the rows: sets that are linked or have several rows get a component, all others are on their own.
+    # Back to the rows: sets that are linked or have several rows have a component, all others are on their own.
     met = per_set.select("fp", "doc_id", "rows").join(roots.select(F.col("id").alias("fp"), "root"), "fp", "left")
-    met = met.filter("root is not null or rows > 1").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    whole = durable(with_group(met, "root", {"component": ("min", F.col("doc_id"))}).select("fp", "component"))
-    alone = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return base.select("doc_id", "n", "fp").join(whole, "fp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), alone.cast("long").alias("component_id"))
+    return base, met.filter("root is not null or rows > 1").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, bound: int = BROADCAST_IDS) -> DataFrame:
+    """One row of each component, and every row that links with none, with all columns.
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with all columns."""
-    found = link(docs, words, percent)
-    gone = found.filter("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id")
-    return only_ids(docs, gone, "doc_id", keep=False)
+    Rows are told apart by doc_id and text. Of a component the row with the smallest doc_id stays, a null doc_id only
+    where there is no other; of several such rows the one with the least hash of its text, and of equal rows one. So
+    what happens to a row says nothing about others of its doc_id, or about others without one.
+    """
+    text = F.xxhash64(filled("text"))
+    base, met = grouped(docs.select("doc_id", "text", text.alias("_text")), words, percent)
+    rows = base.filter("n > 0").select("doc_id", "_text", "fp").join(met.select("fp", "root"), "fp")
+    rows = rows.groupBy("root", "doc_id", "_text").agg(F.count(F.lit(1)).alias("rows"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text").alias("text"))
+    judged = with_group(rows, "root", {"first": ("min", first)})
+    stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("_text") == F.col("first.text"))
+    judged = durable(judged.select(F.col("doc_id").alias("_near_id"), F.col("_text").alias("_near_of"), "rows",
+                                   stays.alias("stays")))
+    marked = docs.withColumn("_near_text", text)
+
+    def those(which: DataFrame, how: str) -> DataFrame:
+        side = which.select("_near_id", "_near_of")
+        side = F.broadcast(side) if side.limit(bound + 1).count() <= bound else side
+        return marked.join(side, marked["doc_id"].eqNullSafe(F.col("_near_id")) & (F.col("_near_text") == F.col("_near_of")), how)
+
+    repeated = judged.filter("stays and rows > 1")
+    kept = those(judged.filter("not stays or rows > 1"), "left_anti")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(those(repeated, "left_semi").dropDuplicates(["doc_id", "_near_text"]))
+    return kept.drop("_near_text")

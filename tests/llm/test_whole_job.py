@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from duskline.llm import language, licenses
+from duskline.llm import language, licenses, near_join
 
 
 def test_a_language_of_copies_is_learned_whole(spark):
@@ -82,3 +83,21 @@ def test_alignment_is_the_least_of_all():
             low, high, added, missing = min(hits, key=lambda h: len(h[2]) + len(h[3]))
             assert len(added) + len(missing) == want
             assert sorted(block[low:high]) == sorted([*words, *added], key=str) or missing
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_keep_one_decides_per_row(spark, bound):
+    """Null and repeated ids: near copies go, other rows of the same id or without an id stay."""
+    def text(name, change=""):
+        return " ".join(f"{name}{i}" for i in range(40)) + change
+
+    rows = [(3, text("a"), 1), (None, text("a", " x"), 2), (None, text("b"), 3), (7, text("a", " y"), 4), (7, text("c"), 5),
+            (8, text("d"), 6), (8, text("d", " z"), 7), (None, text("e"), 8), (None, text("e", " z"), 9),
+            (9, text("f"), 10), (9, text("f"), 11), (None, None, 12), (None, "", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text int")
+    kept = near_join.keep_one(docs, 5, 80, bound)
+    assert kept.columns == docs.columns
+    got = sorted(r._text for r in kept.collect())
+    assert [n for n in got if n in (1, 2, 3, 4, 5, 12, 13)] == [1, 3, 5, 12, 13]
+    assert [len([n for n in got if n in of]) for of in ((6, 7), (8, 9), (10, 11))] == [1, 1, 1] and len(got) == 8
+    assert near_join.keep_one(docs.limit(0), 5, 80).count() == 0
