@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scale import rank_limit
@@ -35,8 +35,13 @@ def _blocks(side: DataFrame, rows: int, out: str) -> DataFrame:
 
 
 def rank_similarity(probes: DataFrame, candidates: DataFrame, min_similarity: float = 0.0, limit: int = 100,
-                    block_rows: int = 2048) -> DataFrame:
-    """Per probe the best candidates of its group: similarity desc, then time, source and id; never itself."""
+                    block_rows: int = 2048, until: str | None = None) -> DataFrame:
+    """Per probe the best candidates of its group: similarity desc, then time, source and id; never itself.
+
+    ``until``: a column of both sides. Candidates beyond the limit then follow up to the first that has the probe's value
+    there, whatever its rank, and ``hit`` tells which have it. A block gives its rows up to its own first one: what comes
+    before the first of all is among them.
+    """
     if not 1 <= limit <= 1000:
         raise ValueError("limit must lie in 1..1000")
     p, c = admissible(probes), admissible(candidates)
@@ -49,48 +54,60 @@ def rank_similarity(probes: DataFrame, candidates: DataFrame, min_similarity: fl
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
         )
 
-    pb = spread(p, "_pb", "_cb", "_np", "_nc").select(*GROUP, "_pb", "_cb", "observation_id", "vals")
+    mark = F.col(until) if until else F.lit(0)
+    pb = spread(p, "_pb", "_cb", "_np", "_nc").select(*GROUP, "_pb", "_cb", "observation_id", "vals", mark.alias("mark"))
     cb = spread(c, "_cb", "_pb", "_nc", "_np").select(
-        *GROUP, "_pb", "_cb", "observation_id", "timestamp_ms", "source_id", "vals")
+        *GROUP, "_pb", "_cb", "observation_id", "timestamp_ms", "source_id", "vals", mark.alias("mark"))
     keys = [*GROUP, "_pb", "_cb"]
     # Fresh names on the right: both sides may come from one table.
     cb = cb.select(*[F.col(k).alias("r" + k) for k in keys], *[c for c in cb.columns if c not in keys])
     cb = cb.select(*[F.col(c).alias(c if c.startswith("r") else "c_" + c) for c in cb.columns])
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ("probe_id", "candidate_id", "similarity", "timestamp_ms", "source_id")
-        out: list[list[np.ndarray]] = [[np.empty(0, dtype=t)] for t in (object, object, float, np.int64, object)]
+        names = ("probe_id", "candidate_id", "similarity", "timestamp_ms", "source_id", "hit")
+        out: list[list[np.ndarray]] = [[np.empty(0, dtype=t)] for t in (object, object, float, np.int64, object, bool)]
         if len(left) and len(right):
             right = right.sort_values(["c_timestamp_ms", "c_source_id", "c_observation_id"])
             dims = np.ascontiguousarray(np.stack(right["c_vals"].to_numpy()).T)
             ids, sources = (right[c].to_numpy(dtype=object) for c in ("c_observation_id", "c_source_id"))
             times = right["c_timestamp_ms"].to_numpy()
-            for row, pid in zip(left["vals"], left["observation_id"]):
+            marks = right["c_mark"].to_numpy()
+            for row, pid, own in zip(left["vals"], left["observation_id"], left["mark"]):
                 acc = np.zeros(len(ids))
                 for value, column in zip(row, dims):
                     acc += np.minimum(value, column)
                 acc = np.where((acc > 1.0) & (np.abs(acc - 1.0) <= TOLERANCE), 1.0, acc)
                 keep = np.flatnonzero(((acc >= min_similarity) | (np.abs(acc - min_similarity) <= TOLERANCE)) & (ids != pid))
-                best = keep[np.argsort(-acc[keep], kind="stable")[:limit]]
-                found = (np.full(len(best), pid, dtype=object), ids[best], acc[best], times[best], sources[best])
+                best = keep[np.argsort(-acc[keep], kind="stable")]
+                hit = marks[best] == own
+                last = (hit.argmax() + 1 if hit.any() else len(hit)) if until else 0
+                best, hit = best[:max(limit, last)], hit[:max(limit, last)]
+                found = (np.full(len(best), pid, dtype=object), ids[best], acc[best], times[best], sources[best], hit)
                 for column, part in zip(out, found):
                     column.append(part)
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, out)})
 
     pairs = pb.groupBy(*keys).cogroup(cb.groupBy(*["r" + k for k in keys])).applyInPandas(
-        score, "probe_id string, candidate_id string, similarity double, timestamp_ms long, source_id string")
-    return rank_limit(
-        pairs, ["probe_id"],
-        [F.desc("similarity"), F.col("timestamp_ms"), F.col("source_id"), F.col("candidate_id")], limit)
+        score, "probe_id string, candidate_id string, similarity double, timestamp_ms long, source_id string, hit boolean")
+    order = [F.desc("similarity"), F.col("timestamp_ms"), F.col("source_id"), F.col("candidate_id")]
+    if not until:
+        return rank_limit(pairs.drop("hit"), ["probe_id"], order, limit)
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("probe_id").orderBy(*order)))
+    first = F.min(F.when(F.col("hit"), F.col("rank"))).over(Window.partitionBy("probe_id"))
+    return ranked.withColumn("_first", first).filter(F.col("rank") <= F.greatest(F.lit(limit), "_first")).drop("_first")
 
 
-def benchmark_cases(ranked: DataFrame, cases: DataFrame, relevance: DataFrame, k: int = 5) -> DataFrame:
+def benchmark_cases(ranked: DataFrame, cases: DataFrame, relevance: DataFrame, k: int = 5,
+                    counts: DataFrame | None = None) -> DataFrame:
     """Precision and recall at k, reciprocal rank and top-1 per probe; undefined precision counts as zero.
 
     ``cases``: probe_id, candidate_count. ``relevance``: probe_id, candidate_id of relevant candidates.
+    ``counts``: probe_id, relevant_count, where the ranking and ``relevance`` go no further than rank k and the first
+    relevant rank; probes without a relevant candidate are left out.
     """
     rel = relevance.select("probe_id", "candidate_id").distinct()
-    counts = rel.groupBy("probe_id").agg(F.count(F.lit(1)).alias("relevant_count"))
+    if counts is None:
+        counts = rel.groupBy("probe_id").agg(F.count(F.lit(1)).alias("relevant_count"))
     hit = F.col("_r").isNotNull()
     per = (
         ranked.join(rel.withColumn("_r", F.lit(1)), ["probe_id", "candidate_id"], "left")
