@@ -1,9 +1,12 @@
 """Document fingerprints by winnowing.
 
-A text is read as tokens: its words, cut into parts of at most PART characters. Every run of K tokens gets a hash, built by
+A text is read as tokens: its words, cut into parts of at most PART characters; unbroken text (words of more than LONG
+characters, or of more than PART in a script without spaces) gives every PART characters in it instead, one token for each
+start, so that a passage is read alike wherever it stands. Every run of K tokens gets a hash, built by
 doubling: hashes of 2m tokens combine two overlapping hashes of m, so a token costs log2(K) steps. Of every WINDOW
 consecutive hashes the smallest is chosen, the rightmost on ties, and kept with its position (in tokens). Any run of
-K + WINDOW - 1 tokens that two texts share therefore puts a common hash into both fingerprints. All of it is array
+K + WINDOW - 1 tokens that two texts share therefore puts a common hash into both fingerprints: five words or parts, or
+PART + K + WINDOW - 2 characters of unbroken text. All of it is array
 expressions; the tokens of long texts are worked through in overlapping pieces.
 """
 
@@ -12,11 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled, let
+from .common import WORD, filled, let
 
 #: Tokens in a hashed run and hashes in a window, both powers of two; window starts in a piece of a long text.
 K, WINDOW, PIECE, PART = 2, 4, 8192, 8
 TOKEN = rf"[^\x20\x09-\x0D]{{1,{PART}}}"
+#: Words longer than this are unbroken text in any script; those of SPACELESS scripts are if longer than PART.
+LONG = 48
+SPACELESS = (r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
+             r"\uFF66-\uFF9F\x{20000}-\x{323AF}]")  # Thai, Lao, Burmese, Khmer, Kana, Han: ranges, as scripts are slow to tell
+UNBROKEN = rf"(?s)^(?:.{{{LONG + 1}}}|(?=.{{{PART + 1}}}).*{SPACELESS})"
+#: Only texts in which this is found may have unbroken words; every start of PART characters in one.
+SUSPECT, STARTS = rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{{{LONG + 1}}}|{SPACELESS}", rf"(?s)(?=(.{{{PART}}}))."
 #: Hashes are taken modulo this prime below 2^42; multipliers stay below 2^20, so products fit a long.
 PRIME, MULTIPLIERS = (1 << 42) - 11, (1_000_003, 786_433, 950_009, 611_953, 524_287)
 #: A packed value is hash * POSITIONS - position: its minimum has the rightmost of equal hashes.
@@ -58,6 +68,18 @@ def _steps(a: Column) -> Column:
     return let(a, lambda b: F.filter(b, lambda x, i: (i == 0) | (F.get(b, i - 1) != x)))
 
 
+def _tokens(text: Column) -> Column:
+    """The tokens of a text, in order."""
+    def parts(word: Column) -> Column:
+        return F.regexp_extract_all(word, F.lit(TOKEN), F.lit(0))
+
+    def of(word: Column) -> Column:
+        return F.when(word.rlike(UNBROKEN), F.regexp_extract_all(word, F.lit(STARTS), F.lit(1))).otherwise(parts(word))
+
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.when(text.rlike(SUSPECT), F.flatten(F.transform(words, of))).otherwise(parts(text))
+
+
 def select(text: Column) -> Selection:
     """The winnowed hashes of a text with their positions, from 1.
 
@@ -82,7 +104,7 @@ def select(text: Column) -> Selection:
         return (F.when(F.size(tokens) < K, whole)
                 .when(windows < 1, _unpacked(F.array(F.array_min(_packed(tokens))), F.lit(0))).otherwise(many))
 
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME)))
+    tokens = F.transform(_tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME)))
     return F.when(F.length(text) == 0, none).otherwise(let(tokens, of))
 
 

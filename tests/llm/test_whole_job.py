@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from duskline.llm import language, licenses, near_join
+from duskline.llm import fingerprints, language, licenses, near_join
 
 
 def test_a_language_of_copies_is_learned_whole(spark):
@@ -101,3 +101,14 @@ def test_keep_one_decides_per_row(spark, bound):
     assert [n for n in got if n in (1, 2, 3, 4, 5, 12, 13)] == [1, 3, 5, 12, 13]
     assert [len([n for n in got if n in of]) for of in ((6, 7), (8, 9), (10, 11))] == [1, 1, 1] and len(got) == 8
     assert near_join.keep_one(docs.limit(0), 5, 80).count() == 0
+
+
+def test_shifted_unbroken_passages_share_hashes(spark):
+    rng = random.Random(4)
+    base64, han = ["".join(rng.choice(of) for _ in range(n)) for of, n in (
+        ("ABCDEFGHabcdefgh0123456789+/", 2000), ([chr(0x4E00 + i) for i in range(2000)], 40))]
+    rows = [(i, f"{'q' * i}{passage}", f"{passage}zz") for passage in (base64, han) for i in range(1, 9)]
+    rows.append((0, "p " + han[3:15], han))  # PART + K + WINDOW - 2 characters
+    alike = fingerprints.likeness(*[fingerprints.hashes(fingerprints.select(F.col(c))) for c in "ab"])
+    got = spark.createDataFrame(rows, "i int, a string, b string").select("i", alike.alias("x")).collect()
+    assert all(r.x > 0.5 for r in got if r.i) and all(r.x > 0 for r in got)
