@@ -77,6 +77,32 @@ def with_group(rows: DataFrame, key: str, aggs: dict[str, tuple[str, Column]]) -
     return salted.join(back, [key, "_salt"]).drop("_salt")
 
 
+#: Bits of a filter table: 2^25 are 524,288 words of 8 bytes (4 MB of bits) at most, broadcast.
+FILTER_BITS = 1 << 25
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty) and the whole row as one struct, so that columns of any name can come along."""
+    return docs.select(F.col("doc_id"), filled("text").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def bit_table(rows: DataFrame, hashed: Column, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The bits of ``hashed`` (a long) as words of 64: bounded, whatever the input."""
+    cell = hashed.bitwiseAND(F.lit(filter_bits - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int"))
+    return rows.select(F.shiftright(cell, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def possibly_in(rows: DataFrame, hashed: Column, table: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """Add ``maybe``: false only for rows whose ``hashed`` is certainly not in the table, which is broadcast. A fuller table
+    lets more rows pass and loses none."""
+    marked = rows.withColumn("cell_", hashed.bitwiseAND(F.lit(filter_bits - 1)))
+    side = F.broadcast(table.select(F.col("word").alias("word_"), F.col("bits").alias("bits_")))
+    found = F.call_function("shiftright", F.col("bits_"), (F.col("cell_") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return (marked.join(side, F.shiftright("cell_", 6) == F.col("word_"), "left")
+            .withColumn("maybe", F.coalesce(found, F.lit(False))).drop("cell_", "word_", "bits_"))
+
+
 def only_ids(rows: DataFrame, ids: DataFrame, key: str, keep: bool = True, bound: int = BROADCAST_IDS) -> DataFrame:
     """Rows whose key is (not) among ``ids``: a broadcast up to ``bound`` ids, a shuffled join beyond."""
     ids = ids.select(F.col(key).alias("_only_id")).distinct()

@@ -1,18 +1,23 @@
 """N-gram Jaccard join with count vectors: links documents whose word shingles are nearly the same sets.
 
 Every shingle is hashed into one of GROUPS groups; the counts of a document's distinct shingles per group are a point.
-Two sets share at most the sum of the coordinate minima of their points, and differ by at least the L1 distance.
+Two sets share at most the sum of the coordinate minima of their points.
 
 * Equal sets are one document from the start.
-* Routing: two sets that link differ in at most r shingles, so of r + 1 finer blocks of groups at least one has the same
-  counts in both. A block's counts, hashed, are a bucket key; r follows from the size class. Nothing that links is lost.
+* Routing: two sets that link differ in at most r shingles, so of r + 1 or more finer blocks of groups at most r differ. A
+  block's counts, hashed, are a bucket key; the number of blocks follows from the size class.
+* Only keys of different sets count. A set of f keys of which its links can disturb r must find f - r of its keys elsewhere,
+  or it links with nothing and goes (``viable``). Of the s keys that it does find, the s - (f - r) + 1 that the fewest sets
+  have are enough: of any two sets that link, the one that keeps keys up to the higher frequency has all the other
+  one's shared keys. So very common keys are not followed, and nothing that links is lost.
 * The first set of each bucket leads it. Pairs (leader, member) pass the minima bound or go; survivors are verified on
   their shingles. A cluster, however large, is joined up by about as many pairs as it has members.
-* What leaders did not join: members of one leader that are still in different components are indexed in R-trees over
-  their points, in blocks of bounded size; a node's upper corner bounds the overlap of a query with all it holds.
-  Survivors are verified as well.
+* What leaders did not join: members of one leader outside its component are searched for among all its members, in
+  R-trees over their points in blocks of bounded size; a node's upper corner bounds the overlap of a query with all it
+  holds. Survivors are verified in the same task, and only links between different components come out.
 
-Shingles and sets are known by 64-bit hashes; blocks and verification work on them.
+Shingles and sets are known by 64-bit hashes; blocks and verification work on them. Texts are read three times rather than
+writing keys and shingles of all rows.
 """
 
 from __future__ import annotations
@@ -22,17 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import BROADCAST_IDS, filled, only_ids, with_group
+from .common import BROADCAST_IDS, bit_table, filled, packed, possibly_in, with_group
 from .components import components
 
-#: Coordinates of a point; growth of a size class; targets and queries of one block of a tree search; rows to a batch.
-GROUPS, CLASS_GROWTH, LEAF_ROWS, QUERY_ROWS, ROWS = 64, 1.5, 256, 4096, 256
-#: Bits of the filter that tells which rows may hold a shared key: 2^25 is 524,288 words of 8 bytes at most, broadcast.
-FILTER_BITS = 1 << 25
+#: Coordinates of a point; growth of a size class; most targets and queries of one block of a tree search; rows to a batch.
+GROUPS, CLASS_GROWTH, LEAF_ROWS, QUERY_ROWS, ROWS = 64, 1.5, 16_384, 16_384, 256
+#: Shingles to a block of a tree search (8 bytes each): bounds its rows where sets are large.
+BLOCK_SHINGLES = 2_000_000
+#: Members that meet one copy of their leader's shingles.
+LED_ROWS = 1000
 FAN_OUT = 16  # points in a node of the tree, nodes in the one above
 
 U = np.uint64
@@ -136,22 +143,29 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mixed(whole).view(np.int64)[0])
 
 
-def bucket_keys(shingles: np.ndarray, classes: Classes) -> np.ndarray:
-    """Keys of the set's blocks: the counts of a block's groups, hashed with the class and the block.
+def class_keys(shingles: np.ndarray, classes: Classes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(class, need, keys): the counts of a block's groups, hashed with the class and the block, are a key; a set that links
+    with this one in the class has at least ``need`` of the keys.
 
     Empty blocks are alike in many sets and say little; they get keys only in a set that has too few others. Of two sets
-    that link, one with enough others shares one of them, and two without share some block of either kind.
+    that link, one with enough others shares them with the other, and two without share some block of either kind.
     """
     spread = mixed(shingles ^ _ODD[5])
-    keys = []
+    content = mixed(shingles + _ODD[4])
     for c, k, needed in classes.of(len(shingles)):
         block = (spread % U(k)).astype(np.int64)
         sums = np.zeros(k, U)
-        np.add.at(sums, block, mixed(shingles + _ODD[4]))
+        np.add.at(sums, block, content)
         every = mixed(sums + np.arange(k, dtype=U) * _ODD[1] + _times(c + 1, 2))
         filled_blocks = np.bincount(block, minlength=k) > 0
-        keys.append(every[filled_blocks] if filled_blocks.sum() >= needed else every)
-    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+        extra = int(filled_blocks.sum()) - needed
+        yield (c, extra + 1, every[filled_blocks].view(np.int64)) if extra >= 0 else (c, 1, every.view(np.int64))
+
+
+def bucket_keys(shingles: np.ndarray, classes: Classes) -> np.ndarray:
+    """The keys of all classes."""
+    keys = [k for _, _, k in class_keys(shingles, classes)]
+    return np.concatenate(keys) if keys else np.zeros(0, np.int64)
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
@@ -159,44 +173,59 @@ def point(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> U(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
-def described(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id and all other columns but the text, n, fp (id of the set), point, keys per row."""
-    kept = [c for c in docs.columns if c != "text"]
-    types = dict(docs.dtypes)
-
+def _per_batch(texts: DataFrame, words: int, schema: str, make) -> DataFrame:
+    """``make(batch, sets)`` for ROWS rows at a time; ``texts`` has a column text without nulls."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(percent)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                sets = list(shingle_sets(part.column("text").to_pylist(), words))
-                keys = [bucket_keys(s, classes) if len(s) else np.zeros(0, np.int64) for s in sets]
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                points = np.concatenate([point(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([
-                    *[part.column(c) for c in kept], pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([set_id(s) for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS), pa.array(points)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                    names=[*kept, "n", "fp", "point", "keys"])
-
-    return docs.select(*kept, filled("text").alias("text")).mapInArrow(
-        run, f"{', '.join(f'{c} {types[c]}' for c in kept)}, n long, fp long, point array<int>, keys array<long>")
-
-
-def shingles_of(docs: DataFrame, words: int) -> DataFrame:
-    """fp, shingles per row."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                sets = list(shingle_sets(batch.slice(at, ROWS).column("text").to_pylist(), words))
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([set_id(s) for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))],
-                    names=["fp", "shingles"])
+                yield make(part, list(shingle_sets(part.column("text").to_pylist(), words)))
+
+    return texts.mapInArrow(run, schema)
+
+
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind), *parts])))
 
-    return docs.select(filled("text").alias("text")).mapInArrow(run, "fp long, shingles array<long>")
+
+def described(docs: DataFrame, words: int) -> DataFrame:
+    """All columns but the text, n (shingles) and fp (id of the set) per row."""
+    kept = [c for c in docs.columns if c != "text"]
+    types = dict(docs.dtypes)
+
+    def make(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*[part.column(c) for c in kept], pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([set_id(s) for s in sets], pa.int64())], names=[*kept, "n", "fp"])
+
+    return _per_batch(docs.select(*kept, filled("text").alias("text")), words,
+                      f"{', '.join(f'`{c}` {types[c]}' for c in kept)}, n long, fp long", make)
+
+
+def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """fp, class, need, key: the routing keys of every row's set."""
+    def make(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        classes = Classes(percent)
+        rows = [(set_id(s), c, need, keys) for s in sets if len(s) for c, need, keys in class_keys(s, classes)]
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))],
+             _lists([r[3] for r in rows], np.int64)], names=["fp", "class", "need", "keys"])
+
+    return _per_batch(docs.select(filled("text").alias("text")), words, "fp long, class int, need int, keys array<long>",
+                      make).select("fp", "class", "need", F.explode("keys").alias("key"))
+
+
+def shingles_of(texts: DataFrame, words: int) -> DataFrame:
+    """fp, n, point, shingles per row."""
+    def make(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+             _lists([point(s) for s in sets], np.int32), _lists([s.view(np.int64) for s in sets], np.int64)],
+            names=["fp", "n", "point", "shingles"])
+
+    return _per_batch(texts.select(filled("text").alias("text")), words,
+                      "fp long, n long, point array<int>, shingles array<long>", make)
 
 
 def may_link(shared: Column, n: Column, m: Column, percent: int) -> Column:
@@ -233,66 +262,111 @@ class CountTree:
         return self.order[nodes]
 
 
-def _maybe_shared(routed: DataFrame, shared: DataFrame) -> DataFrame:
-    """The rows whose key may be among ``shared``: only these need to be shuffled. Keys fall on the cells of a bit table of
-    bounded size; a fuller table lets more rows pass and loses none."""
-    def cell(key: str) -> Column:
-        return F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1))
-
-    words = shared.select(F.shiftright(cell("key"), 6).alias("_word"), (cell("key") % 64).cast("int").alias("_at")).groupBy(
-        "_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_at"))).alias("_bits"))
-    set_bit = F.call_function("shiftright", F.col("_bits"), (cell("key") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return (routed.join(F.broadcast(words), F.shiftright(cell("key"), 6) == F.col("_word")).filter(set_bit)
-            .select(*routed.columns))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that link, checked on the shingles of one document of each set."""
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    texts = only_ids(docs.select("doc_id", "text"), known.join(ends, "fp", "left_semi").select("doc_id"), "doc_id")
-    sets = durable(shingles_of(texts, words).dropDuplicates(["fp"]))
-    first = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa"))
-    second = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
-    met = pairs.join(first, "a").join(second, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return met.filter(may_link(shared, F.size("sa"), F.size("sb"), percent)).select("a", "b")
-
-
-def _left_over(led: DataFrame, known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one leader that are in different components and pass the bound, found in R-trees."""
-    rooted = known.select("fp", "n", "point").join(roots.select(F.col("id").alias("fp"), "root"), "fp", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
-    members = led.join(rooted, "fp")
-    lead_root = roots.select(F.col("id").alias("lead"), F.col("root").alias("lead_root"))
-    heads = (members.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-             .filter("r0 <> r1").join(lead_root, "lead", "left")
-             .select("lead", "size", F.coalesce("lead_root", "lead").alias("lead_root")))
-    members = durable(members.join(durable(heads), "lead"))
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
-    leaves = F.ceil(F.col("size") / LEAF_ROWS).cast("int")
-    blocks = F.ceil(F.col("size") / QUERY_ROWS).cast("int")
-    cols = ["lead", "fp", "root", "n", "point"]
-    targets = members.select(*cols, (F.col("root") == F.col("lead_root")).alias("main"), band.alias("band"),
-                             F.pmod(F.xxhash64("fp"), leaves).cast("int").alias("leaf"),
-                             F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    queries = members.filter("root <> lead_root").select(
-        *cols, leaves.alias("leaves"), F.pmod(F.xxhash64("fp", F.lit(1)), blocks).cast("int").alias("block"),
-        F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    queries = queries.withColumn("leaf", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1))).drop("leaves")
-
-    def search(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        if len(asked) and len(held):
-            tree = CountTree(np.stack(held["point"].to_numpy()), held["n"].to_numpy(), percent)
-            fp, root, main = held["fp"].to_numpy(), held["root"].to_numpy(), held["main"].to_numpy()
-            for x, r, n, p in zip(asked["fp"], asked["root"], asked["n"], asked["point"]):
-                hit = tree.search(np.asarray(p), n)
-                hit = hit[(root[hit] != r) & (main[hit] | (fp[hit] > x))]
-                out += [(min(x, y), max(x, y)) for y in fp[hit].tolist()]
+def viable(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, fp) of the sets that may link, each with the rarest of its keys, as many as cannot all be disturbed."""
+    routed = keyed(docs, words, percent)
+    # One shuffle of all keys finds those of different sets; only rows that may hold one are shuffled again.
+    shared = durable(routed.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last"))
+                     .filter("first < last").select("key"))
+    met = possibly_in(routed, F.col("key"), bit_table(shared, F.col("key"))).filter("maybe").drop("maybe")
+    met = durable(met.join(shared, "key").dropDuplicates(["key", "fp"]).select("fp", "class", "need", "key"))
+    for _ in range(2):  # sets that go leave keys behind that only one set still has
+        able = met.groupBy("fp", "class", "need").agg(F.count(F.lit(1)).alias("found")).filter("found >= need")
+        met = met.join(able.select("fp", "class"), ["fp", "class"], "left_semi")
+        met = durable(with_group(met, "key", {"sets": ("sum", F.lit(1))}).filter("sets > 1").drop("sets"))
+    ranked = durable(with_group(met, "key", {"sets": ("sum", F.lit(1))}))
+    of_set = Window.partitionBy("fp", "class")  # at most the keys of one set
+    place = F.row_number().over(of_set.orderBy("sets", "key"))
+    ranked = ranked.select("key", "fp", "need", place.alias("place"), F.count(F.lit(1)).over(of_set).alias("found"))
+    return ranked.filter("found >= need and place <= found - need + 1").select("key", "fp")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (lead, fp) that link, as (a, b). Every member's shingles travel to its leader; a leader's go out once for
+    LED_ROWS members."""
+    point = sets.select("fp", "n", "point")
+    least = F.aggregate(F.zip_with("point", "lp", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    lead_point = point.select(F.col("fp").alias("lead"), F.col("n").alias("ln"), F.col("point").alias("lp"))
+    close = pairs.join(point, "fp").join(lead_point, "lead").filter(may_link(least, F.col("n"), F.col("ln"), percent))
+    sized = with_group(close.select("lead", "fp"), "lead", {"size": ("sum", F.lit(1))})
+    salted = durable(sized.select("lead", "fp", F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / LED_ROWS)).alias("salt")))
+    heads = salted.select("lead", "salt").distinct().join(
+        sets.select(F.col("fp").alias("lead"), F.col("shingles").alias("led_by")), "lead")
+    met = salted.join(sets.select("fp", "shingles"), "fp").join(heads, ["lead", "salt"])
+    shared = F.size(F.array_intersect("shingles", "led_by"))
+    return met.filter(may_link(shared, F.size("shingles"), F.size("led_by"), percent)).select(
+        F.col("lead").alias("a"), F.col("fp").alias("b"))
+
+
+def searched(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of different roots, few enough to join all roots that links join."""
+    points, sizes = np.stack(held["point"].to_numpy()), held["n"].to_numpy()
+    tree = CountTree(points, sizes, percent)
+    fp, root = held["fp"].to_numpy(), held["root"].to_numpy()
+    sets = held["shingles"].to_numpy()
+    joined: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while joined.get(r, r) != r:
+            r = joined[r]
+        return r
+
+    out = []
+    for x, r, n, at, mine in zip(asked["fp"], asked["root"], asked["n"], asked["point"], asked["shingles"]):
+        hit = tree.search(np.asarray(at), n)
+        hit = hit[(root[hit] != r) & (fp[hit] != x)]
+        if not len(hit):
+            continue
+        # All survivors at once: which of their shingles are among this set's (both sorted as unsigned numbers).
+        mine = np.sort(mine)
+        every = np.concatenate(sets[hit])
+        place = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+        starts = np.concatenate([[0], np.cumsum(sizes[hit])[:-1]])
+        shared = np.add.reduceat((mine[place] == every).astype(np.int64), starts)
+        for i in hit[(100 + percent) * shared >= percent * (n + sizes[hit])].tolist():
+            mine_root, other = find(int(r)), find(int(root[i]))
+            if mine_root != other:
+                joined[mine_root] = other
+                out.append((int(x), int(fp[i])))
+    return out
+
+
+def _left_over(led: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one leader that are in different components so far."""
+    of_root = roots.select(F.col("id").alias("fp"), "root")
+    members = led.unionByName(led.select("lead", F.col("lead").alias("fp")).distinct())
+    members = members.join(of_root, "fp", "left").select("lead", "fp", F.coalesce("root", "fp").alias("root"))
+    main = F.when(F.col("lead") == F.col("fp"), F.col("root"))
+    members = with_group(members, "lead", {"size": ("sum", F.lit(1)), "main": ("max", main),
+                                           "r0": ("min", F.col("root")), "r1": ("max", F.col("root"))}).filter("r0 <> r1")
+    members = with_group(members.select("lead", "fp", "root", "size", "main"), "lead",
+                         {"out": ("sum", (F.col("root") != F.col("main")).cast("int"))})
+    members = durable(members)
+    rows = members.join(sets, "fp")
+    # A leader's sets are alike in size, so its rows to a block follow from one of them.
+    most = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SHINGLES) / F.col("n") / 4))
+    held_blocks = F.ceil(F.col("size") / F.least(most, F.lit(LEAF_ROWS))).cast("int")
+    asked_blocks = F.ceil(F.col("out") / F.least(most, F.lit(QUERY_ROWS))).cast("int")
+    whole = with_group(rows.select("lead", "fp", held_blocks.alias("h"), asked_blocks.alias("q")), "lead",
+                       {"held_blocks": ("max", F.col("h")), "asked_blocks": ("max", F.col("q"))})
+    rows = rows.join(durable(whole.select("lead", "fp", "held_blocks", "asked_blocks")), ["lead", "fp"])
+    kept = ["lead", "fp", "root", "n", "point", "shingles"]
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    held = rows.select(*kept, F.lit(False).alias("asks"), F.pmod(F.xxhash64("fp"), F.col("held_blocks")).cast("int").alias("held"),
+                       every("asked_blocks").alias("asked"))
+    asked = rows.filter("root <> main").select(
+        *kept, F.lit(True).alias("asks"), every("held_blocks").alias("held"),
+        F.pmod(F.xxhash64("fp", F.lit(1)), F.col("asked_blocks")).cast("int").alias("asked"))
+
+    def search(block: pd.DataFrame) -> pd.DataFrame:
+        asks = block["asks"].to_numpy()
+        out = searched(block[asks], block[~asks], percent) if asks.any() and not asks.all() else []
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    on = ["lead", "band", "leaf", "block"]
-    return queries.groupBy(*on).cogroup(targets.groupBy(*on)).applyInPandas(search, "a long, b long").distinct()
+    return held.unionByName(asked).groupBy("lead", "held", "asked").applyInPandas(search, "a long, b long")
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -313,30 +387,23 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 def grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """What ``described`` tells of the rows, and fp, doc_id (the smallest), root of the sets that are linked or have
     several rows."""
-    base = durable(described(docs, words, percent))
-    sets = base.filter("n > 0")
-    routed = sets.select("fp", F.explode("keys").alias("key"))
-    # Keys that different sets share, each with its first set as leader; then the members of each leader.
-    shared = durable(routed.groupBy("key").agg(F.min("fp").alias("lead"), F.max("fp").alias("last"))
-                     .filter("lead < last").select("key", "lead"))
-    led = durable(_maybe_shared(routed, shared).join(shared, "key").filter("fp <> lead").select("lead", "fp").distinct())
-    ends = led.select("fp").unionByName(led.select(F.col("lead").alias("fp"))).distinct()
-    per_set = durable(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
-                                             F.first("point").alias("point"), F.count(F.lit(1)).alias("rows")))
-    known = durable(per_set.join(ends, "fp", "left_semi"))
-    member = known.select("fp", "n", "point")
-    leader = known.select(F.col("fp").alias("lead"), F.col("n").alias("ln"), F.col("point").alias("lp"))
-    least = F.aggregate(F.zip_with("point", "lp", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    first = (led.join(member, "fp").join(leader, "lead").filter(may_link(least, F.col("n"), F.col("ln"), percent))
-             .select(F.col("lead").alias("a"), F.col("fp").alias("b")))
-    edges = durable(_verified(durable(first), docs, known, words, percent))
+    base = durable(described(docs, words))
+    per_set = base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
+    met = durable(viable(docs, words, percent))
+    leads = met.groupBy("key").agg(F.min("fp").alias("lead"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    led = durable(met.join(leads, "key").filter("fp <> lead").select("lead", "fp").distinct())
+    ends = durable(led.select("fp").unionByName(led.select(F.col("lead").alias("fp"))).distinct())
+    ids = per_set.join(ends, "fp", "left_semi").select("doc_id")
+    texts = possibly_in(docs.select("doc_id", "text"), F.xxhash64("doc_id"), bit_table(ids, F.xxhash64("doc_id")))
+    sets = durable(shingles_of(texts.filter("maybe"), words).dropDuplicates(["fp"]).join(ends, "fp", "left_semi"))
+    edges = durable(_links(led, sets, percent))
     roots = components(edges)
-    more = durable(_left_over(led, known, roots, percent))
+    more = durable(_left_over(led, sets, roots, percent))
     if not more.isEmpty():
-        roots = components(edges.unionByName(_verified(more, docs, known, words, percent)))
+        roots = components(edges.unionByName(more))
     # Back to the rows: sets that are linked or have several rows have a component, all others are on their own.
-    met = per_set.select("fp", "doc_id", "rows").join(roots.select(F.col("id").alias("fp"), "root"), "fp", "left")
-    return base, met.filter("root is not null or rows > 1").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    found = per_set.join(roots.select(F.col("id").alias("fp"), "root"), "fp", "left")
+    return base, found.filter("root is not null or rows > 1").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, bound: int = BROADCAST_IDS) -> DataFrame:
@@ -344,26 +411,30 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, bound: int = BR
 
     Rows are told apart by doc_id and text. Of a component the row with the smallest doc_id stays, a null doc_id only
     where there is no other; of several such rows the one with the least hash of its text, and of equal rows one. So
-    what happens to a row says nothing about others of its doc_id, or about others without one.
+    what happens to a row says nothing about others of its doc_id, or about others without one. Columns of any name
+    are allowed; null and empty texts stay; an empty table gives an empty result.
     """
-    text = F.xxhash64(filled("text"))
-    base, met = grouped(docs.select("doc_id", "text", text.alias("_text")), words, percent)
-    rows = base.filter("n > 0").select("doc_id", "_text", "fp").join(met.select("fp", "root"), "fp")
-    rows = rows.groupBy("root", "doc_id", "_text").agg(F.count(F.lit(1)).alias("rows"))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text").alias("text"))
-    judged = with_group(rows, "root", {"first": ("min", first)})
-    stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("_text") == F.col("first.text"))
-    judged = durable(judged.select(F.col("doc_id").alias("_near_id"), F.col("_text").alias("_near_of"), "rows",
-                                   stays.alias("stays")))
-    marked = docs.withColumn("_near_text", text)
+    rows = packed(docs).withColumn("of", F.xxhash64("text"))
+    base, met = grouped(rows.select("doc_id", "text", "of"), words, percent)
+    sets = base.filter("n > 0").select("doc_id", "of", "fp").join(met.select("fp", "root"), "fp")
+    sets = sets.groupBy("root", "doc_id", "of").agg(F.count(F.lit(1)).alias("rows"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("of").alias("of"))
+    judged = with_group(sets, "root", {"first": ("min", first)})
+    stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of"))
+    judged = durable(judged.select(F.col("doc_id").alias("near_id"), F.col("of").alias("near_of"), "rows", stays.alias("stays")))
+    touched = judged.filter("not stays or rows > 1")
+    where = F.xxhash64("doc_id", "of")
+    flagged = possibly_in(rows, where, bit_table(touched, F.xxhash64("near_id", "near_of")))
+    few = touched.limit(bound + 1).count() <= bound
 
     def those(which: DataFrame, how: str) -> DataFrame:
-        side = which.select("_near_id", "_near_of")
-        side = F.broadcast(side) if side.limit(bound + 1).count() <= bound else side
-        return marked.join(side, marked["doc_id"].eqNullSafe(F.col("_near_id")) & (F.col("_near_text") == F.col("_near_of")), how)
+        side = which.select("near_id", "near_of")
+        side = F.broadcast(side) if few else side
+        return flagged.filter("maybe").join(side, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("of") == F.col("near_of")), how)
 
-    repeated = judged.filter("stays and rows > 1")
-    kept = those(judged.filter("not stays or rows > 1"), "left_anti")
+    # Rows outside the filter are touched by nothing and pass straight through.
+    kept = flagged.filter("not maybe").unionByName(those(touched, "left_anti"))
+    repeated = touched.filter("stays")
     if not repeated.isEmpty():
-        kept = kept.unionByName(those(repeated, "left_semi").dropDuplicates(["doc_id", "_near_text"]))
-    return kept.drop("_near_text")
+        kept = kept.unionByName(those(repeated, "left_semi").dropDuplicates(["doc_id", "of"]))
+    return kept.select("row.*")
