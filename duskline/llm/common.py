@@ -110,6 +110,25 @@ def only_ids(rows: DataFrame, ids: DataFrame, key: str, keep: bool = True, bound
     return rows.join(side, rows[key].eqNullSafe(F.col("_only_id")), "left_semi" if keep else "left_anti")
 
 
+def resolved(rows: DataFrame, touched: DataFrame, of: str, bound: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``packed`` that stay, unpacked. ``touched`` (doc_id, ``of``, stays) has those that go and those that stay
+    once of several alike; rows outside its bit table are touched by nothing and pass straight through."""
+    side = touched.select(F.col("doc_id").alias("id_"), F.col(of).alias("of_"), "stays")
+    flagged = possibly_in(rows, F.xxhash64("doc_id", of), bit_table(side, F.xxhash64("id_", "of_")))
+    few = touched.limit(bound + 1).count() <= bound
+
+    def those(which: DataFrame, how: str) -> DataFrame:
+        which = which.select("id_", "of_")
+        same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col(of) == F.col("of_"))
+        return flagged.filter("maybe").join(F.broadcast(which) if few else which, same, how)
+
+    kept = flagged.filter("not maybe").unionByName(those(side, "left_anti"))
+    repeated = side.filter("stays")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(those(repeated, "left_semi").dropDuplicates(["doc_id", of]))
+    return kept.select("row.*")
+
+
 def running_sum(rows: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, before: str,
                 seq: str) -> DataFrame:
     """Sum of ``value`` over the earlier rows of each key, in order of (bucket, order), and the place in the bucket.

@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import ascii_lower, filled, only_ids, with_group
+from .common import ascii_lower, filled, packed, resolved, with_group
 
 #: Bits of the filter: 2^25 is 524,288 words of 8 bytes (4 MB of bits) at most; raise it with the executors' memory.
 FILTER_BITS = 1 << 25
+#: Repeats of one row that are unfolded at once.
+CHUNK = 1 << 16
 
 
 def digest(text: Column | str) -> Column:
@@ -37,6 +39,12 @@ def possibly_repeated(hashed: DataFrame, key: str, filter_bits: int = FILTER_BIT
             .drop("_word_of", "_bit", "_word", "_bits"))
 
 
+def together(flagged: DataFrame) -> DataFrame:
+    """text_sha256, doc_id, _rows, keep_id, group_size of the possibly repeated rows."""
+    met = flagged.filter("_maybe").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    return with_group(met, "text_sha256", {"keep_id": ("max", F.col("doc_id")), "group_size": ("sum", F.col("_rows"))})
+
+
 def dedup(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and copy for every row.
 
@@ -51,9 +59,9 @@ def dedup(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     single = flagged.filter(~F.col("_maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256", F.lit(1).cast("long").alias("copy"))
-    met = flagged.filter("_maybe").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    grouped = with_group(met, "text_sha256", {"keep_id": ("max", F.col("doc_id")), "group_size": ("sum", F.col("_rows"))})
-    repeated = (grouped.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
+    one, grouped = F.lit(1).cast("long"), together(flagged)
+    grouped = grouped.withColumn("_from", F.explode(F.sequence(one, F.col("_rows"), F.lit(CHUNK).cast("long"))))
+    repeated = (grouped.withColumn("copy", F.explode(F.sequence("_from", F.least(F.col("_from") + CHUNK - 1, "_rows"))))
                 .select("doc_id", "keep_id", "group_size",
                         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
                         "text_sha256", "copy"))
@@ -61,20 +69,14 @@ def dedup(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """The rows that stay, with all columns of the input.
+    """The rows that stay, with all columns of the input, which may have any names.
 
-    Ids of rows that go are looked up, not the texts of rows that stay. Where a doc_id stands for several rows, the
-    row is told apart by its digest.
+    Rows are told apart by doc_id and digest, so nulls and repeated ids are no special case; of rows alike in both one
+    stays. Rows that no copy touches are not shuffled.
     """
-    verdict = dedup(docs, filter_bits)
-    odd = (verdict.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any"),
-                                         F.min("kept").alias("all"))
-           .filter("n > 1"))
-    gone = verdict.filter("not kept").select("doc_id")
-    clear = only_ids(docs, gone.unionByName(odd.select("doc_id")), "doc_id", keep=False)
-    unclear = only_ids(docs, odd, "doc_id").withColumn("_sha", digest("text"))
-    stay = verdict.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s"))
-    stay = stay.join(odd.select(F.col("doc_id").alias("_odd")), F.col("_id").eqNullSafe(F.col("_odd")), "left_semi")
-    kept = (unclear.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s")), "left_semi")
-            .dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
-    return clear.unionByName(kept)
+    rows = packed(docs).withColumn("text_sha256", digest("text"))
+    hashed = durable(rows.select("doc_id", "text_sha256"))
+    met = together(possibly_repeated(hashed, "text_sha256", filter_bits))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    touched = durable(met.select("doc_id", "text_sha256", "_rows", stays.alias("stays")).filter("not stays or _rows > 1"))
+    return resolved(rows, touched, "text_sha256")

@@ -93,7 +93,7 @@ def slots(goals: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS,
         F.concat_ws(":", F.lit(str(seed)), F.col("number").cast("string"), F.col("pass").cast("string")))).drop("blocks")
 
 
-def packed(sized: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
+def laid_out(sized: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
     """Every row with its source's number, size and target, its place (bucket, seq) and the word it begins at."""
     n = sized.count()
     side = goals.select(F.col("source").alias("_source"), "number", "source_size", "target")
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, block: int = BLOCK, cap: int = CAP, seed: int = 0) -> D
     sized = durable(sizes(docs))
     goals = durable(targets(sized, cap))
     used = slots(goals, block, seed=seed).groupBy("number", "block_index").agg(F.count(F.lit(1)).alias("uses"))
-    found = pieces(packed(sized, goals, seed), used, block)
+    found = pieces(laid_out(sized, goals, seed), used, block)
     return (found.groupBy("number", "bucket", "seq", "doc_id", "size", "source_size", "target")
             .agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).cast("long").alias("taken"))
             .select("doc_id", "size", "source_size", "target", "taken"))
@@ -141,26 +141,24 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, cap: int = CAP, seed: int =
     sized = durable(sizes(docs))
     goals = durable(targets(sized, cap))
     used = slots(goals, block, seed=seed).groupBy("number", "block_index", "pass").agg(F.count(F.lit(1)).alias("uses"))
-    found = pieces(packed(sized, goals, seed), used, block).filter("uses is not null")
+    found = pieces(laid_out(sized, goals, seed), used, block).filter("uses is not null")
     runs = found.groupBy("number", "bucket", "seq", "doc_id", "source", "mark", "size", "pass").agg(
         F.sum("words").alias("taken"),
         F.array_sort(F.collect_list(F.struct("low", "words"))).alias("runs"))
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("mark").alias("_mark"),
-                       F.when(F.col("taken") < F.col("size"), F.col("runs")).alias("_runs"))
-    same = (F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_src"))
-            & (F.xxhash64(filled("text")) == F.col("_mark")))
-    again = sized.groupBy("doc_id", "source", "mark").count().filter("count > 1")
+    key = ["doc_id", "source", "mark"]
+    runs = runs.select(*[F.col(c).alias(f"of_{c}") for c in key],
+                       F.when(F.col("taken") < F.col("size"), F.col("runs")).alias("runs"))
+    rows = docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), F.xxhash64(filled(docs["text"])).alias("mark"),
+                       F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in key]
+    again = sized.groupBy(*key).count().filter("count > 1").select(*[F.col(c).alias(f"of_{c}") for c in key])
     if not again.isEmpty():  # rows alike would each meet the others' runs
-        keys = ["doc_id", "_s", "_m"]
-        keyed = docs.withColumn("_s", F.col("source").cast("string")).withColumn("_m", F.xxhash64(filled("text")))
-        again = again.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("mark").alias("_mark"))
-        on = (F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_src"))
-              & (F.col("_m") == F.col("_mark")))
-        docs = keyed.join(again, on, "left_anti").unionByName(
-            keyed.join(again, on, "left_semi").dropDuplicates(keys)).drop("_s", "_m")
-    words = F.regexp_extract_all(filled("text"), F.lit(r"(\A[\x20\x09-\x0D]*)?" + WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+        rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(key))
+    text = filled(F.col("row")["text"])
+    words = F.regexp_extract_all(text, F.lit(r"(\A[\x20\x09-\x0D]*)?" + WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(
-        "_runs", lambda r: F.slice(w, (r["low"] + 1).cast("int"), r["words"].cast("int")))), ""))[0]
-    joined = docs.join(runs, same).withColumn(
-        "text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(cut))
-    return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+        "runs", lambda r: F.slice(w, (r["low"] + 1).cast("int"), r["words"].cast("int")))), ""))[0]
+    joined = rows.join(runs, same).withColumn(
+        "text", F.when(F.col("runs").isNull(), F.col("row")["text"]).otherwise(cut))
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return joined.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

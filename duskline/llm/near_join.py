@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import BROADCAST_IDS, bit_table, filled, packed, possibly_in, with_group
+from .common import BROADCAST_IDS, bit_table, filled, packed, possibly_in, resolved, with_group
 from .components import components
 
 #: Coordinates of a point; growth of a size class; most targets and queries of one block of a tree search; rows to a batch.
@@ -421,20 +421,5 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, bound: int = BR
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("of").alias("of"))
     judged = with_group(sets, "root", {"first": ("min", first)})
     stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of"))
-    judged = durable(judged.select(F.col("doc_id").alias("near_id"), F.col("of").alias("near_of"), "rows", stays.alias("stays")))
-    touched = judged.filter("not stays or rows > 1")
-    where = F.xxhash64("doc_id", "of")
-    flagged = possibly_in(rows, where, bit_table(touched, F.xxhash64("near_id", "near_of")))
-    few = touched.limit(bound + 1).count() <= bound
-
-    def those(which: DataFrame, how: str) -> DataFrame:
-        side = which.select("near_id", "near_of")
-        side = F.broadcast(side) if few else side
-        return flagged.filter("maybe").join(side, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("of") == F.col("near_of")), how)
-
-    # Rows outside the filter are touched by nothing and pass straight through.
-    kept = flagged.filter("not maybe").unionByName(those(touched, "left_anti"))
-    repeated = touched.filter("stays")
-    if not repeated.isEmpty():
-        kept = kept.unionByName(those(repeated, "left_semi").dropDuplicates(["doc_id", "of"]))
-    return kept.select("row.*")
+    judged = durable(judged.select("doc_id", "of", "rows", stays.alias("stays")))
+    return resolved(rows, judged.filter("not stays or rows > 1"), "of", bound)
