@@ -145,3 +145,26 @@ def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     from . import licenses
 
     return licenses.scan(table(spark, sf, "documents"))
+
+
+@query("op12_substring_dedup", r"""
+    with w as (
+      select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+      from documents),
+    s as (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w),
+    g as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as window13 from s),
+    o as (select window13, min(doc_id) as owner from g group by 1),
+    x as (select distinct doc_id, i + unnest(range(0, 13)) as place from g join o using (window13) where owner < doc_id),
+    p as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as place from w),
+    k as (select doc_id, string_agg(word, ' ' order by place) as kept, count(*) as n_kept
+          from p anti join x using (doc_id, place) group by 1)
+    select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n_kept, 0) as bigint) as n_removed,
+      sha256(coalesce(kept, '')) as kept_sha256
+    from w left join k using (doc_id)""")
+def op12_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import substrings
+
+    return substrings.cleaned(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
