@@ -168,3 +168,34 @@ def op12_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
     return substrings.cleaned(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op11_phrases", rf"""
+    with p as (
+      select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({SQL_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece
+      from documents),
+    w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+    n as (select lang, cast(sum(len(ws)) as bigint) as n from w group by 1),
+    g as (select lang, 1 as k, unnest(ws) as phrase from w
+      union all select lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) from w
+      union all select lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) from w
+      union all select lang, 4, unnest(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) from w),
+    f as (select lang, k, phrase, count(*) as f from g group by all having count(*) >= 30),
+    c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k > 1),
+    j as (select lang, k, phrase, a, ws, unnest(range(1, k)) as j from c),
+    h as (select lang, phrase, a, j, array_to_string(ws[1:j], ' ') as head, array_to_string(ws[j + 1:], ' ') as tail from j),
+    cut as (
+      select h.lang, h.phrase, h.a, j, x.f as l, y.f as r, (2000000::hugeint * h.a) // (x.f + y.f) as score
+      from h join f x on x.lang = h.lang and x.phrase = h.head join f y on y.lang = h.lang and y.phrase = h.tail),
+    best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+    z as (select lang, a, ws, k, unnest(range(2, k)) as size from c),
+    s as (select lang, a, ws, size, unnest(range(1, k - size + 2)) as i from z),
+    m as (select lang, array_to_string(ws[i:i + size - 1], ' ') as phrase, max(a) as longest from s group by 1, 2),
+    kept as (select best.* from best left join m using (lang, phrase) where longest is null or 100 * longest < 80 * a)
+    select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, n,
+      cast(score as bigint) as score
+    from kept join n using (lang) qualify rank <= 2000""")
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    from . import phrases
+
+    return phrases.mine(table(spark, sf, "documents"))
