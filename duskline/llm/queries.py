@@ -199,3 +199,10 @@ def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
     from . import phrases
 
     return phrases.mine(table(spark, sf, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    from . import whitening
+
+    return whitening.whiten(table(spark, sf, "embeddings"))
