@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import FILTER_BITS, bit_table, filled, possibly_in, with_group
+from .common import BROADCAST_IDS, FILTER_BITS, bit_table, filled, possibly_in, with_group
 from .near_join import mixed
 
 #: Words of a window and of the runs that are its minimisers; most windows of one super-k-mer.
@@ -185,13 +185,17 @@ def removals(rows: DataFrame, filter_bits: int = FILTER_BITS, hot: int = HOT) ->
     bits = np.zeros(filter_bits // 64, np.int64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     found = durable(strings(rows, bits).withColumn("code", F.xxhash64("words")))
+    # What tells hot minimisers from others needs no words; the words travel once to meet their equals, once to a bucket.
+    many = found.groupBy("minimiser", "code").agg(F.lit(1).alias("one")).groupBy("minimiser").agg(F.count("one").alias("strings"))
+    many = durable(many.filter(F.col("strings") > hot).select("minimiser"))
+    few = many.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    many = F.broadcast(many) if few else many
     each = found.groupBy("minimiser", "code", "words").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-    each = with_group(each, "minimiser", {"strings": ("sum", F.lit(1)), "a": ("min", F.col("first")), "b": ("max", F.col("last"))})
-    each = durable(each.filter("a < b").drop("a", "b"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-each.count() // BUCKET_STRINGS))
+    total = found.select(F.approx_count_distinct("code").alias("n")).first()["n"]  # sizes the buckets only
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_STRINGS))
     bucket = F.pmod(F.xxhash64("minimiser"), F.lit(buckets)).alias("bucket")
-    owners = each.filter(F.col("strings") <= hot).groupBy(bucket).applyInPandas(sorted_owners, OWNERS)
-    owners = durable(owners.unionByName(_hot_owners(each.filter(F.col("strings") > hot))))
+    owners = each.join(many, "minimiser", "left_anti").groupBy(bucket).applyInPandas(sorted_owners, OWNERS)
+    owners = durable(owners.unionByName(_hot_owners(each.join(many, "minimiser", "left_semi"))))
     # Back to the places of each string; a string that very many documents have is met once per salt.
     key = ["minimiser", "code", "salt"]
     placed = found.select("rank", "of", "start", "minimiser", "code", F.pmod(F.xxhash64("rank", "of"), F.lit(64)).alias("salt"))
