@@ -68,7 +68,7 @@ def test_phrases_by_brute_force(spark, shards, bits, seed):
 def test_blocks_of_words_do_not_change_counts(spark, monkeypatch):
     monkeypatch.setattr(phrases, "BLOCK_WORDS", 20)
     block = phrases.Block(["Ab  c\td. e", "", "f"], np.array([1, 1, 2]))
-    assert [block.text_of(a, 2) for a in block.phrases(2)[0]] == [b"ab c", b"c d"] and len(block.phrases(1)[0]) == 5
+    assert [block.text_of(a, 2) for a in block.places(2)] == [b"ab c", b"c d"] and len(block.places(1)) == 5
     rows = prose(9, 40)
     counted = phrases.exact_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string").na.fill("und").selectExpr(
         "lang", "xxhash64(lang) as code", "text"), np.full(1, -1)).collect()
