@@ -61,11 +61,13 @@ def best_pairs(edge: DataFrame, frame: Sequence[str]) -> DataFrame:
 
 
 def match_intervals(events: DataFrame, labels: DataFrame, tolerance_ms: int = 0, bucket_ms: int = 3_600_000) -> DataFrame:
-    """One-to-one event/label pairs per sample, as many as possible.
+    """One-to-one event/label pairs per sample, as many as possible, nested intervals included.
 
     ``events``: sample_id, event_id, start_ms, end_ms. ``labels``: sample_id, label_id, start_ms, end_ms. Samples are
     cut where no interval reaches across, so a long recording is many small groups; a group is read along its time line
-    with only the open labels in memory. Events are taken by end and get the open label that closes first.
+    with only those labels in memory that a later event can still reach. Events are taken by end and get, of the open
+    labels that close at or after their start, the one that closes first; later events may begin earlier, so labels before
+    it stay.
     """
     ev = events.select("sample_id", F.lit(0).alias("kind"), F.col("event_id").cast("string").alias("id"),
                        "start_ms", "end_ms", F.col("start_ms").alias("lo"), F.col("end_ms").alias("hi"))
@@ -78,18 +80,26 @@ def match_intervals(events: DataFrame, labels: DataFrame, tolerance_ms: int = 0,
     # One time line: a label counts from where it opens, an event from where it ends, labels first at the same moment.
     line = mixed.select("sample_id", "island", F.when(F.col("kind") == 1, F.col("lo")).otherwise(F.col("end_ms")).alias("moment"),
                         (1 - F.col("kind")).alias("turn"), "start_ms", "id", "end_ms", "hi")
+    # The earliest start of all events from a bucket of the time line on: labels that close before it are out of reach.
+    line = line.withColumn("part", F.floor(F.col("moment") / F.lit(bucket_ms)).cast("long"))
+    onward = Window.partitionBy("sample_id", "island").orderBy("part").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    reach = line.groupBy("sample_id", "island", "part").agg(F.min(F.when(F.col("turn") == 1, F.col("start_ms"))).alias("least"))
+    reach = reach.select("sample_id", "island", "part", F.coalesce(F.min("least").over(onward), F.lit((1 << 63) - 1)).alias("reach"))
+    line = line.join(reach, ["sample_id", "island", "part"]).drop("part")
     sample_type = events.schema["sample_id"].dataType.simpleString()
 
     def take(waiting: list, c: Columns) -> Columns | None:
-        """``waiting``: open labels as (closes, start, id), sorted; those closed before an event begins are out."""
+        """``waiting``: labels in reach as (closes, start, id), sorted."""
         got = []
-        for turn, start, end, close, name in zip(*(c[n].tolist() for n in ("turn", "start_ms", "end_ms", "hi", "id"))):
+        for turn, start, end, close, name, least in zip(
+                *(c[n].tolist() for n in ("turn", "start_ms", "end_ms", "hi", "id", "reach"))):
             if turn == 0:
                 bisect.insort(waiting, (close, start, name))
                 continue
-            del waiting[:bisect.bisect_left(waiting, (start,))]
-            if waiting:
-                _, began, label = waiting.pop(0)
+            del waiting[:bisect.bisect_left(waiting, (least,))]
+            at = bisect.bisect_left(waiting, (start,))
+            if at < len(waiting):
+                _, began, label = waiting.pop(at)
                 got.append((c["sample_id"][0], name, label, end - began))
         return dict(zip(("sample_id", "event_id", "label_id", "delay_ms"), zip(*got))) if got else None
 

@@ -107,6 +107,31 @@ def test_interval_matching_is_maximum(spark):
             assert {s: got.get(s, 0) for s in want} == want
 
 
+def test_nested_intervals_lose_no_pair(spark):
+    """Intervals of 1 to 60 that nest and reach over buckets, against exhaustive pairing."""
+    rng = random.Random(11)
+    ev, lb, want = [("n", "A", 15, 20), ("n", "B", 5, 25)], [("n", "L", 0, 10), ("n", "M", 0, 40)], {"n": 2}
+    for s in range(60):
+        es, ls = ([(a, a + rng.randint(1, 60)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 6)))] for _ in range(2))
+        ev += [(f"s{s}", f"e{i}", *e) for i, e in enumerate(es)]
+        lb += [(f"s{s}", f"l{i}", *x) for i, x in enumerate(ls)]
+
+        def best(i, used):
+            if i == len(es):
+                return 0
+            meets = [j for j, x in enumerate(ls) if j not in used and es[i][0] <= x[1] and x[0] <= es[i][1]]
+            return max([best(i + 1, used), *[1 + best(i + 1, used | {j}) for j in meets]])
+
+        want[f"s{s}"] = best(0, frozenset())
+    e = spark.createDataFrame(ev, "sample_id string, event_id string, start_ms long, end_ms long")
+    x = spark.createDataFrame(lb, "sample_id string, label_id string, start_ms long, end_ms long")
+    for bucket in (7, 1000):
+        pairs = matching.match_intervals(e, x, 0, bucket).collect()
+        got = {s: sum(r.sample_id == s for r in pairs) for s in want}
+        assert got == want
+        assert len({(r.sample_id, r.event_id) for r in pairs}) == len({(r.sample_id, r.label_id) for r in pairs}) == len(pairs)
+
+
 def test_similarity_blocks_do_not_change_the_ranking(spark):
     rng = random.Random(6)
     rows = []
