@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import BROADCAST_IDS, FILTER_BITS, bit_table, filled, possibly_in, with_group
+from .common import BROADCAST_IDS, FILTER_BITS, bit_table, filled, possibly_in, stored, with_group
 from .near_join import mixed
 
 #: Words of a window and of the runs that are its minimisers; most windows of one super-k-mer.
@@ -184,7 +184,7 @@ def removals(rows: DataFrame, filter_bits: int = FILTER_BITS, hot: int = HOT) ->
     words = bit_table(shared, F.col("minimiser"), filter_bits).toArrow()  # bounded by the table's bits
     bits = np.zeros(filter_bits // 64, np.int64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    found = durable(strings(rows, bits).withColumn("code", F.xxhash64("words")))
+    found = stored(strings(rows, bits).withColumn("code", F.xxhash64("words")))
     # What tells hot minimisers from others needs no words; the words travel once to meet their equals, once to a bucket.
     many = found.groupBy("minimiser", "code").agg(F.lit(1).alias("one")).groupBy("minimiser").agg(F.count("one").alias("strings"))
     many = durable(many.filter(F.col("strings") > hot).select("minimiser"))
