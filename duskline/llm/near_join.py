@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import BROADCAST_IDS, bit_table, filled, packed, possibly_in, resolved, with_group
+from .common import BROADCAST_IDS, bit_table, filled, packed, possibly_in, resolved, stored, with_group
 from .components import components
 
 #: Coordinates of a point; growth of a size class; most targets and queries of one block of a tree search; rows to a batch.
@@ -266,18 +266,17 @@ def viable(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, fp) of the sets that may link, each with the rarest of its keys, as many as cannot all be disturbed."""
     routed = keyed(docs, words, percent)
     # One shuffle of all keys finds those of different sets; only rows that may hold one are shuffled again.
-    shared = durable(routed.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last"))
-                     .filter("first < last").select("key"))
+    shared = stored(routed.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last"))
+                    .filter("first < last").select("key"))
     met = possibly_in(routed, F.col("key"), bit_table(shared, F.col("key"))).filter("maybe").drop("maybe")
-    met = durable(met.join(shared, "key").dropDuplicates(["key", "fp"]).select("fp", "class", "need", "key"))
-    for _ in range(2):  # sets that go leave keys behind that only one set still has
-        able = met.groupBy("fp", "class", "need").agg(F.count(F.lit(1)).alias("found")).filter("found >= need")
-        met = met.join(able.select("fp", "class"), ["fp", "class"], "left_semi")
-        met = durable(with_group(met, "key", {"sets": ("sum", F.lit(1))}).filter("sets > 1").drop("sets"))
-    ranked = durable(with_group(met, "key", {"sets": ("sum", F.lit(1))}))
+    met = stored(met.join(shared, "key").dropDuplicates(["key", "fp"]).select("fp", "class", "need", "key"))
+    able = met.groupBy("fp", "class", "need").agg(F.count(F.lit(1)).alias("found")).filter("found >= need")
+    met = stored(met.join(able.select("fp", "class"), ["fp", "class"], "left_semi"))
+    # Sets that went leave keys behind that only one set still has.
+    met = with_group(met, "key", {"sets": ("sum", F.lit(1))}).filter("sets > 1")
     of_set = Window.partitionBy("fp", "class")  # at most the keys of one set
     place = F.row_number().over(of_set.orderBy("sets", "key"))
-    ranked = ranked.select("key", "fp", "need", place.alias("place"), F.count(F.lit(1)).over(of_set).alias("found"))
+    ranked = met.select("key", "fp", "need", place.alias("place"), F.count(F.lit(1)).over(of_set).alias("found"))
     return ranked.filter("found >= need and place <= found - need + 1").select("key", "fp")
 
 
@@ -299,7 +298,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def searched(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links between rows of different roots, few enough to join all roots that links join."""
+    """Pairs of different roots whose rows link, few enough to join all roots that links join."""
     points, sizes = np.stack(held["point"].to_numpy()), held["n"].to_numpy()
     tree = CountTree(points, sizes, percent)
     fp, root = held["fp"].to_numpy(), held["root"].to_numpy()
@@ -327,29 +326,23 @@ def searched(asked: pd.DataFrame, held: pd.DataFrame, percent: int) -> list[tupl
             mine_root, other = find(int(r)), find(int(root[i]))
             if mine_root != other:
                 joined[mine_root] = other
-                out.append((int(x), int(fp[i])))
+                out.append((int(r), int(root[i])))
     return out
 
 
 def _left_over(led: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of one leader that are in different components so far."""
+    """Pairs (a, b) of components that links between members of one leader join."""
     of_root = roots.select(F.col("id").alias("fp"), "root")
-    members = led.unionByName(led.select("lead", F.col("lead").alias("fp")).distinct())
-    members = members.join(of_root, "fp", "left").select("lead", "fp", F.coalesce("root", "fp").alias("root"))
+    members = led.unionByName(led.select("lead", F.col("lead").alias("fp")).distinct()).join(sets.select("fp", "n"), "fp")
+    members = members.join(of_root, "fp", "left").select("lead", "fp", "n", F.coalesce("root", "fp").alias("root"))
     main = F.when(F.col("lead") == F.col("fp"), F.col("root"))
-    members = with_group(members, "lead", {"size": ("sum", F.lit(1)), "main": ("max", main),
+    members = with_group(members, "lead", {"size": ("sum", F.lit(1)), "main": ("max", main), "largest": ("max", F.col("n")),
                                            "r0": ("min", F.col("root")), "r1": ("max", F.col("root"))}).filter("r0 <> r1")
-    members = with_group(members.select("lead", "fp", "root", "size", "main"), "lead",
-                         {"out": ("sum", (F.col("root") != F.col("main")).cast("int"))})
-    members = durable(members)
+    most = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SHINGLES) / F.col("largest")))
+    members = stored(members.select(
+        "lead", "fp", "root", "main", F.ceil(F.col("size") / F.least(most, F.lit(LEAF_ROWS))).cast("int").alias("held_blocks"),
+        F.ceil(F.col("size") / F.least(most, F.lit(QUERY_ROWS))).cast("int").alias("asked_blocks")))
     rows = members.join(sets, "fp")
-    # A leader's sets are alike in size, so its rows to a block follow from one of them.
-    most = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SHINGLES) / F.col("n") / 4))
-    held_blocks = F.ceil(F.col("size") / F.least(most, F.lit(LEAF_ROWS))).cast("int")
-    asked_blocks = F.ceil(F.col("out") / F.least(most, F.lit(QUERY_ROWS))).cast("int")
-    whole = with_group(rows.select("lead", "fp", held_blocks.alias("h"), asked_blocks.alias("q")), "lead",
-                       {"held_blocks": ("max", F.col("h")), "asked_blocks": ("max", F.col("q"))})
-    rows = rows.join(durable(whole.select("lead", "fp", "held_blocks", "asked_blocks")), ["lead", "fp"])
     kept = ["lead", "fp", "root", "n", "point", "shingles"]
 
     def every(count: str):
@@ -389,7 +382,7 @@ def grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     several rows."""
     base = durable(described(docs, words))
     per_set = base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
-    met = durable(viable(docs, words, percent))
+    met = stored(viable(docs, words, percent))
     leads = met.groupBy("key").agg(F.min("fp").alias("lead"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
     led = durable(met.join(leads, "key").filter("fp <> lead").select("lead", "fp").distinct())
     ends = durable(led.select("fp").unionByName(led.select(F.col("lead").alias("fp"))).distinct())
@@ -400,7 +393,10 @@ def grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     roots = components(edges)
     more = durable(_left_over(led, sets, roots, percent))
     if not more.isEmpty():
-        roots = components(edges.unionByName(more))
+        step = components(more).select(F.col("id").alias("root"), F.col("root").alias("then"))
+        alone = step.join(roots.select(F.col("id").alias("root")), "root", "left_anti")
+        roots = roots.join(step, "root", "left").select("id", F.coalesce("then", "root").alias("root")).unionByName(
+            alone.select(F.col("root").alias("id"), F.col("then").alias("root")))
     # Back to the rows: sets that are linked or have several rows have a component, all others are on their own.
     found = per_set.join(roots.select(F.col("id").alias("fp"), "root"), "fp", "left")
     return base, found.filter("root is not null or rows > 1").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
