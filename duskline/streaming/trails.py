@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.trails import TrailConfig
-from .hosting import keyed, with_event_time
+from .hosting import AHEAD_MS, keyed, with_event_time
 
 
 def trail_stream(records: DataFrame, key: str, cfg: TrailConfig = TrailConfig(), delay: str = "10 seconds") -> DataFrame:
@@ -76,4 +76,4 @@ def segment_counts(frames: DataFrame, segment: Sequence[str] = ("source_id", "se
     timed = with_event_time(frames, delay)
     return timed.groupBy(F.window("event_time", f"{minutes} minutes"), *segment).agg(
         F.count(F.lit(1)).alias("frames"), F.sum("detections").alias("detections")).select(
-        *segment, F.unix_millis("window.start").alias("start_ms"), "frames", "detections")
+        *segment, (F.unix_millis("window.start") - AHEAD_MS).alias("start_ms"), "frames", "detections")
