@@ -28,6 +28,8 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 #: Code points before and after a span in which context words count, what each such span gains, and the least score of
 #: a span of the further kinds.
 BEFORE, AFTER, GAIN, LEAST = 48, 24, 0.3, 0.5
+#: Matches placed and judged together.
+CHUNK = 128
 
 
 @dataclass(frozen=True)
@@ -85,40 +87,62 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _places(text: Column, pattern: str, found: Column) -> Column:
-    """array<struct<start, end, match>> of the matches, in code points."""
-    def walk(parts: Column) -> Column:
-        first = F.struct(F.lit(0).alias("at"), F.expr(
-            "cast(array() as array<struct<start:int,end:int,match:string>>)").alias("out"))
+def _places(parts: Column, found: Column, low: Column, high: Column, at: Column) -> Column:
+    """array<struct<start, end, match>> in code points of the matches ``low`` to ``high``; the part before the first of them
+    begins at ``at``."""
+    first = F.struct(at.alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("out"))
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(parts, i))
-            end = start + F.length(F.get(found, i))
-            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(
-                start.alias("start"), end.alias("end"), F.get(found, i).alias("match"))).alias("out"))
+    def step(acc: Column, i: Column) -> Column:
+        start = acc["at"] + F.length(F.get(parts, i))
+        end = start + F.length(F.get(found, i))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(
+            start.alias("start"), end.alias("end"), F.get(found, i).alias("match"))).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda acc: acc["out"])
-
-    return let(F.split(text, pattern, -1), walk)
+    return F.aggregate(F.sequence(low, high), first, step, lambda acc: acc["out"])
 
 
 def _spans(text: Column, kind: Kind) -> Column:
-    """array<struct<kind, start, end, score>> of the confirmed spans of one kind, in order."""
+    """array<struct<kind, start, end, score>> of the confirmed spans of one kind, in order.
+
+    Matches are taken CHUNK at a time, each chunk with its own cut of the text, so the work grows with the text and its
+    matches and not with their product.
+    """
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
 
-    def scored(s: Column) -> Column:
-        near = F.substring(text, F.greatest(s["start"] - BEFORE, F.lit(0)) + 1,
+    def scored(s: Column, piece: Column, low: Column) -> Column:
+        near = F.substring(piece, F.greatest(s["start"] - BEFORE, F.lit(0)) - low + 1,
                            F.least(s["start"], F.lit(BEFORE)) + s["end"] - s["start"] + AFTER)
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                         F.when(near.rlike(rf"(?i)(?<![A-Za-z])(?:{kind.context})(?![A-Za-z])"),
                                F.lit(min(1.0, kind.prior + GAIN))).otherwise(F.lit(kind.prior)).alias("score"))
 
+    def of_chunk(parts: Column, found: Column, at: Column, c: Column) -> Column:
+        places = _places(parts, found, c * CHUNK, F.least((c + 1) * CHUNK, F.size(found)) - 1, at)
+
+        def judged(all_of: Column) -> Column:
+            low = F.greatest(at - BEFORE, F.lit(0))
+            piece = F.substring(text, low + 1, F.element_at(all_of, -1)["end"] - low + AFTER)
+            sure = F.filter(all_of, lambda s: _valid(kind.name, s["match"]))
+            spans = let(piece, lambda p: F.transform(sure, lambda s: scored(s, p, low)))
+            return spans if kind.base else F.filter(spans, lambda s: s["score"] >= LEAST)
+
+        return let(places, judged)
+
     def of(found: Column) -> Column:
-        sure = F.filter(_places(text, kind.pattern, found), lambda s: _valid(kind.name, s["match"]))
-        spans = F.transform(sure, scored)
-        if not kind.base:
-            spans = F.filter(spans, lambda s: s["score"] >= LEAST)
-        return F.when(F.size(found) == 0, none).otherwise(spans)
+        chunks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int"))
+
+        def length(parts: Column, c: Column) -> Column:
+            def total(of: Column) -> Column:
+                return F.aggregate(F.slice(of, c * CHUNK + 1, F.lit(CHUNK)), F.lit(0), lambda n, x: n + F.length(x))
+
+            return total(parts) + total(found)
+
+        def whole(parts: Column) -> Column:
+            begins = F.aggregate(chunks, F.array(F.lit(0)), lambda acc, c: F.array_append(
+                acc, F.element_at(acc, -1) + length(parts, c)))
+            return let(begins, lambda at: F.flatten(F.transform(chunks, lambda c: of_chunk(parts, found, F.get(at, c), c))))
+
+        return F.when(F.size(found) == 0, none).otherwise(let(F.split(text, kind.pattern, -1), whole))
 
     spans = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), of)
     return F.when(F.contains(text, F.lit(kind.must_contain)), spans).otherwise(none) if kind.must_contain else spans
@@ -147,7 +171,9 @@ def listed(*names: str) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, top_score for every row.
 
-    A document without spans has counts 0, the digest of the empty text, empty ``spans`` and null ``top_score``.
+    A document without spans, an empty or a null text has counts 0, the digest of the empty text, empty ``spans`` and null
+    ``top_score``. Repeated rows come out as often as they went in; an empty table gives an empty result; other columns are
+    not read.
     """
     found = find(docs.select("doc_id", "text")).drop("text")
     base = [k.name for k in KINDS if k.base]

@@ -114,6 +114,22 @@ def test_further_kinds_and_context(spark):
     assert got[5].top_score > got[6].top_score
 
 
+def test_pii_of_many_matches(spark):
+    """Places and context in a text of very many matches, over the borders of chunks; the work grows with the text."""
+    import time
+
+    line = "ü mail a{0}@b{0}.org, call +49 30 1234567{0} or 10.0.0.{1} "
+    text = "".join(line.format(i, i % 300) for i in range(700))
+    got = pii.find(spark.createDataFrame([(text,)], "text string")).first()
+    for kind, pattern in (("email", r"a[0-9]+@b[0-9]+[.]org"), ("ip", r"10[.]0[.]0[.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9])")):
+        assert [(s.start, s.end) for s in got[f"pii_{kind}"]] == [m.span() for m in re.finditer(pattern, text)]
+    assert {round(s.score, 3) for s in got["pii_email"]} == {1.0}
+    long = spark.createDataFrame([("x@y.zz " * 40_000,)], "text string")
+    began = time.monotonic()
+    assert pii.find(long).selectExpr("size(pii_email)").first()[0] == 40_000
+    assert time.monotonic() - began < 60
+
+
 def test_pii_odd_rows(odd_rows):
     assert pii.report(odd_rows).count() == odd_rows.count() and pii.report(odd_rows.limit(0)).count() == 0
 
