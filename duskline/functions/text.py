@@ -11,6 +11,12 @@ SLOTS = 10
 MAX_PLATE = 16
 
 
+# What records may hold.
+ATTRIBUTE = "^[A-Za-z0-9_.:/ -]{1,128}\\z"
+TOKEN = "^[A-Za-z0-9_.:/-]{1,128}\\z"
+IDENTIFIER = "^[A-Za-z0-9_.-]{1,128}\\z"
+
+
 def plate_text(raw: Column) -> Column:
     """Normalised plate text, NULL where a character or the length is not allowed.
 
@@ -24,15 +30,15 @@ def plate_text(raw: Column) -> Column:
 def attribute_text(raw: Column) -> Column:
     """Trimmed, whitespace-collapsed attribute text; NULL when outside the allowed characters."""
     flat = F.trim(F.regexp_replace(raw, "\\s+", " "))
-    return F.when(flat.rlike("^[A-Za-z0-9_.:/ -]{1,128}\\z"), flat)
+    return F.when(flat.rlike(ATTRIBUTE), flat)
 
 
 def token(raw: Column) -> Column:
-    return F.when(raw.rlike("^[A-Za-z0-9_.:/-]{1,128}\\z"), raw)
+    return F.when(raw.rlike(TOKEN), raw)
 
 
 def identifier(raw: Column) -> Column:
-    return F.when(raw.rlike("^[A-Za-z0-9_.-]{1,128}\\z"), raw)
+    return F.when(raw.rlike(IDENTIFIER), raw)
 
 
 def edit_distance(expected: Column, observed: Column) -> Column:

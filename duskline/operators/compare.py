@@ -84,6 +84,7 @@ def overlap(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 def training_blockers(plans: DataFrame) -> DataFrame:
     """Plans with the ordered list of unmet prerequisites and whether training may start."""
     c = F.col
+    # The names of the prerequisites, in the order in which they are reported.
     tests = [
         (~c("trainer_license").isin(*APPROVED_TRAINER_LICENSES), "trainer_license_not_approved"),
         (c("dependency_rights_status") != CLEARED, "transitive_dependency_rights_unverified"),

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ATTRIBUTE, IDENTIFIER, TOKEN
+
 MAX_TIMESTAMP_MS = 253_402_300_799_999
 
 
@@ -55,10 +57,9 @@ def _between(c: str, lo, hi) -> Column:
 
 
 def observation_rules() -> dict[str, Column]:
-    ident = "^[A-Za-z0-9_.-]{1,128}\\z"
     return {
         "timestamp": _between("timestamp_ms", 0, MAX_TIMESTAMP_MS),
-        "track_id": F.col("track_id").rlike(ident),
+        "track_id": F.col("track_id").rlike(IDENTIFIER),
         "posture": F.col("posture").isin("upright", "down", "other", "unknown"),
         "confidence": _between("confidence", 0.0, 1.0),
     }
@@ -76,14 +77,13 @@ def detection_rules() -> dict[str, Column]:
 
 
 def record_rules() -> dict[str, Column]:
-    token, attr = "^[A-Za-z0-9_.:/-]{1,128}\\z", "^[A-Za-z0-9_.:/ -]{1,128}\\z"
     plate = F.col("plate_text")
     keys = F.transform("attributes", lambda a: F.struct(a["name"], a["value"], a["provenance"]))
     return {
-        "observation_id": F.col("observation_id").rlike(token), "source_id": F.col("source_id").rlike(token),
+        "observation_id": F.col("observation_id").rlike(TOKEN), "source_id": F.col("source_id").rlike(TOKEN),
         "timestamp": _between("timestamp_ms", 0, MAX_TIMESTAMP_MS),
-        "category": F.col("category").rlike(attr), "confidence": _between("confidence", 0.0, 1.0),
-        "track_id": F.col("track_id").isNull() | F.col("track_id").rlike(token),
+        "category": F.col("category").rlike(ATTRIBUTE), "confidence": _between("confidence", 0.0, 1.0),
+        "track_id": F.col("track_id").isNull() | F.col("track_id").rlike(TOKEN),
         "plate_text": plate.isNull() | plate.rlike("^[A-Z0-9]{1,16}\\z"),
         "plate_category": plate.isNull() | (F.col("category") == "license_plate"),
         "attribute_count": F.size("attributes") <= 64,
