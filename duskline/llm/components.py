@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,14 +28,19 @@ def components(edges: DataFrame) -> DataFrame:
         step = stored(least.select(F.col("a").alias("id"), F.least("near", rank("a"))["id"].alias("to")))
         left, right = step.select(F.col("id").alias("a"), F.col("to").alias("ta")), step.select(
             F.col("id").alias("b"), F.col("to").alias("tb"))
-        live = stored(live.join(left, "a").join(right, "b").filter("ta <> tb").select(
+        joined = stored(live.join(left, "a").join(right, "b").filter("ta <> tb").select(
             F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
         if moved is None:
             moved = step
         else:
             then = step.select(F.col("id").alias("to"), F.col("to").alias("then"))
-            moved = stored(moved.join(then, "to", "left").select("id", F.coalesce("then", "to").alias("to")))
+            longer = stored(moved.join(then, "to", "left").select("id", F.coalesce("then", "to").alias("to")))
+            released(moved, step)
+            moved = longer
+        released(live)
+        live = joined
         turn += 1
+    released(live)
     if moved is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)
     return moved.withColumnRenamed("to", "root")

@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
-from .common import BROADCAST_IDS, bit_table, filled, packed, possibly_in, resolved, stored, with_group
+from .common import BROADCAST_IDS, bit_table, filled, packed, possibly_in, released, resolved, stored, with_group
 from .components import components
 
 #: Coordinates of a point; growth of a size class; most targets and queries of one block of a tree search; rows to a batch.
@@ -269,9 +268,10 @@ def viable(docs: DataFrame, words: int, percent: int) -> DataFrame:
     shared = stored(routed.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last"))
                     .filter("first < last").select("key"))
     met = possibly_in(routed, F.col("key"), bit_table(shared, F.col("key"))).filter("maybe").drop("maybe")
-    met = stored(met.join(shared, "key").dropDuplicates(["key", "fp"]).select("fp", "class", "need", "key"))
-    able = met.groupBy("fp", "class", "need").agg(F.count(F.lit(1)).alias("found")).filter("found >= need")
-    met = stored(met.join(able.select("fp", "class"), ["fp", "class"], "left_semi"))
+    every = stored(met.join(shared, "key").dropDuplicates(["key", "fp"]).select("fp", "class", "need", "key"))
+    able = every.groupBy("fp", "class", "need").agg(F.count(F.lit(1)).alias("found")).filter("found >= need")
+    met = stored(every.join(able.select("fp", "class"), ["fp", "class"], "left_semi"))
+    released(shared, every)
     # Sets that went leave keys behind that only one set still has.
     met = with_group(met, "key", {"sets": ("sum", F.lit(1))}).filter("sets > 1")
     of_set = Window.partitionBy("fp", "class")  # at most the keys of one set
@@ -288,7 +288,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     lead_point = point.select(F.col("fp").alias("lead"), F.col("n").alias("ln"), F.col("point").alias("lp"))
     close = pairs.join(point, "fp").join(lead_point, "lead").filter(may_link(least, F.col("n"), F.col("ln"), percent))
     sized = with_group(close.select("lead", "fp"), "lead", {"size": ("sum", F.lit(1))})
-    salted = durable(sized.select("lead", "fp", F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / LED_ROWS)).alias("salt")))
+    salted = stored(sized.select("lead", "fp", F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / LED_ROWS)).alias("salt")))
     heads = salted.select("lead", "salt").distinct().join(
         sets.select(F.col("fp").alias("lead"), F.col("shingles").alias("led_by")), "lead")
     met = salted.join(sets.select("fp", "shingles"), "fp").join(heads, ["lead", "salt"])
@@ -371,7 +371,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     to any number, and a component of null ids only has null. An empty table gives an empty result.
     """
     base, met = grouped(docs.select("doc_id", "text"), words, percent)
-    whole = durable(with_group(met, "root", {"component": ("min", F.col("doc_id"))}).select("fp", "component"))
+    whole = stored(with_group(met, "root", {"component": ("min", F.col("doc_id"))}).select("fp", "component"))
     alone = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return base.select("doc_id", "n", "fp").join(whole, "fp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), alone.cast("long").alias("component_id"))
@@ -380,18 +380,19 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 def grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """What ``described`` tells of the rows, and fp, doc_id (the smallest), root of the sets that are linked or have
     several rows."""
-    base = durable(described(docs, words))
+    base = stored(described(docs, words))
     per_set = base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
     met = stored(viable(docs, words, percent))
     leads = met.groupBy("key").agg(F.min("fp").alias("lead"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    led = durable(met.join(leads, "key").filter("fp <> lead").select("lead", "fp").distinct())
-    ends = durable(led.select("fp").unionByName(led.select(F.col("lead").alias("fp"))).distinct())
+    led = stored(met.join(leads, "key").filter("fp <> lead").select("lead", "fp").distinct())
+    ends = stored(led.select("fp").unionByName(led.select(F.col("lead").alias("fp"))).distinct())
     ids = per_set.join(ends, "fp", "left_semi").select("doc_id")
     texts = possibly_in(docs.select("doc_id", "text"), F.xxhash64("doc_id"), bit_table(ids, F.xxhash64("doc_id")))
-    sets = durable(shingles_of(texts.filter("maybe"), words).dropDuplicates(["fp"]).join(ends, "fp", "left_semi"))
-    edges = durable(_links(led, sets, percent))
+    sets = stored(shingles_of(texts.filter("maybe"), words).dropDuplicates(["fp"]).join(ends, "fp", "left_semi"))
+    edges = stored(_links(led, sets, percent))
     roots = components(edges)
-    more = durable(_left_over(led, sets, roots, percent))
+    released(met, edges)
+    more = stored(_left_over(led, sets, roots, percent))
     if not more.isEmpty():
         step = components(more).select(F.col("id").alias("root"), F.col("root").alias("then"))
         alone = step.join(roots.select(F.col("id").alias("root")), "root", "left_anti")
@@ -417,5 +418,5 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, bound: int = BR
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("of").alias("of"))
     judged = with_group(sets, "root", {"first": ("min", first)})
     stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of"))
-    judged = durable(judged.select("doc_id", "of", "rows", stays.alias("stays")))
+    judged = stored(judged.select("doc_id", "of", "rows", stays.alias("stays")))
     return resolved(rows, judged.filter("not stays or rows > 1"), "of", bound)
