@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import with_order_statistics
+
 APPROVED_TRAINER_LICENSES = ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause")
 CLEARED = "cleared-commercial-and-redistribution"
 
@@ -103,15 +105,20 @@ def training_blockers(plans: DataFrame) -> DataFrame:
                             ).withColumn("ready", F.size("blockers") == 0)
 
 
+LATENCY = {"median_latency_ms": ("between", 0.5), "p95_latency_ms": ("nearest", 0.95)}
+
+
 def runtime_metrics(latency: DataFrame, group: Sequence[str], approximate: bool = False) -> DataFrame:
     """fps, mean, nearest-rank p95 and max latency from rows (group, latency_ms, retained_tracks)."""
-    p95 = "percentile_approx(latency_ms, 0.95, 10000)" if approximate else (
-        "percentile_disc(0.95) within group (order by latency_ms)")
-    return latency.groupBy(*group).agg(
+    group = list(group)
+    done = latency.groupBy(*group).agg(
         F.count(F.lit(1)).alias("frames"), (F.sum("latency_ms") / 1000.0).alias("elapsed_seconds"),
-        F.avg("latency_ms").alias("mean_latency_ms"), F.median("latency_ms").alias("median_latency_ms"),
-        F.expr(p95).alias("p95_latency_ms"), F.max("latency_ms").alias("max_latency_ms"),
-        F.max("retained_tracks").alias("max_retained_tracks")).withColumn(
+        F.avg("latency_ms").alias("mean_latency_ms"), F.max("latency_ms").alias("max_latency_ms"),
+        F.max("retained_tracks").alias("max_retained_tracks"),
+        *([F.percentile_approx("latency_ms", p, 10_000).alias(n) for n, (_, p) in LATENCY.items()] if approximate else []))
+    if not approximate:
+        done = with_order_statistics(done, latency, group, "latency_ms", LATENCY)
+    return done.withColumn(
         "throughput_fps", F.when(F.col("elapsed_seconds") > 0, F.col("frames") / F.col("elapsed_seconds")))
 
 

@@ -11,6 +11,7 @@ from ..functions import posture as ps
 from ..functions.geometry import Box
 from .poses import joints
 from .persistence import PersistenceConfig
+from .quantiles import order_statistics
 from .scale import BUCKET, once
 
 # Threshold grids and the pass marks of the detector choice.
@@ -138,15 +139,11 @@ def long_stats(rows: DataFrame, group: Sequence[str], columns: Sequence[str], qu
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v"))
                                 for c in columns]))
     long = rows.select(*group, pairs.alias("p")).select(*group, "p.*").filter("v is not null")
-    aggs = [F.count("v").alias("n"), F.min("v").alias("min")]
-    if quantiles:
-        for name, q in (("p50", 0.5), ("p90", 0.9)):
-            how = f"percentile_approx(v, {q}, 10000)" if approximate else (
-                f"percentile_disc({q}) within group (order by v)")
-            aggs.append(F.expr(how).alias(name))
-    else:
-        aggs.append(F.avg("v").alias("mean"))
-    return long.groupBy(*group, "metric").agg(*aggs, F.max("v").alias("max"))
+    group, inner = [*group, "metric"], {"p50": ("nearest", 0.5), "p90": ("nearest", 0.9)}
+    if quantiles and not approximate:
+        return order_statistics(long, group, "v", {"min": ("nearest", 0.0), **inner, "max": ("nearest", 1.0)})
+    middle = [F.percentile_approx("v", p, 10_000).alias(n) for n, (_, p) in inner.items()] if quantiles else [F.avg("v").alias("mean")]
+    return long.groupBy(*group).agg(F.count("v").alias("n"), F.min("v").alias("min"), *middle, F.max("v").alias("max"))
 
 
 def posture_sensitivity(poses: DataFrame, group: Sequence[str], box: Box) -> DataFrame:
