@@ -7,9 +7,10 @@ finds the first owner of each exactly.
 * A window that two documents have has one minimiser in both. A first pass sends minimisers only (one number for about
   five windows); strings are made only where the bounded bit table of the minimisers of several documents allows it. A
   full table lets more strings travel and loses none.
-* Equal strings meet before the buckets do, map side first, so copies and passages that very many documents share are a
-  few strings. A minimiser with more than HOT strings (the edges of a common passage) is not given to one bucket: its
-  windows are grouped by their words instead.
+* A string travels once: those of a minimiser with up to HOT of them, copies counted, go straight to its bucket. Of other
+  minimisers equal strings meet first, map side combined, so copies and passages that very many documents share are a few
+  strings. A minimiser with more than HOT different strings (the edges of a common passage) is not given to one bucket:
+  its windows are grouped by their words instead.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .near_join import mixed
 
 #: Words of a window and of the runs that are its minimisers; most windows of one super-k-mer.
 WINDOW, RUN, LONGEST = 13, 5, 64
-#: Strings of one minimiser that go to one bucket, and strings to a bucket on average; texts handled at once.
+#: Strings of one minimiser that go to one bucket as they are, or once equal ones have met; strings to a bucket on average; texts handled at once.
 HOT, BUCKET_STRINGS, ROWS = 1000, 20_000, 64
 
 U = np.uint64
@@ -127,6 +128,7 @@ def _windows(packed: bytes) -> list[bytes]:
 
 def sorted_owners(bucket: pd.DataFrame) -> pd.DataFrame:
     """minimiser, code, low, high, owner: the least rank that has each window, as stretches of the strings of a bucket."""
+    bucket = bucket.groupby(["minimiser", "code", "words"], sort=False).agg({"first": "min", "last": "max"}).reset_index()
     ranks, packed = bucket["first"].tolist(), bucket["words"].tolist()
     windows = [(w, s, i) for s, p in enumerate(packed) for i, w in enumerate(_windows(p))]
     windows.sort()
@@ -185,20 +187,24 @@ def removals(rows: DataFrame, filter_bits: int = FILTER_BITS, hot: int = HOT) ->
     bits = np.zeros(filter_bits // 64, np.int64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     found = stored(strings(rows, bits).withColumn("code", F.xxhash64("words")))
-    # What tells hot minimisers from others needs no words; the words travel once to meet their equals, once to a bucket.
-    many = found.groupBy("minimiser", "code").agg(F.lit(1).alias("one")).groupBy("minimiser").agg(F.count("one").alias("strings"))
-    many = durable(many.filter(F.col("strings") > hot).select("minimiser"))
-    few = many.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    many = F.broadcast(many) if few else many
-    each = found.groupBy("minimiser", "code", "words").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-    total = found.select(F.approx_count_distinct("code").alias("n")).first()["n"]  # sizes the buckets only
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_STRINGS))
+    # What tells frequent and hot minimisers from others needs no words.
+    many = found.groupBy("minimiser", "code").agg(F.count(F.lit(1)).alias("n")).groupBy("minimiser").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("strings"))
+    many = durable(many.filter(F.col("n") > hot).select("minimiser", "strings"))
+    flagged = possibly_in(found, F.col("minimiser"), bit_table(many, F.col("minimiser"), filter_bits), filter_bits)
+    rare = flagged.filter("not maybe").select("minimiser", "code", "words", F.col("rank").alias("first"), F.col("rank").alias("last"))
+    each = flagged.filter("maybe").groupBy("minimiser", "code", "words").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    hottest = many.filter(F.col("strings") > hot).select("minimiser")
+    few = hottest.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    hottest = F.broadcast(hottest) if few else hottest
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // BUCKET_STRINGS))
     bucket = F.pmod(F.xxhash64("minimiser"), F.lit(buckets)).alias("bucket")
-    owners = each.join(many, "minimiser", "left_anti").groupBy(bucket).applyInPandas(sorted_owners, OWNERS)
-    owners = durable(owners.unionByName(_hot_owners(each.join(many, "minimiser", "left_semi"))))
+    owners = rare.unionByName(each.join(hottest, "minimiser", "left_anti")).groupBy(bucket).applyInPandas(sorted_owners, OWNERS)
+    owners = durable(owners.unionByName(_hot_owners(each.join(hottest, "minimiser", "left_semi"))))
     # Back to the places of each string; a string that very many documents have is met once per salt.
     key = ["minimiser", "code", "salt"]
-    placed = found.select("rank", "of", "start", "minimiser", "code", F.pmod(F.xxhash64("rank", "of"), F.lit(64)).alias("salt"))
+    placed = possibly_in(found, F.col("code"), bit_table(owners, F.col("code"), filter_bits), filter_bits).filter("maybe").select(
+        "rank", "of", "start", "minimiser", "code", F.pmod(F.xxhash64("rank", "of"), F.lit(64)).alias("salt"))
     salts = placed.select(*key).distinct().join(owners, ["minimiser", "code"])
     return placed.join(salts, key).filter("owner < rank").select(
         "rank", "of", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") + WINDOW - 1).alias("high"))
