@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import appearance, search, trails
+from ..operators import appearance, query_table, search, trails
 from ..operators.search import SearchQuery
 from .catalog import query
-from .views import cte, view
+from .views import _spark, cte, table, view
 
 
 def records(spark, sf):
@@ -67,6 +67,55 @@ def search_batch(spark, sf):
     out = search.batch_search(records(spark, sf), _BATCH)
     return out.selectExpr("query_id", "cast(rank as bigint) rank", *_PICK.split(", "))
 
+# One query per customer; every member is a scalar expression valid in both dialects.
+_ASKED = {
+    "query_id": "concat('q', cast(c_custkey as varchar(20)))",
+    "start_ms": "case when c_custkey % 4 in (1, 2) then 1704067200000 + (c_custkey * 7919 % 700) * 3600000 end",
+    "end_ms": "case when c_custkey % 4 = 1 then 1704067200000 + (c_custkey * 7919 % 700 + 1 + c_custkey % 48) * 3600000 end",
+    "source_a": "case when c_custkey % 3 = 0 then concat('cam-', cast(c_custkey % 6 as varchar(8))) end",
+    "source_b": "case when c_custkey % 6 = 0 then concat('cam-', cast((c_custkey + 1) % 7 as varchar(8))) end",
+    "category": "case when c_custkey % 5 = 1 then 'person' when c_custkey % 5 = 2 then 'vehicle' end",
+    "track_a": "case when c_custkey % 5 = 3 then concat('t', cast(c_custkey % 90 as varchar(8))) end",
+    "track_b": "case when c_custkey % 10 = 3 then concat('t', cast(c_custkey % 70 + 7 as varchar(8))) end",
+    "plate_text": "case when c_custkey % 8 = 4 then concat('P', cast(c_nationkey * 2 as varchar(8))) end",
+    "plate_prefix": "case when c_custkey % 8 = 0 then concat('P', cast(c_nationkey % 10 as varchar(8))) end",
+    "want_type": "case when c_custkey % 7 = 1 then 'error' when c_custkey % 7 = 2 then 'click' end",
+    "want_tier": "case when c_custkey % 7 in (2, 3) then concat('tier-', cast(c_nationkey % 3 as varchar(8))) end",
+    "min_confidence": "cast(c_custkey % 11 as double) / 20",
+    "max_rows": "cast(1 + c_custkey % 40 as bigint)",
+}
+
+
+def asked(spark, sf):
+    flat = table(spark, sf, "customer").selectExpr(*[f"{_spark(e)} as {n}" for n, e in _ASKED.items()])
+    pair = "struct<name:string,value:string>"
+    attributes = F.array_compact(F.array(*[
+        F.when(F.col(f"want_{n}").isNotNull(), F.struct(F.lit(n).alias("name"), F.col(f"want_{n}").alias("value")).cast(pair))
+        for n in ("type", "tier")]))
+    return flat.select(
+        "query_id", "start_ms", "end_ms", F.array_compact(F.array("source_a", "source_b")).alias("source_ids"),
+        F.array_compact(F.array("category")).alias("categories"), F.array_compact(F.array("track_a", "track_b")).alias("track_ids"),
+        "plate_text", "plate_prefix", attributes.alias("attributes"), "min_confidence", "max_rows")
+
+
+@query("search_query_table", cte("v_records", f"""
+with asked as (select {', '.join(f'{e} as {n}' for n, e in _ASKED.items())} from customer),
+hits as (select q.query_id, q.max_rows, r.*, row_number() over (partition by q.query_id
+    order by r.timestamp_ms, r.source_id, r.observation_id) as rank
+  from v_records r join asked q on r.confidence >= q.min_confidence
+   and (q.start_ms is null or r.timestamp_ms >= q.start_ms) and (q.end_ms is null or r.timestamp_ms <= q.end_ms)
+   and ((q.source_a is null and q.source_b is null) or r.source_id = q.source_a or r.source_id = q.source_b)
+   and (q.category is null or r.category = q.category)
+   and ((q.track_a is null and q.track_b is null) or r.track_id = q.track_a or r.track_id = q.track_b)
+   and (q.plate_text is null or r.plate_text = q.plate_text)
+   and (q.plate_prefix is null or starts_with(r.plate_text, q.plate_prefix))
+   and (q.want_type is null or r.attr_type = q.want_type) and (q.want_tier is null or r.attr_tier = q.want_tier))
+select query_id, rank, {_PICK} from hits where rank <= max_rows"""))
+def search_query_table(spark, sf):
+    """A query per customer, answered in one run."""
+    out = query_table.search_table(records(spark, sf), query_table.checked_queries(asked(spark, sf)).clean)
+    return out.selectExpr("query_id", "cast(rank as bigint) rank", *_PICK.split(", "))
+
 
 @query("attribute_division", cte("v_records", """
 with need as (select distinct concat('req-', attr_type) as query_id, attr_type, 'tier-2' as attr_tier from v_event_records)
