@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -13,6 +15,7 @@ from ..operators import results as rs
 from ..operators import rules
 from ..operators import search as srch
 from ..operators import tracking as tr
+from ..session import ensure_checkpoint_dir
 from ..sources import artifacts as art
 from ..sources import live
 from ..sources import manifests as man
@@ -125,6 +128,25 @@ def store_conflicts(spark, sf):
     return store.conflicts(incoming, existing)
 
 
+@query("store_append", cte("v_event_records", _ST + """,
+e as (select *, case when timestamp_ms % 11 = 4 then null else source_id end as evidence from ex),
+i as (select *, case when timestamp_ms % 11 = 4 then null else source_id end as evidence from inc)
+select observation_id, confidence, 'stored' as state from e where evidence is not null union all
+select i.observation_id, i.confidence, 'stored' from i anti join e using (observation_id) where evidence is not null union all
+select observation_id, null, 'no_evidence' from e where evidence is null union all
+select observation_id, null, 'no_evidence' from i where evidence is null union all
+select i.observation_id, null, 'conflict' from i join e using (observation_id) where i.confidence <> e.confidence and i.evidence is not null"""))
+def store_append(spark, sf):
+    """Two batches go into a new store, the second one twice; what is stored then, and what either batch was refused."""
+    path = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    first, second = (r.withColumn("evidence", F.when(F.col("timestamp_ms") % 11 != 4, F.col("source_id"))) for r in _store(spark, sf))
+    refused = store.append(spark, first, path)
+    store.append(spark, second, path)
+    refused = refused.unionByName(store.append(spark, second, path))
+    return spark.read.parquet(path).select("observation_id", "confidence", F.lit("stored").alias("state")).unionByName(
+        refused.select("observation_id", F.lit(None).cast("double").alias("confidence"), F.col("reason").alias("state")))
+
+
 @query("store_audit", cte("v_records", """
 with a as (select observation_id, 0 as o, attr_type as v, timestamp_ms from v_records union all select observation_id, 1, attr_tier, timestamp_ms from v_records),
 a2 as (select observation_id, case when timestamp_ms % 50 = 1 and o = 1 then 2 else o end as o, case when timestamp_ms % 40 = 3 then concat(v, '  x') else v end as v from a),

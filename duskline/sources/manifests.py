@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rules import Checked, check, duplicates
+from ..operators.scale import bucketed_lead
+
+#: Missing frames unfolded at once.
+STRETCH = 4096
 
 _SAMPLE = ("sample_id string, site_id string, camera_id string, video_path string, start_timestamp_ms long, "
            "end_timestamp_ms long, authorization_ref string, media_sha256 string, "
@@ -51,14 +55,28 @@ def parse_truth_packages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def frame_gaps(frames: DataFrame, plans: DataFrame, key: Sequence[str] = ("sequence_id",)) -> DataFrame:
-    """Frames a plan (key, first_frame, frame_count) expects but lacks (``missing``) or has but does not expect."""
+    """Frames a plan (key, first_frame, frame_count) expects but lacks (``missing``) or has but does not expect.
+
+    Gaps are the intervals between neighbouring frames; only they are unfolded, a stretch of ``STRETCH`` at a time. A plan
+    without frames (frame_count below 1) expects none.
+    """
     key = list(key)
-    want = plans.select(*key, F.explode(F.sequence(
-        F.col("first_frame"), F.col("first_frame") + F.col("frame_count") - 1)).alias("frame_index"))
     have = frames.select(*key, "frame_index").distinct()
-    on = [*key, "frame_index"]
-    return want.join(have, on, "left_anti").withColumn("problem", F.lit("missing")).unionByName(
-        have.join(want, on, "left_anti").withColumn("problem", F.lit("unexpected")))
+    plan = plans.select(*key, F.col("first_frame").cast("long").alias("_first"),
+                        (F.col("first_frame") + F.col("frame_count")).cast("long").alias("_end")).distinct()
+    inside = (F.col("frame_index") >= F.col("_first")) & (F.col("frame_index") < F.col("_end"))
+    held = have.join(plan, key).filter(inside).select(*key, "_first", "_end", "frame_index")
+    # Every plan starts from the frame before its first one.
+    held = held.unionByName(plan.select(*key, "_first", "_end", (F.col("_first") - 1).alias("frame_index")))
+    after = bucketed_lead(held, [*key, "_first", "_end"], "frame_index", "_after", 8 * STRETCH)
+    low, high = F.col("frame_index") + 1, F.coalesce("_after", "_end") - 1
+    stretches = after.select(*key, low.alias("_low"), high.alias("_high")).filter("_low <= _high").select(
+        *key, "_high", F.explode(F.sequence("_low", "_high", F.lit(STRETCH).cast("long"))).alias("_low"))
+    missing = stretches.select(*key, F.explode(F.sequence(
+        "_low", F.least(F.col("_high"), F.col("_low") + (STRETCH - 1)))).alias("frame_index"))
+    same = [have[k] == plan[k] for k in key]
+    unexpected = have.join(plan, [*same, inside], "left_anti")
+    return missing.withColumn("problem", F.lit("missing")).unionByName(unexpected.withColumn("problem", F.lit("unexpected")))
 
 
 _LABEL_COLUMNS = ("frame_number", "person_id", "tracking_id", "x", "y", "width", "height", "is_valid", "pose_class",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rules import digest
+from ..session import durable
 
 ID = "observation_id"
 
@@ -29,19 +31,30 @@ def conflicts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def append(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
-    """Add records once. Conflicting ids are kept out and returned; rows without evidence are refused."""
-    ready = incoming.filter(F.col("evidence").isNotNull()) if "evidence" in incoming.columns else incoming
+    """Add records once; what is kept out comes back as (observation_id, reason).
+
+    ``no_id``: rows without an id. ``no_evidence``: rows without evidence, where there is such a column. ``conflict``: ids that come with other content than
+    the stored one, or with two contents. The store is scanned once, for the digests of the incoming ids. Appending the same
+    rows again, also after a run that died while writing, adds nothing twice.
+    """
+    lacks = F.when(F.col(ID).isNull(), "no_id")
+    if "evidence" in incoming.columns:
+        lacks = lacks.when(F.col("evidence").isNull(), "no_evidence")
+    bare, incoming = incoming.select(ID, lacks.alias("reason")).filter("reason is not null"), incoming.filter(lacks.isNull())
+    arrived = durable(incoming.select(ID, digest(incoming).alias("digest")).distinct())
     try:
-        existing = spark.read.parquet(path).select(ready.columns)
-    except Exception as error:  # the store does not exist yet
-        if "PATH_NOT_FOUND" not in str(error):
+        existing = spark.read.parquet(path).select(incoming.columns)
+    except AnalysisException as error:  # the store does not exist yet
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        existing = ready.limit(0)
-    clash = conflicts(ready, existing)
-    fresh = new_records(ready.join(clash, ID, "left_anti"), existing)
+        existing = spark.createDataFrame([], incoming.schema)
+    held = durable(existing.select(ID, digest(existing).alias("digest")).join(arrived.select(ID).distinct(), ID, "left_semi"))
+    clash = durable(arrived.unionByName(held).groupBy(ID).agg(F.count_distinct("digest").alias("contents")).filter(
+        "contents > 1").select(ID))
+    fresh = incoming.join(clash.unionByName(held.select(ID)), ID, "left_anti").dropDuplicates([ID])
     with_date(fresh).repartition("event_date", F.pmod(F.xxhash64(ID), F.lit(32))).sortWithinPartitions(
         "category", "source_id", "timestamp_ms").write.mode("append").partitionBy("event_date").parquet(path)
-    return clash
+    return clash.withColumn("reason", F.lit("conflict")).unionByName(bare)
 
 
 def flatten(records: DataFrame) -> tuple[DataFrame, DataFrame]:
