@@ -18,6 +18,8 @@ ORDER = ("timestamp_ms", "source_id", "observation_id")
 MAX_LIMIT = 1000
 MAX_LIST = 256
 MAX_ATTRIBUTES = 32
+#: Required attributes are broadcast up to so many rows.
+BROADCAST_REQUIRED = 100_000
 
 
 @dataclass(frozen=True)
@@ -103,10 +105,13 @@ def divide(attributes: DataFrame, required: DataFrame) -> DataFrame:
     """(query_id, observation_id) pairs where the record carries every (name, value) its query requires.
 
     ``attributes``: observation_id, name, value. ``required``: query_id, name, value. Relational division: count
-    matched pairs and compare with the number required.
+    matched pairs and compare with the number required. A pair that a third of the records carry is no task of its own: up to
+    ``BROADCAST_REQUIRED`` required pairs the attributes stay where they are, beyond that Spark splits the hot pairs of the join.
     """
     req = required.select("query_id", "name", "value").distinct()
     need = req.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
+    if req.limit(BROADCAST_REQUIRED + 1).count() <= BROADCAST_REQUIRED:
+        req = F.broadcast(req)
     have = attributes.select("observation_id", "name", "value").distinct()
     hits = have.join(req, ["name", "value"]).groupBy("query_id", "observation_id").agg(
         F.count(F.lit(1)).alias("have"))
