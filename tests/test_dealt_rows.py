@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from duskline.operators.detections import sampled_frames
 from duskline.operators.scale import map_sorted_groups
 from duskline.operators.trails import TrailConfig, plate_trails
 
@@ -46,3 +47,14 @@ def test_trails_of_rows_in_many_tasks(spark):
         seg.append((p, t, s, o))
     got = plate_trails(rows, None, cfg).select("plate_text", F.array_join(F.col("members.observation_id"), ",")).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 1_000
+
+
+def test_sampling_of_rows_in_many_tasks(spark):
+    rows = spread_rows(spark).withColumnRenamed("observation_id", "frame_id")
+    want, last = set(), {}
+    for s, t, f in sorted(map(tuple, rows.select("source_id", "timestamp_ms", "frame_id").collect())):
+        if s not in last or t - last[s] >= 1_000:
+            want.add((s, f, t))
+            last[s] = t
+    got = sampled_frames(rows, 1_000, ["source_id"], bucket_ms=400_000).select("source_id", "frame_id", "timestamp_ms").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 500
