@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 
-@pytest.mark.parametrize("name", ["class_metrics"])
+@pytest.mark.parametrize("name", ["class_metrics", "class_summary"])
 def test_a_pair_at_the_threshold(spark, tmp_path, name):
     # Scaled to the larger extents this overlap is 0.15, by plain areas it is 0.14999999999999994.
     con = duckdb.connect()
