@@ -11,11 +11,13 @@ checked. A record has each key once and a query is filed under one kind of key,
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import MAX_TIMESTAMP_MS, Checked, check, duplicates, without
-from .scale import rank_limit
+from ..session import durable
+from .scale import Columns, fold_sorted, once, rank_limit
 from .search import MAX_ATTRIBUTES, MAX_LIMIT, MAX_LIST, ORDER
 
 LISTS = {"source_ids": "source_id", "categories": "category", "track_ids": "track_id"}
@@ -23,6 +25,8 @@ LISTS = {"source_ids": "source_id", "categories": "category", "track_ids": "trac
 PREFIX = 16
 #: Filed queries are broadcast up to so many bytes (of their JSON form), mentioned keys up to so many; beyond, joins shuffle.
 BROADCAST_BYTES, BROADCAST_KEYS = 32 << 20, 200_000
+#: Combinations of listed values a query is filed under; records in a block, blocks of a key; steps of confidence.
+MANY, PER_BLOCK, MAX_BLOCKS, STEPS = 64, 32, 4096, 32
 
 
 def checked_queries(queries: DataFrame) -> Checked:
@@ -140,21 +144,157 @@ def _holds(q: str) -> Column:
         "attributes", lambda a: (a["name"] == w["name"]) & (a["value"] == w["value"]))) | (F.size(wanted) == 0), F.lit(False))
 
 
+def together(queries: DataFrame) -> DataFrame:
+    """Queries with ``_keys``, the keys of all their equal conditions at once, and ``_shape``, which conditions these are.
+
+    ``_keys`` is null where that is not exact or not worth it: more than ``MANY`` combinations of listed values, more than
+    two attributes, attributes with nulls, prefixes over ``PREFIX`` characters.
+    """
+    def with_each(values: Column):
+        return lambda k: F.transform(values, lambda x: F.xxhash64(k, x))
+
+    listed = {n: F.coalesce(F.array_size(n), F.lit(0)) > 0 for n in LISTS}
+    plate, prefix = F.col("plate_text"), F.col("plate_prefix")
+    wanted = F.coalesce("attributes", F.array().cast(queries.schema["attributes"].dataType))
+    df = queries.withColumn("_attrs", F.array_sort(F.array_distinct(F.transform(wanted, lambda a: F.xxhash64(a["name"], a["value"])))))
+    shape = F.struct(*[listed[n].alias(c) for n, c in LISTS.items()],
+                     F.when(plate.isNotNull(), -1).otherwise(F.coalesce(F.length(prefix), F.lit(0))).alias("plate"), F.size("_attrs").alias("attributes"))
+    df = once(df.withColumn("_shape", shape), {"_keys": F.array(F.xxhash64(F.col("_shape").cast("string")))})
+    size = F.lit(1)
+    for name in LISTS:
+        values = F.array_distinct(F.array_compact(name))
+        size = size * F.when(listed[name], F.size(values)).otherwise(1)
+        df = df.withColumn("_keys", F.when(listed[name], F.flatten(F.transform("_keys", with_each(values)))).otherwise(F.col("_keys")))
+    text = F.coalesce(plate, prefix)
+    df = df.withColumn("_keys", F.when((F.col("_shape.plate") != 0), F.transform("_keys", lambda k: F.xxhash64(k, text))).otherwise(F.col("_keys")))
+    for i in (0, 1):
+        df = df.withColumn("_keys", F.when(F.size("_attrs") > i, F.transform("_keys", lambda k: F.xxhash64(k, F.get("_attrs", F.lit(i))))
+                                           ).otherwise(F.col("_keys")))
+    known = F.forall(wanted, lambda a: a["name"].isNotNull() & a["value"].isNotNull())
+    exact = known & (size <= MANY) & (F.size("_attrs") <= 2) & (F.col("_shape.plate") <= PREFIX)
+    return df.withColumn("_keys", F.when(exact, F.col("_keys"))).drop("_attrs")
+
+
+def postings(records: DataFrame, shapes: list) -> DataFrame:
+    """Every record under its keys in every shape: ``_keys`` of a query names just the records that meet its equal conditions."""
+    shape = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in z.asDict().items()]) for z in shapes]))
+    held = F.filter(F.coalesce("attributes", F.array()), lambda a: a["name"].isNotNull() & a["value"].isNotNull())
+    df = once(records, {"_attrs": F.array_sort(F.array_distinct(F.transform(held, lambda a: F.xxhash64(a["name"], a["value"]))))})
+    df = df.withColumn("_z", shape)
+    z = lambda n: F.col(f"_z.{n}")
+    fits = (z("plate") == 0) | F.coalesce(F.length("plate_text") >= z("plate"), F.lit(False))
+    key = F.xxhash64(F.col("_z").cast("string"))
+    for column in LISTS.values():
+        fits = fits & (~z(column) | F.col(column).isNotNull())
+        key = F.when(z(column), F.xxhash64(key, F.col(column))).otherwise(key)
+    text = F.when(z("plate") < 0, F.col("plate_text")).otherwise(F.substring("plate_text", F.lit(1), z("plate")))
+    key = F.when(z("plate") != 0, F.xxhash64(key, text)).otherwise(key)
+    df = once(df.filter(fits), {"_k": key})
+    pairs = F.flatten(F.transform("_attrs", lambda x, i: F.transform(
+        F.slice("_attrs", i + 2, F.size("_attrs")), lambda y: F.xxhash64(F.xxhash64(F.col("_k"), x), y))))
+    each = F.when(z("attributes") == 0, F.array("_k")).when(
+        z("attributes") == 1, F.transform("_attrs", lambda x: F.xxhash64(F.col("_k"), x))).otherwise(pairs)
+    return df.withColumn("_key", F.explode(each)).drop("_z", "_k", "_attrs")
+
+
+def stretches(posts: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(posts with their ``_block`` of time, query_id/key/block): the blocks in which a query's first rows surely lie.
+
+    A key's records lie in blocks of about ``PER_BLOCK`` records, ``MAX_BLOCKS`` at most. They are counted by blocks and steps of
+    confidence, so it is known after how many blocks ``max_rows`` hits are certain; later blocks cannot hold an earlier hit.
+    """
+    keys = posts.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("timestamp_ms").alias("_lo"), F.max("timestamp_ms").alias("_hi"))
+    parts = F.least(F.greatest(F.floor(F.col("_n") / PER_BLOCK), F.lit(1)), F.lit(MAX_BLOCKS))
+    keys = durable(keys.select("_key", F.coalesce("_lo", F.lit(0)).alias("_lo"), F.length(F.bin(F.floor(F.coalesce(
+        F.col("_hi") - F.col("_lo"), F.lit(0)) / parts))).alias("_level")))
+    few = keys.count() <= BROADCAST_KEYS
+    near = F.broadcast(keys) if few else keys
+    block = F.coalesce(_block(F.col("timestamp_ms") - F.col("_lo"), F.col("_level")), F.lit(-1))
+    placed = posts.join(near, "_key").withColumn("_block", block).drop("_lo", "_level")
+    step = F.coalesce(F.floor(F.least(F.greatest("confidence", F.lit(0.0)) * STEPS, F.lit(float(STEPS)))) + 1, F.lit(0))
+    counted = placed.groupBy("_key", "_block", step.alias("_step")).agg(F.count(F.lit(1)).alias("_n")).selectExpr(
+        "_key", "0 _turn", "_block", "cast(_step as long) _step", "_n", "cast(0 as long) _to", "cast(0 as long) _sure", "'' query_id")
+    start, end, least = F.col("start_ms"), F.col("end_ms"), F.coalesce("min_confidence", F.lit(0.0)) * STEPS
+    asking = queries.select("*", F.explode("_keys").alias("_key")).join(near, "_key").select(
+        "_key", F.lit(1).alias("_turn"),
+        F.when(start.isNotNull(), F.greatest(_block(start - F.col("_lo"), F.col("_level")), F.lit(0))).when(end.isNotNull(), 0).otherwise(
+            -1).cast("long").alias("_block"),
+        # Steps in which some rows, and those in which all rows, are confident enough.
+        F.when(least > 0, F.floor(F.least(least, F.lit(STEPS))) + 1).otherwise(0).cast("long").alias("_step"),
+        F.col("max_rows").cast("long").alias("_n"),
+        F.coalesce(_block(end - F.col("_lo"), F.col("_level")), F.lit((1 << 62))).alias("_to"),
+        (F.when(least > 0, F.ceil(F.least(least, F.lit(STEPS + 1))) + 1).otherwise(0) * 2
+         + F.coalesce(start > F.col("_lo"), F.lit(False)).cast("long")).cast("long").alias("_sure"), "query_id")
+
+    def take(state: dict, c: Columns) -> Columns | None:
+        n = int(np.searchsorted(c["_turn"], 1))
+        if n:
+            state.setdefault("rows", []).append([c[x][:n] for x in ("_block", "_step", "_n")])
+        if n == len(c["_turn"]):
+            return None
+        if "blocks" not in state:
+            at, step, count = (np.concatenate(x) for x in zip(*state.pop("rows")))
+            state["blocks"], place = np.unique(at, return_inverse=True)
+            table = np.zeros((STEPS + 3, len(state["blocks"]) + 1), dtype=np.int64)
+            np.add.at(table, (step, place + 1), count)
+            state["held"] = np.cumsum(np.cumsum(table[::-1], axis=0)[::-1], axis=1)  # steps from one on, blocks before one
+        blocks, held = state["blocks"], state["held"]
+        got_query, got_block = [], []
+        for at, step, most, to, sure, name in zip(*(c[x][n:].tolist() for x in ("_block", "_step", "_n", "_to", "_sure", "query_id"))):
+            first, end = np.searchsorted(blocks, at), np.searchsorted(blocks, to, "right")
+            if first >= end:
+                continue
+            whole = first + (sure % 2 and blocks[first] == at)  # the window may begin inside its first block
+            certain = held[sure // 2]
+            end = min(end, np.searchsorted(certain, certain[whole] + most))
+            some = first + np.flatnonzero(np.diff(held[step][first:end + 1]))
+            got_query += [name] * len(some)
+            got_block += blocks[some].tolist()
+        return {"_key": np.full(len(got_block), c["_key"][0]), "_block": got_block, "query_id": got_query}
+
+    asked = fold_sorted(counted.unionByName(asking), ["_key"], ["_turn", "_block"], dict, take, lambda state: None,
+                        "_key long, _block long, query_id string")
+    return placed, asked
+
+
 def search_table(records: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, rank and the record, for the first ``max_rows`` records of every query in order of time, source and id.
 
-    ``queries`` come from ``checked_queries(...).clean``. Records are not shuffled while the filed queries fit a broadcast;
-    beyond that they meet in a join on the key, whose hot keys Spark splits. Each task keeps ``MAX_LIMIT`` rows of a query
-    before rows move.
+    Queries are filed under all their equal conditions at once and under the stretches of time in which their first rows
+    surely lie, so broad queries meet few records more than they return. Those that cannot be (``together``) are filed under
+    the condition that the fewest records meet.
     """
     names = ["query_id", "start_ms", "end_ms", *LISTS, "plate_text", "plate_prefix", "attributes", "min_confidence", "max_rows"]
-    queries = queries.select(*names)
+    queries = durable(together(queries.select(*names)))
+    plain = queries.filter("_keys is null").select(*names)
+    rest = met_by_condition(records, plain, names) if plain.limit(1).count() else None
+    joint = queries.filter("_keys is not null")
+    shapes = [r["_shape"] for r in joint.select("_shape").distinct().collect()]  # kinds of conditions: 432 at most
+    if not shapes:
+        return rest if rest is not None else met_by_condition(records, plain, names)
+    asked_keys = joint.select(F.explode("_keys").alias("_key")).distinct()
+    if asked_keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        asked_keys = F.broadcast(asked_keys)
+    placed, stretch = stretches(postings(records, shapes).join(asked_keys, "_key", "left_semi"), joint)
+    side = stretch.join(joint.select("query_id", F.struct(*names).alias("_q")), "query_id").drop("query_id")
+    met = placed.join(side, ["_key", "_block"]).drop("_key", "_block")
+    found = first_rows(met)
+    return found if rest is None else found.unionByName(rest)
+
+
+def first_rows(met: DataFrame) -> DataFrame:
+    hits = met.filter(_holds("_q")).withColumn("query_id", F.col("_q.query_id")).withColumn("_most", F.col("_q.max_rows"))
+    ranked = rank_limit(hits.drop("_q"), ["query_id"], [F.col(c) for c in ORDER], MAX_LIMIT)
+    return ranked.filter(F.col("rank") <= F.col("_most")).drop("_most")
+
+
+def met_by_condition(records: DataFrame, queries: DataFrame, names: list[str]) -> DataFrame:
+    """Records are not shuffled while the filed queries fit a broadcast; beyond that they meet in a join on the key, whose hot
+    keys Spark splits. Each task keeps ``MAX_LIMIT`` rows of a query before rows move."""
     side = filed(records, queries).join(queries, "query_id").select(
         F.col("kind").alias("_kind"), F.col("key").alias("_key"), F.struct(*names).alias("_q"))
     size = side.select(F.sum(F.length(F.to_json("_q")) + 32)).first()[0] or 0
     kinds = [r["_kind"] for r in side.select("_kind").distinct().collect()]
     met = records.withColumn("_k", F.explode(record_keys(kinds))).join(
         F.broadcast(side) if size <= BROADCAST_BYTES else side, (F.col("_k.key") == F.col("_key")) & (F.col("_k.kind") == F.col("_kind")))
-    hits = met.filter(_holds("_q")).withColumn("query_id", F.col("_q.query_id")).withColumn("_most", F.col("_q.max_rows"))
-    ranked = rank_limit(hits.drop("_k", "_key", "_kind", "_q"), ["query_id"], [F.col(c) for c in ORDER], MAX_LIMIT)
-    return ranked.filter(F.col("rank") <= F.col("_most")).drop("_most")
+    return first_rows(met.drop("_k", "_key", "_kind"))
