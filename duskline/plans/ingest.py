@@ -155,8 +155,8 @@ select observation_id, 'ordinal_holes' as problem from a2 group by 1 having min(
 select observation_id, 'orphan_attribute' from (select distinct observation_id from a2) anti join r using (observation_id) union all
 select distinct observation_id, 'text_not_canonical' from a2 where v like '%  %'"""))
 def store_audit(spark, sf):
-    r, a = store.flatten(sq.records(spark, sf))
-    a = a.join(r.select("observation_id", "timestamp_ms"), "observation_id").withColumns({
+    r, a = store.flatten(sq.records(spark, sf), ["timestamp_ms"])
+    a = a.withColumns({
         "ordinal": F.when((F.col("timestamp_ms") % 50 == 1) & (F.col("ordinal") == 1), 2).otherwise(F.col("ordinal")),
         "value": F.when(F.col("timestamp_ms") % 40 == 3, F.concat("value", F.lit("  x"))).otherwise(F.col("value"))})
     return store.audit(r.filter("timestamp_ms % 60 <> 5"), a.drop("timestamp_ms"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +59,12 @@ def append(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
     return clash.withColumn("reason", F.lit("conflict")).unionByName(bare)
 
 
-def flatten(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The relational form: records without attributes, and one row per attribute with a dense ordinal."""
-    attrs = records.select(ID, F.posexplode("attributes").alias("ordinal", "a")).select(ID, "ordinal", "a.*")
+def flatten(records: DataFrame, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The relational form: records without attributes, and one row per attribute with a dense ordinal.
+
+    ``carry``: columns of the record that its attributes keep, which spares a join.
+    """
+    attrs = records.select(ID, *carry, F.posexplode("attributes").alias("ordinal", "a")).select(ID, *carry, "ordinal", "a.*")
     return records.drop("attributes"), attrs
 
 
@@ -67,12 +72,19 @@ def audit(records: DataFrame, attributes: DataFrame, box: tuple[str, ...] = ("x_
     """(observation_id, problem): partial boxes, ordinals with holes, attributes without a record, loose text."""
     nulls = sum((F.col(c).isNull().cast("int") for c in box), F.lit(0)) if all(c in records.columns for c in box) else F.lit(0)
     partial = records.filter(nulls.between(1, 3)).select(ID, F.lit("partial_box").alias("problem"))
-    holes = attributes.groupBy(ID).agg(F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"),
-                                       F.count(F.lit(1)).alias("n"), F.count_distinct("ordinal").alias("d")).filter(
-        "lo <> 0 or hi <> n - 1 or d <> n").select(ID, F.lit("ordinal_holes").alias("problem"))
-    orphan = attributes.select(ID).distinct().join(records.select(ID), ID, "left_anti").select(
-        ID, F.lit("orphan_attribute").alias("problem"))
-    loose = attributes.filter(F.col("value") != F.trim(F.regexp_replace("value", "\\s+", " "))).select(
-        ID, F.lit("text_not_canonical").alias("problem")).distinct()
-    repeated = records.groupBy(ID).count().filter("count > 1").select(ID, F.lit("repeated_id").alias("problem"))
-    return partial.unionByName(holes).unionByName(orphan).unionByName(loose).unionByName(repeated)
+    # Ids hardly repeat within an input split, so rows are dealt out first: counting them before that would hold a split's ids.
+    # Distinct ordinals are bits of 64 at a time.
+    rows = attributes.select(ID, F.col("ordinal").cast("long").alias("ordinal"),
+                             (F.col("value") != F.trim(F.regexp_replace("value", "\\s+", " "))).alias("loose")).repartition(ID)
+    words = rows.groupBy(ID, F.shiftright("ordinal", 6).alias("word")).agg(
+        F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"), F.count(F.lit(1)).alias("n"), F.max("loose").alias("loose"),
+        F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(ordinal & 63 as int))"))).cast("long").alias("d"))
+    per = words.groupBy(ID).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.sum("d").alias("d"),
+                                F.max("loose").alias("loose"))
+    held = records.select(ID).repartition(ID).groupBy(ID).agg(F.count(F.lit(1)).alias("times"))
+    both = per.join(held, ID, "full")
+    problems = F.array_compact(F.array(
+        F.when((F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1) | (F.col("d") != F.col("n")), "ordinal_holes"),
+        F.when(F.col("times").isNull(), "orphan_attribute"), F.when(F.col("loose"), "text_not_canonical"),
+        F.when(F.col("times") > 1, "repeated_id")))
+    return partial.unionByName(both.select(ID, F.explode(problems).alias("problem")))
