@@ -16,9 +16,11 @@ WINDOW_SEGMENTS, MAX_WINDOW_SECONDS = 3, 35.0
 
 def camera_problems(catalogue: DataFrame, wanted: DataFrame) -> DataFrame:
     """Wanted cameras (index, name) that are not listed exactly once and in service."""
-    hit = catalogue.join(wanted.select("index", F.col("name").alias("_want")), "index").groupBy("index").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and((F.col("in_service") == "true") & (F.col("name") == F.col("_want"))).alias("ok"))
-    return wanted.join(hit, "index", "left").filter(~F.coalesce((F.col("n") == 1) & F.col("ok"), F.lit(False))).select("index")
+    # What is listed is counted before it meets what is wanted; the name and state kept are those of an index listed once.
+    listed = catalogue.groupBy("index").agg(
+        F.count(F.lit(1)).alias("n"), F.min("name").alias("_name"), F.min("in_service").alias("_state"))
+    good = (F.col("n") == 1) & (F.col("_state") == "true") & (F.col("_name") == F.col("name"))
+    return wanted.select("index", "name").join(listed, "index", "left").filter(~F.coalesce(good, F.lit(False))).select("index")
 
 
 def window_checks(segments: DataFrame, key: Sequence[str] = ("camera", "window_id")) -> DataFrame:
