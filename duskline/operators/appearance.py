@@ -18,6 +18,8 @@ GROUP = ("category", "kind", "dims")
 # The refused categories and the rounding tolerance of L1-normalised descriptors.
 REFUSED = ("face", "license_plate")
 TOLERANCE = 1e-9
+#: Probes that meet a block of candidates at once.
+PROBES = 16
 
 
 def admissible(desc: DataFrame) -> DataFrame:
@@ -30,6 +32,25 @@ def admissible(desc: DataFrame) -> DataFrame:
     return df.filter(ok).withColumn("dims", F.size("vals"))
 
 
+def similarities(probes: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Intersections of all probes (a row each) with all candidates (a column each), summed dimension by dimension."""
+    out = np.zeros((len(probes), columns.shape[1]))
+    least = np.empty_like(out)
+    for values, column in zip(probes.T, columns):
+        np.minimum(values[:, None], column, out=least)
+        out += least
+    out[(out > 1.0) & (np.abs(out - 1.0) <= TOLERANCE)] = 1.0
+    return out
+
+
+def first_of(values: np.ndarray, limit: int | None) -> np.ndarray:
+    """Places of the largest values in falling order, equal ones as they stand; all without a limit."""
+    if limit is None or len(values) <= limit:
+        return np.argsort(-values, kind="stable")
+    few = np.flatnonzero(values >= np.partition(values, len(values) - limit)[len(values) - limit])
+    return few[np.argsort(-values[few], kind="stable")[:limit]]
+
+
 def _blocks(side: DataFrame, rows: int, out: str) -> DataFrame:
     return side.groupBy(*GROUP).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(out))
 
@@ -63,6 +84,10 @@ def rank_similarity(probes: DataFrame, candidates: DataFrame, min_similarity: fl
     cb = cb.select(*[F.col(k).alias("r" + k) for k in keys], *[c for c in cb.columns if c not in keys])
     cb = cb.select(*[F.col(c).alias(c if c.startswith("r") else "c_" + c) for c in cb.columns])
 
+    # A number of its own: block pairs are few bytes and much work, and adaptive execution would put them all into one task.
+    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pb, cb = pb.repartition(tasks, *keys), cb.repartition(tasks, *["r" + k for k in keys])
+
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ("probe_id", "candidate_id", "similarity", "timestamp_ms", "source_id", "hit")
         out: list[list[np.ndarray]] = [[np.empty(0, dtype=t)] for t in (object, object, float, np.int64, object, bool)]
@@ -72,19 +97,20 @@ def rank_similarity(probes: DataFrame, candidates: DataFrame, min_similarity: fl
             ids, sources = (right[c].to_numpy(dtype=object) for c in ("c_observation_id", "c_source_id"))
             times = right["c_timestamp_ms"].to_numpy()
             marks = right["c_mark"].to_numpy()
-            for row, pid, own in zip(left["vals"], left["observation_id"], left["mark"]):
-                acc = np.zeros(len(ids))
-                for value, column in zip(row, dims):
-                    acc += np.minimum(value, column)
-                acc = np.where((acc > 1.0) & (np.abs(acc - 1.0) <= TOLERANCE), 1.0, acc)
-                keep = np.flatnonzero(((acc >= min_similarity) | (np.abs(acc - min_similarity) <= TOLERANCE)) & (ids != pid))
-                best = keep[np.argsort(-acc[keep], kind="stable")]
-                hit = marks[best] == own
-                last = (hit.argmax() + 1 if hit.any() else len(hit)) if until else 0
-                best, hit = best[:max(limit, last)], hit[:max(limit, last)]
-                found = (np.full(len(best), pid, dtype=object), ids[best], acc[best], times[best], sources[best], hit)
-                for column, part in zip(out, found):
-                    column.append(part)
+            wanted = None if until else limit
+            rows = zip(left["observation_id"], left["mark"])
+            for at in range(0, len(left), PROBES):
+                every = similarities(np.stack(left["vals"].iloc[at:at + PROBES].to_numpy()), dims)
+                enough = (every >= min_similarity) | (np.abs(every - min_similarity) <= TOLERANCE)
+                for acc, good, (pid, own) in zip(every, enough, rows):
+                    keep = np.flatnonzero(good & (ids != pid))
+                    best = keep[first_of(acc[keep], wanted)]
+                    hit = marks[best] == own
+                    last = (hit.argmax() + 1 if hit.any() else len(hit)) if until else 0
+                    best, hit = best[:max(limit, last)], hit[:max(limit, last)]
+                    found = (np.full(len(best), pid, dtype=object), ids[best], acc[best], times[best], sources[best], hit)
+                    for column, part in zip(out, found):
+                        column.append(part)
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, out)})
 
     pairs = pb.groupBy(*keys).cogroup(cb.groupBy(*["r" + k for k in keys])).applyInPandas(

@@ -7,6 +7,9 @@ input. ``cte(names, body)`` puts the SQL form of the views in front of a check q
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.scale import once
 
 D = "cast({} as double)".format
 
@@ -118,9 +121,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             "vec_id", "concat('v', vec_id) observation_id", "concat('cam-', vec_id % 4) source_id",
             "vec_id * 1000 timestamp_ms", "concat('class-', label) category",
             "transform(embedding, x -> abs(cast(x as double))) a")
-        return base.selectExpr(
-            "vec_id", "observation_id", "source_id", "timestamp_ms", "category",
-            "transform(a, x -> x / aggregate(a, cast(0 as double), (s, v) -> s + v)) vals")
+        # The sum once a row, not once an entry.
+        summed = once(base, {"total": F.expr("aggregate(a, cast(0 as double), (s, v) -> s + v)")})
+        return summed.selectExpr(
+            "vec_id", "observation_id", "source_id", "timestamp_ms", "category", "transform(a, x -> x / total) vals")
     source, ms, cols, where = _VIEWS[name]
     stamp = f"unix_millis(cast({ms} as timestamp))"
     df = table(spark, sf_dir, source)
