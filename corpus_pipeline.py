@@ -45,7 +45,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c != "text"}
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        *[F.col(c).alias(n) for c, n in names.items()])
-    done = pieces.decode(pieces.encode(rows, model), model)
+    done = pieces.there_and_back(rows, model)
 
     def free(name: str) -> str:
         return name if name not in docs.columns else free(name + "_")

@@ -325,13 +325,30 @@ def decode(rows: DataFrame, model: bytes, tokens: str = "tokens", out: str = "de
     return rows.mapInArrow(run, widened(rows.schema, {out: StringType()}))
 
 
+def there_and_back(docs: DataFrame, model: bytes, text: str = "text", out: str = "tokens", back: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: a task then has one Python worker with the model and its words, not two, and
+    workers keep them for as long as they live."""
+    shared = _Shared(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unigram = _model(shared)
+        for batch in _few(batches):
+            ids = unigram.encode([t or "" for t in batch.column(text).to_pylist()])
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+            texts = pa.array([unigram.decode(x.tolist()) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), values), texts],
+                                             names=[*batch.schema.names, out, back])
+
+    return docs.mapInArrow(run, widened(docs.schema, {out: ArrayType(IntegerType()), back: StringType()}))
+
+
 def tokenise(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, n_chars, n_tokens, tokens_sha256 (of the comma-joined ids) and round_trip for every whole text.
 
     ``round_trip``: the decoded ids give the text back, its markers read as spaces.
     """
-    there = encode(docs.select("doc_id", filled("text").alias("text")), model)
-    back = decode(there, model)
+    back = there_and_back(docs.select("doc_id", filled("text").alias("text")), model)
     return back.select("doc_id", F.length("text").cast("long").alias("n_chars"),
                        F.size("tokens").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256).alias("tokens_sha256"),
