@@ -41,11 +41,16 @@ def stub_model() -> PredictFn:
     return run
 
 
-def histograms(frames: DataFrame, key: Sequence[str] = ("observation_id",)) -> tuple[DataFrame, DataFrame]:
+#: Bytes of pixels of a box that travel to Python in one row, so a batch of rows is small however large the boxes are.
+PIECE = 4_096
+
+
+def histograms(frames: DataFrame, key: Sequence[str] = ("observation_id",), cells: int | None = 64) -> tuple[DataFrame, DataFrame]:
     """64-bin colour histograms of boxes in BGR24 frames: (descriptors, refusals).
 
     ``frames``: key, category, payload, width, height, stride_bytes, frame_sha256 and a normalised box. Refused: face
-    and plate categories, buffers of the wrong length or digest, and boxes that round to nothing.
+    and plate categories, buffers of the wrong length or digest, and boxes that round to nothing. ``cells``: pixels looked at
+    in a line and lines looked at, as in the descriptor model_free.color_histogram.v1; with None every pixel of a box counts.
     """
     key = list(key)
     left, top = F.floor(F.col("x_min") * F.col("width")), F.floor(F.col("y_min") * F.col("height"))
@@ -59,32 +64,58 @@ def histograms(frames: DataFrame, key: Sequence[str] = ("observation_id",)) -> t
     types = {f.name: f.dataType.simpleString() for f in frames.schema}
     schema = ", ".join([*[f"{k} {types[k]}" for k in key], "category string", "vals array<double>", "sample_count long"])
 
-    def cells(low: str, high: str) -> str:
-        n = f"least({high} - {low}, 64L)"
+    def looked_at(low: str, high: str) -> str:
+        n = f"least({high} - {low}, {cells}L)"
         return f"transform(sequence(0L, {n} - 1), i -> {low} + ((2 * i + 1) * ({high} - {low})) div (2 * {n}))"
 
-    # Only the pixels that are looked at travel to Python, not the frames.
-    pixel = "substring(payload, cast(y * stride_bytes + x * 3 + 1 as int), 3)"
-    pixels = F.expr(f"flatten(transform({cells('_t', '_b')}, y -> transform({cells('_l', '_r')}, x -> {pixel})))")
+    def run_of(pixels: str) -> str:
+        return f"substring(payload, cast(y * stride_bytes + x * 3 + 1 as int), cast(3 * ({pixels}) as int))"
+
+    # Only the pixels that are looked at travel to Python, not the frames: a box as pieces, each a list of runs of pixels.
+    if cells is None:
+        wide, area = f"least(_r - _l, {PIECE // 3}L)", "(_r - _l) * (_b - _t)"
+        tall = f"greatest({PIECE // 3}L div ({wide}), 1L)"
+        n = f"((_r - _l + {wide} - 1) div ({wide})) * ((_b - _t + {tall} - 1) div ({tall}))"
+        pieces = (f"flatten(transform(sequence(_t, _b - 1, {tall}), y0 -> transform(sequence(_l, _r - 1, {wide}), x -> "
+                  f"transform(sequence(y0, least(y0 + {tall}, _b) - 1), y -> {run_of(f'least({wide}, _r - x)')}))))")
+    else:
+        area = f"least(_r - _l, {cells}L) * least(_b - _t, {cells}L)"
+        n = "1L"
+        pieces = f"array(flatten(transform({looked_at('_t', '_b')}, y -> transform({looked_at('_l', '_r')}, x -> {run_of('1')}))))"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_box = np.zeros(64, dtype=np.int64)  # of the box whose last piece is still to come
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                got = batch.column("pixels")
-                sizes, flat = got.value_lengths().to_numpy().astype(np.int64), got.flatten()
+                got, area, last = batch.column("pixels"), batch.column("area").to_numpy(), batch.column("last").to_numpy(zero_copy_only=False)
+                runs, flat = got.value_lengths().to_numpy().astype(np.int64), got.flatten()
                 ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset:flat.offset + len(flat) + 1]
-                if (np.diff(ends) != 3).any():
+                sizes = np.diff(ends[np.concatenate([[0], np.cumsum(runs)])])
+                px = np.frombuffer(flat.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+                if (sizes % 3).any():
+                    raise ValueError("a box reaches out of its frame")
+                px = px.reshape(-1, 3) >> 6
+                box = np.cumsum(last) - last  # pieces of a box follow one another
+                done = np.flatnonzero(last)
+                counts = np.bincount(64 * np.repeat(box, sizes // 3) + 16 * px[:, 2] + 4 * px[:, 1] + px[:, 0],
+                                     minlength=64 * (len(done) + 1)).reshape(-1, 64)
+                counts[0] += open_box
+                open_box, counts = counts[len(done)], counts[:len(done)]
+                if not len(done):
+                    continue
+                if (counts.sum(axis=1) != area[done]).any():
                     raise ValueError("a box reaches out of its frame")
-                px = np.frombuffer(flat.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(-1, 3) >> 6
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                counts = np.bincount(64 * row + 16 * px[:, 2] + 4 * px[:, 1] + px[:, 0], minlength=64 * len(sizes))
-                vals = counts.reshape(-1, 64) / sizes[:, None]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * len(sizes) + 1, 64, dtype=np.int32)), pa.array(vals.ravel()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in key], batch.column("category"), lists, pa.array(sizes)],
+                vals = counts / area[done][:, None]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * len(done) + 1, 64, dtype=np.int32)), pa.array(vals.ravel()))
+                heads = batch.take(pa.array(done))
+                yield pa.RecordBatch.from_arrays([*[heads.column(k) for k in key], heads.column("category"), lists, heads.column("area")],
                                                  names=[*key, "category", "vals", "sample_count"])
 
-    good = tagged.filter("reason is null").select(*key, "category", pixels.alias("pixels"))
+    boxes = tagged.filter("reason is null").select(*key, "category", *[
+        F.expr(f"case when reason is null then {e} end").alias(x) for x, e in (("area", area), ("_n", n), ("_pieces", pieces))])
+    good = boxes.select(*key, "category", "area", "_n", F.posexplode_outer("_pieces").alias("_i", "pixels")).select(
+        *key, "category", "area", (F.col("_i") == F.col("_n") - 1).alias("last"), "pixels")
     return good.mapInArrow(run, schema), tagged.filter("reason is not null").select(*key, "reason")
 
 

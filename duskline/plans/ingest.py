@@ -539,7 +539,7 @@ def colour_histograms(spark, sf):
         F.concat(F.lit("d"), "doc_id").alias("observation_id"), F.lit("object").alias("category"), b.alias("payload"), F.length(b).alias("stride_bytes"),
         F.floor(F.length(b) / 3).cast("int").alias("width"), F.lit(1).alias("height"), F.sha2(b, 256).alias("frame_sha256"),
         F.lit(0.0).alias("x_min"), F.lit(0.0).alias("y_min"), F.lit(1.0).alias("x_max"), F.lit(1.0).alias("y_max"))
-    return inf.histograms(f)[0]
+    return inf.histograms(f, cells=None)[0]
 
 
 @query("frame_clock", cte("v_lanes", """
