@@ -11,7 +11,12 @@ checked. A record has each key once and a query is filed under one kind of key,
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import accumulate, combinations
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +32,10 @@ PREFIX = 16
 BROADCAST_BYTES, BROADCAST_KEYS = 32 << 20, 200_000
 #: Combinations of listed values a query is filed under; records in a block, blocks of a key; steps of confidence.
 MANY, PER_BLOCK, MAX_BLOCKS, STEPS = 64, 32, 4096, 32
+#: Up to so many records times shapes meet in a join; beyond, parts of so many records answer so many queries and give so many rows
+#: at once, counted in so many steps of confidence. Bins of time at first.
+JOINED = 1 << 20
+PART, ASKED, GIVEN, COARSE, BINS = 65_536, 32_768, 1 << 19, 8, 4096
 
 
 def checked_queries(queries: DataFrame) -> Checked:
@@ -144,14 +153,19 @@ def _holds(q: str) -> Column:
         "attributes", lambda a: (a["name"] == w["name"]) & (a["value"] == w["value"]))) | (F.size(wanted) == 0), F.lit(False))
 
 
+def _bit(column: str, value: Column) -> Column:
+    """What a value brings to a key: keys are exclusive ors of such hashes, so records and Python tasks make the same ones."""
+    return F.xxhash64(F.lit(column), value)
+
+
 def together(queries: DataFrame) -> DataFrame:
     """Queries with ``_keys``, the keys of all their equal conditions at once, and ``_shape``, which conditions these are.
 
     ``_keys`` is null where that is not exact or not worth it: more than ``MANY`` combinations of listed values, more than
-    two attributes, attributes with nulls, prefixes over ``PREFIX`` characters.
+    two attributes, attributes with nulls, prefixes that are empty or over ``PREFIX`` characters.
     """
-    def with_each(values: Column):
-        return lambda k: F.transform(values, lambda x: F.xxhash64(k, x))
+    def with_each(column: str, values: Column):
+        return lambda k: F.transform(values, lambda x: k.bitwiseXOR(_bit(column, x)))
 
     listed = {n: F.coalesce(F.array_size(n), F.lit(0)) > 0 for n in LISTS}
     plate, prefix = F.col("plate_text"), F.col("plate_prefix")
@@ -161,39 +175,43 @@ def together(queries: DataFrame) -> DataFrame:
                      F.when(plate.isNotNull(), -1).otherwise(F.coalesce(F.length(prefix), F.lit(0))).alias("plate"), F.size("_attrs").alias("attributes"))
     df = once(df.withColumn("_shape", shape), {"_keys": F.array(F.xxhash64(F.col("_shape").cast("string")))})
     size = F.lit(1)
-    for name in LISTS:
+    for name, column in LISTS.items():
         values = F.array_distinct(F.array_compact(name))
         size = size * F.when(listed[name], F.size(values)).otherwise(1)
-        df = df.withColumn("_keys", F.when(listed[name], F.flatten(F.transform("_keys", with_each(values)))).otherwise(F.col("_keys")))
-    text = F.coalesce(plate, prefix)
-    df = df.withColumn("_keys", F.when((F.col("_shape.plate") != 0), F.transform("_keys", lambda k: F.xxhash64(k, text))).otherwise(F.col("_keys")))
+        df = df.withColumn("_keys", F.when(listed[name], F.flatten(F.transform("_keys", with_each(column, values)))).otherwise(F.col("_keys")))
+    text = _bit("plate_text", F.coalesce(plate, prefix))
+    df = df.withColumn("_keys", F.when((F.col("_shape.plate") != 0), F.transform("_keys", lambda k: k.bitwiseXOR(text))).otherwise(F.col("_keys")))
     for i in (0, 1):
-        df = df.withColumn("_keys", F.when(F.size("_attrs") > i, F.transform("_keys", lambda k: F.xxhash64(k, F.get("_attrs", F.lit(i))))
+        df = df.withColumn("_keys", F.when(F.size("_attrs") > i, F.transform("_keys", lambda k: k.bitwiseXOR(F.get("_attrs", F.lit(i))))
                                            ).otherwise(F.col("_keys")))
-    known = F.forall(wanted, lambda a: a["name"].isNotNull() & a["value"].isNotNull())
+    known = F.forall(wanted, lambda a: a["name"].isNotNull() & a["value"].isNotNull()) & F.coalesce(prefix != "", F.lit(True))
     exact = known & (size <= MANY) & (F.size("_attrs") <= 2) & (F.col("_shape.plate") <= PREFIX)
     return df.withColumn("_keys", F.when(exact, F.col("_keys"))).drop("_attrs")
 
 
+def _held_attributes() -> Column:
+    held = F.filter(F.coalesce("attributes", F.array()), lambda a: a["name"].isNotNull() & a["value"].isNotNull())
+    return F.array_sort(F.array_distinct(F.transform(held, lambda a: F.xxhash64(a["name"], a["value"]))))
+
+
 def postings(records: DataFrame, shapes: list) -> DataFrame:
     """Every record under its keys in every shape: ``_keys`` of a query names just the records that meet its equal conditions."""
     shape = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in z.asDict().items()]) for z in shapes]))
-    held = F.filter(F.coalesce("attributes", F.array()), lambda a: a["name"].isNotNull() & a["value"].isNotNull())
-    df = once(records, {"_attrs": F.array_sort(F.array_distinct(F.transform(held, lambda a: F.xxhash64(a["name"], a["value"]))))})
+    df = once(records, {"_attrs": _held_attributes()})
     df = df.withColumn("_z", shape)
     z = lambda n: F.col(f"_z.{n}")
     fits = (z("plate") == 0) | F.coalesce(F.length("plate_text") >= z("plate"), F.lit(False))
     key = F.xxhash64(F.col("_z").cast("string"))
     for column in LISTS.values():
         fits = fits & (~z(column) | F.col(column).isNotNull())
-        key = F.when(z(column), F.xxhash64(key, F.col(column))).otherwise(key)
+        key = F.when(z(column), key.bitwiseXOR(_bit(column, F.col(column)))).otherwise(key)
     text = F.when(z("plate") < 0, F.col("plate_text")).otherwise(F.substring("plate_text", F.lit(1), z("plate")))
-    key = F.when(z("plate") != 0, F.xxhash64(key, text)).otherwise(key)
+    key = F.when(z("plate") != 0, key.bitwiseXOR(_bit("plate_text", text))).otherwise(key)
     df = once(df.filter(fits), {"_k": key})
     pairs = F.flatten(F.transform("_attrs", lambda x, i: F.transform(
-        F.slice("_attrs", i + 2, F.size("_attrs")), lambda y: F.xxhash64(F.xxhash64(F.col("_k"), x), y))))
+        F.slice("_attrs", i + 2, F.size("_attrs")), lambda y: F.col("_k").bitwiseXOR(x).bitwiseXOR(y))))
     each = F.when(z("attributes") == 0, F.array("_k")).when(
-        z("attributes") == 1, F.transform("_attrs", lambda x: F.xxhash64(F.col("_k"), x))).otherwise(pairs)
+        z("attributes") == 1, F.transform("_attrs", lambda x: F.col("_k").bitwiseXOR(x))).otherwise(pairs)
     return df.withColumn("_key", F.explode(each)).drop("_z", "_k", "_attrs")
 
 
@@ -211,20 +229,35 @@ def stretches(posts: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFram
     near = F.broadcast(keys) if few else keys
     block = F.coalesce(_block(F.col("timestamp_ms") - F.col("_lo"), F.col("_level")), F.lit(-1))
     placed = posts.join(near, "_key").withColumn("_block", block).drop("_lo", "_level")
-    step = F.coalesce(F.floor(F.least(F.greatest("confidence", F.lit(0.0)) * STEPS, F.lit(float(STEPS)))) + 1, F.lit(0))
-    counted = placed.groupBy("_key", "_block", step.alias("_step")).agg(F.count(F.lit(1)).alias("_n")).selectExpr(
-        "_key", "0 _turn", "_block", "cast(_step as long) _step", "_n", "cast(0 as long) _to", "cast(0 as long) _sure", "'' query_id")
-    start, end, least = F.col("start_ms"), F.col("end_ms"), F.coalesce("min_confidence", F.lit(0.0)) * STEPS
-    asking = queries.select("*", F.explode("_keys").alias("_key")).join(near, "_key").select(
+    counted = placed.groupBy("_key", "_block", _step(STEPS).alias("_step")).agg(F.count(F.lit(1)).alias("_n"))
+    start, end = F.col("start_ms"), F.col("end_ms")
+    asking = queries.select("*", F.explode("_keys").alias("_key")).join(near, "_key").withColumns({
+        "_from": F.greatest(_block(start - F.col("_lo"), F.col("_level")), F.lit(0)),
+        "_to": _block(end - F.col("_lo"), F.col("_level")), "_inside": start > F.col("_lo")})
+    return placed, needed(counted, asking, STEPS)
+
+
+def _step(steps: int) -> Column:
+    """The step of confidence of a record, 0 where it has none."""
+    return F.coalesce(F.floor(F.least(F.greatest("confidence", F.lit(0.0)) * steps, F.lit(float(steps)))) + 1, F.lit(0))
+
+
+def needed(counted: DataFrame, asking: DataFrame, steps: int, extra: Mapping[str, str] = {}) -> DataFrame:
+    """_key, _block, query_id and ``extra`` (columns and their types): the blocks in which the first ``max_rows`` rows of a query surely lie.
+
+    ``counted``: _key, _block, _step, _n. ``asking``: a row for every key of a query, with the blocks ``_from`` and ``_to`` that its
+    window reaches (null where it is open) and ``_inside``, whether it may begin inside the first; block -1 has the records without time."""
+    counted = counted.selectExpr("_key", "0 _turn", "_block", "cast(_step as long) _step", "_n", "cast(0 as long) _to", "cast(0 as long) _sure",
+                                 "'' query_id", *[f"cast(0 as {t}) {x}" for x, t in extra.items()])
+    start, end, least = F.col("start_ms"), F.col("end_ms"), F.coalesce("min_confidence", F.lit(0.0)) * steps
+    asking = asking.select(
         "_key", F.lit(1).alias("_turn"),
-        F.when(start.isNotNull(), F.greatest(_block(start - F.col("_lo"), F.col("_level")), F.lit(0))).when(end.isNotNull(), 0).otherwise(
-            -1).cast("long").alias("_block"),
+        F.when(start.isNotNull(), F.col("_from")).when(end.isNotNull(), 0).otherwise(-1).cast("long").alias("_block"),
         # Steps in which some rows, and those in which all rows, are confident enough.
-        F.when(least > 0, F.floor(F.least(least, F.lit(STEPS))) + 1).otherwise(0).cast("long").alias("_step"),
-        F.col("max_rows").cast("long").alias("_n"),
-        F.coalesce(_block(end - F.col("_lo"), F.col("_level")), F.lit((1 << 62))).alias("_to"),
-        (F.when(least > 0, F.ceil(F.least(least, F.lit(STEPS + 1))) + 1).otherwise(0) * 2
-         + F.coalesce(start > F.col("_lo"), F.lit(False)).cast("long")).cast("long").alias("_sure"), "query_id")
+        F.when(least > 0, F.floor(F.least(least, F.lit(steps))) + 1).otherwise(0).cast("long").alias("_step"),
+        F.col("max_rows").cast("long").alias("_n"), F.coalesce("_to", F.lit((1 << 62))).alias("_to"),
+        (F.when(least > 0, F.ceil(F.least(least, F.lit(steps + 1))) + 1).otherwise(0) * 2
+         + F.coalesce("_inside", F.lit(False)).cast("long")).cast("long").alias("_sure"), "query_id", *extra)
 
     def take(state: dict, c: Columns) -> Columns | None:
         n = int(np.searchsorted(c["_turn"], 1))
@@ -233,14 +266,16 @@ def stretches(posts: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFram
         if n == len(c["_turn"]):
             return None
         if "blocks" not in state:
+            if "rows" not in state:  # no record has the key
+                return None
             at, step, count = (np.concatenate(x) for x in zip(*state.pop("rows")))
             state["blocks"], place = np.unique(at, return_inverse=True)
-            table = np.zeros((STEPS + 3, len(state["blocks"]) + 1), dtype=np.int64)
+            table = np.zeros((steps + 3, len(state["blocks"]) + 1), dtype=np.int64)
             np.add.at(table, (step, place + 1), count)
             state["held"] = np.cumsum(np.cumsum(table[::-1], axis=0)[::-1], axis=1)  # steps from one on, blocks before one
         blocks, held = state["blocks"], state["held"]
-        got_query, got_block = [], []
-        for at, step, most, to, sure, name in zip(*(c[x][n:].tolist() for x in ("_block", "_step", "_n", "_to", "_sure", "query_id"))):
+        got_row, got_block = [], []
+        for row, (at, step, most, to, sure) in enumerate(zip(*(c[x][n:].tolist() for x in ("_block", "_step", "_n", "_to", "_sure")))):
             first, end = np.searchsorted(blocks, at), np.searchsorted(blocks, to, "right")
             if first >= end:
                 continue
@@ -248,44 +283,234 @@ def stretches(posts: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFram
             certain = held[sure // 2]
             end = min(end, np.searchsorted(certain, certain[whole] + most))
             some = first + np.flatnonzero(np.diff(held[step][first:end + 1]))
-            got_query += [name] * len(some)
+            got_row += [n + row] * len(some)
             got_block += blocks[some].tolist()
-        return {"_key": np.full(len(got_block), c["_key"][0]), "_block": got_block, "query_id": got_query}
+        return {"_key": np.full(len(got_block), c["_key"][0]), "_block": got_block, **{x: c[x][got_row] for x in ("query_id", *extra)}}
+
+    return fold_sorted(counted.unionByName(asking), ["_key"], ["_turn", "_block"], dict, take, lambda state: None,
+                       ", ".join(["_key long, _block long, query_id string", *[f"{x} {t}" for x, t in extra.items()]]))
+
+
+def _listed(values: Sequence[int]) -> Column:
+    """The numbers as one constant array."""
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<long>)")
 
-    asked = fold_sorted(counted.unionByName(asking), ["_key"], ["_turn", "_block"], dict, take, lambda state: None,
-                        "_key long, _block long, query_id string")
-    return placed, asked
 
+def timeline(records: DataFrame, part: int) -> tuple[Callable[[Column], Column], list[int]]:
+    """(the slice of a time, the parts of every slice): slices of about ``part`` records that follow one another, from 0 on.
 
-def search_table(records: DataFrame, queries: DataFrame) -> DataFrame:
+    Times are counted in bins, crowded bins once more in finer ones. What is still more than a part (one moment may hold any number
+    of records) has several parts. Records without a time are the last slice, number -1.
+    """
+    ts = F.col("timestamp_ms")
+    quantiles, missing = records.agg(F.percentile_approx(ts, [0.01, 0.99], 1000), F.count_if(ts.isNull())).first()
+    lo, hi = quantiles or (0, 0)
+    width = (hi - lo) // BINS + 1
+
+    def bin_of(t: Column, low: Column, wide: Column, n: Column) -> Column:
+        return F.greatest(F.least(F.floor((t - low) / wide).cast("long"), n - 1), F.lit(0).cast("long"))
+
+    def coarse(t: Column) -> Column:
+        return bin_of(t, F.lit(lo), F.lit(width), F.lit(BINS))
+
+    counts = dict(records.filter(ts.isNotNull()).groupBy(coarse(ts)).count().collect())
+    finer = [min(-(-8 * counts.get(b, 0) // part), width) or 1 for b in range(BINS)]
+    first = [0, *accumulate(finer)]
+
+    def fine(t: Column) -> Column:
+        b = coarse(t)
+        n = F.get(_listed(finer), b.cast("int"))
+        return F.get(_listed(first), b.cast("int")) + bin_of(t, F.lit(lo) + b * F.lit(width), F.ceil(F.lit(width) / n), n)
+
+    counts = dict(records.filter(ts.isNotNull()).groupBy(fine(ts)).count().collect())
+    slice_of, sizes = [], [0]
+    for b in range(first[-1]):
+        n = counts.get(b, 0)
+        if sizes[-1] and sizes[-1] + n > part:
+            sizes.append(0)
+        sizes[-1] += n
+        slice_of.append(len(sizes) - 1)
+    return (lambda t: F.when(t.isNotNull(), F.get(_listed(slice_of), fine(t).cast("int"))).otherwise(F.lit(-1).cast("long")),
+            [max(1, -(-n // part)) for n in (*sizes, missing)])
+
+
+def _plate(n: int) -> str:
+    return "_plate" if n < 0 else f"_plate{n}"
+
+
+def _values(table: pa.Table, plates: Sequence[int]) -> dict:
+    """What the records of a task bring to keys: for every condition hashes and where there are any, attributes as one list."""
+    out = {}
+    for name in (*[f"_{c}" for c in LISTS.values()], *map(_plate, plates)):
+        column = table.column(name)
+        out[name] = pc.fill_null(column, 0).to_numpy(), column.is_valid().to_numpy()
+    lists = table.column("_attrs").combine_chunks()
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    out["_attrs"] = lists.flatten().to_numpy(), np.cumsum(size) - size, size
+    return out
+
+
+def keys_in(values: dict, shape: dict, base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, positions of the records) in one shape, like ``postings``."""
+    attrs, begins, size = values["_attrs"]
+    key, fits = np.full(len(size), base), np.ones(len(size), dtype=bool)
+    for name in [*[f"_{c}" for c in LISTS.values() if shape[c]], *([_plate(shape["plate"])] if shape["plate"] else [])]:
+        key ^= values[name][0]
+        fits &= values[name][1]
+    for nth in combinations(range(int(size.max(initial=0))), shape["attributes"]):
+        at = np.flatnonzero(fits & (size > nth[-1]) if nth else fits)
+        yield np.bitwise_xor.reduce([key[at], *[attrs[begins[at] + i] for i in nth]]), at
+
+
+def search_slices(records: DataFrame, queries: DataFrame, give: Sequence[str]) -> DataFrame:
+    """query_id, _most and the columns ``give`` of the records that may be among a query's first rows, cut to ``max_rows`` a task.
+
+    Records travel once to be counted and once to be met, not once for every shape: a task has a part of a slice of time, finds its
+    records under the keys that are asked there and answers its share of the queries; where many ask, several tasks have the part.
+    Keys are 64-bit hashes of the equal conditions.
+    """
+    slice_of, parts = timeline(records, PART)
+    base = F.xxhash64(F.col("_shape").cast("string")).alias("base")
+    shapes = [(r["_shape"].asDict(), r["base"]) for r in queries.select("_shape", base).distinct().collect()]
+    plates = sorted({z["plate"] for z, _ in shapes} - {0})
+    hashed = {f"_{c}": F.when(F.col(c).isNotNull(), _bit(c, F.col(c))) for c in LISTS.values()}
+    for n in plates:
+        text = F.col("plate_text") if n < 0 else F.substring("plate_text", 1, n)
+        hashed[_plate(n)] = F.when(F.length("plate_text") >= n, _bit("plate_text", text))
+    hashed = [v.alias(n) for n, v in {**hashed, "_attrs": _held_attributes()}.items()]
+
+    def of_slice(values: Sequence[int]) -> Column:  # the last value is that of slice -1
+        at = F.when(F.col("_block") < 0, len(values) - 1).otherwise(F.col("_block"))
+        return F.get(_listed(values), at.cast("int"))
+
+    placed = records.withColumn("_block", slice_of(F.col("timestamp_ms")))
+    placed = placed.withColumn("_part", F.pmod(F.xxhash64("observation_id"), of_slice(parts)))
+
+    # The keys that are asked, by shape; tasks know them if they are few.
+    wanted = queries.select(base, F.explode("_keys").alias("_key")).distinct().limit(BROADCAST_KEYS + 1).toPandas()
+    told = {b: np.sort(g.to_numpy()) for b, g in wanted.groupby("base")["_key"]} if len(wanted) <= BROADCAST_KEYS else None
+    steps = COARSE + 3
+
+    def count(table: pa.Table) -> pa.Table:
+        values, step = _values(table, plates), table.column("_step").to_numpy()
+        found = [(np.zeros(0, np.int64),) * 3]
+        for shape, base in shapes:
+            if told is not None and base not in told:
+                continue
+            for key, at in keys_in(values, shape, base):
+                known = told[base] if told is not None else np.unique(key)
+                if not len(known):
+                    continue
+                place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                hit = known[place] == key
+                number = np.bincount(place[hit] * steps + step[at[hit]])
+                full = np.flatnonzero(number)
+                found.append((known[full // steps], full % steps, number[full]))
+        key, step, number = map(np.concatenate, zip(*found))
+        return pa.table({"_key": key, "_block": np.full(len(key), table.column("_block")[0].as_py()), "_step": step, "_n": number})
+
+    narrow = placed.select("_block", "_part", _step(COARSE).cast("long").alias("_step"), *hashed)
+    counted = narrow.groupBy("_block", "_part").applyInArrow(count, "_key long, _block long, _step long, _n long")
+    start, end = F.col("start_ms"), F.col("end_ms")
+    asking = queries.select("*", F.explode("_keys").alias("_key")).withColumns({
+        "_from": F.when(start.isNotNull(), slice_of(start)), "_to": F.when(end.isNotNull(), slice_of(end)), "_inside": start.isNotNull(),
+        "_start": F.coalesce(start, F.lit(-(1 << 62))), "_end": F.coalesce(end, F.lit(1 << 62)),
+        "_least": F.coalesce("min_confidence", F.lit(0.0)), "_most": F.col("max_rows").cast("long")})
+    visits = durable(needed(counted, asking, COARSE, {"_start": "long", "_end": "long", "_least": "double", "_most": "long"}))
+
+    tasks = [0] * len(parts)
+    for r in visits.groupBy("_block").agg(F.count(F.lit(1)).alias("n"), F.sum("_most").alias("rows")).collect():
+        tasks[r["_block"]] = max(-(-r["n"] // ASKED), -(-r["rows"] // GIVEN))
+    here = ["_block", "_part", "_task"]
+    kept = list(dict.fromkeys([*give, *ORDER, "confidence"]))
+    there = placed.withColumn("_tasks", of_slice(tasks)).filter("_tasks > 0").withColumn(
+        "_task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tasks") - 1))).select(*here, *kept, *hashed)
+    asked = visits.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), of_slice(parts) - 1))).withColumn(
+        "_task", F.pmod(F.xxhash64("query_id"), of_slice(tasks)))
+    types = dict(records.dtypes)
+    out = list(dict.fromkeys([*give, *ORDER]))
+
+    def answer(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ORDER], null_placement="at_start"))
+        ask, place = np.unique(asked.column("_key").to_numpy(), return_inverse=True)
+        maybe = np.zeros(1 << 20, dtype=bool)  # most keys are not asked here
+        maybe[ask.view(np.uint64) >> np.uint64(44)] = True
+        found = [(np.zeros(0, np.int64),) * 2]
+        values = _values(rows, plates) if len(ask) else None
+        for shape, base in shapes if len(ask) and rows.num_rows else ():
+            for key, at in keys_in(values, shape, base):
+                some = maybe[key.view(np.uint64) >> np.uint64(44)]
+                key, at = key[some], at[some]
+                which = np.minimum(np.searchsorted(ask, key), len(ask) - 1)
+                hit = ask[which] == key
+                found.append((which[hit], at[hit]))
+        which, at = map(np.concatenate, zip(*found))
+        order = np.lexsort((at, which))
+        which, at = which[order], at[order]
+        ends = np.searchsorted(which, np.arange(len(ask) + 1))
+        ts = pc.fill_null(rows.column("timestamp_ms"), 0).to_numpy()[at]
+        sure = rows.column("confidence").to_numpy()[at].astype(float)
+        # Null is never enough, what is not a number always.
+        sure = np.where(np.isnan(sure), np.where(rows.column("confidence").is_valid().to_numpy()[at], np.inf, -np.inf), sure)
+        got, sizes = [np.zeros(0, np.int64)], []
+        for k, start, end, least, most in zip(place.tolist(), *(asked.column(c).to_pylist() for c in ("_start", "_end", "_least", "_most"))):
+            a, b = ends[k], ends[k + 1]
+            a, b = a + np.searchsorted(ts[a:b], start), a + np.searchsorted(ts[a:b], end, "right")
+            if least <= 0:
+                one = [np.arange(a, min(b, a + most))]
+            else:
+                one, n = [], 0
+                while a < b and n < most:
+                    upto = min(b, a + 4 * most + 16)
+                    one.append(a + np.flatnonzero(sure[a:upto] >= least)[:most - n])
+                    n, a = n + len(one[-1]), upto
+            got += one
+            sizes.append(sum(map(len, one)))
+        chosen = rows.select(out).take(at[np.concatenate(got)])
+        who = asked.select(["query_id", "_most"]).take(np.repeat(np.arange(len(sizes)), sizes))
+        return pa.table([*who.columns, *chosen.columns], names=["query_id", "_most", *out])
+
+    schema = ", ".join(["query_id string, _most long", *[f"{c} {types[c]}" for c in out]])
+    return there.groupBy(*here).cogroup(asked.groupBy(*here)).applyInArrow(answer, schema)
+
+
+def search_table(records: DataFrame, queries: DataFrame, give: Sequence[str] | None = None) -> DataFrame:
     """query_id, rank and the record, for the first ``max_rows`` records of every query in order of time, source and id.
 
     Queries are filed under all their equal conditions at once and under the stretches of time in which their first rows
     surely lie, so broad queries meet few records more than they return. Those that cannot be (``together``) are filed under
-    the condition that the fewest records meet.
+    the condition that the fewest records meet. ``give``: the columns of the record that are wanted, by default all.
     """
     names = ["query_id", "start_ms", "end_ms", *LISTS, "plate_text", "plate_prefix", "attributes", "min_confidence", "max_rows"]
+    give = list(give or records.columns)
     queries = durable(together(queries.select(*names)))
     plain = queries.filter("_keys is null").select(*names)
-    rest = met_by_condition(records, plain, names) if plain.limit(1).count() else None
+    rest = met_by_condition(records, plain, names).select(*give, "query_id", "rank") if plain.limit(1).count() else None
     joint = queries.filter("_keys is not null")
     shapes = [r["_shape"] for r in joint.select("_shape").distinct().collect()]  # kinds of conditions: 432 at most
     if not shapes:
-        return rest if rest is not None else met_by_condition(records, plain, names)
-    asked_keys = joint.select(F.explode("_keys").alias("_key")).distinct()
-    if asked_keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        asked_keys = F.broadcast(asked_keys)
-    placed, stretch = stretches(postings(records, shapes).join(asked_keys, "_key", "left_semi"), joint)
-    side = stretch.join(joint.select("query_id", F.struct(*names).alias("_q")), "query_id").drop("query_id")
-    met = placed.join(side, ["_key", "_block"]).drop("_key", "_block")
-    found = first_rows(met)
+        return rest if rest is not None else met_by_condition(records, plain, names).select(*give, "query_id", "rank")
+    if records.count() * len(shapes) > JOINED:
+        found = ranked(search_slices(records, joint, give))
+    else:
+        asked_keys = joint.select(F.explode("_keys").alias("_key")).distinct()
+        if asked_keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+            asked_keys = F.broadcast(asked_keys)
+        placed, stretch = stretches(postings(records, shapes).join(asked_keys, "_key", "left_semi"), joint)
+        side = stretch.join(joint.select("query_id", F.struct(*names).alias("_q")), "query_id").drop("query_id")
+        found = first_rows(placed.join(side, ["_key", "_block"]).drop("_key", "_block"))
+    found = found.select(*give, "query_id", "rank")
     return found if rest is None else found.unionByName(rest)
 
 
 def first_rows(met: DataFrame) -> DataFrame:
     hits = met.filter(_holds("_q")).withColumn("query_id", F.col("_q.query_id")).withColumn("_most", F.col("_q.max_rows"))
-    ranked = rank_limit(hits.drop("_q"), ["query_id"], [F.col(c) for c in ORDER], MAX_LIMIT)
-    return ranked.filter(F.col("rank") <= F.col("_most")).drop("_most")
+    return ranked(hits.drop("_q"))
+
+
+def ranked(hits: DataFrame) -> DataFrame:
+    first = rank_limit(hits, ["query_id"], [F.col(c) for c in ORDER], MAX_LIMIT)
+    return first.filter(F.col("rank") <= F.col("_most")).drop("_most")
 
 
 def met_by_condition(records: DataFrame, queries: DataFrame, names: list[str]) -> DataFrame:

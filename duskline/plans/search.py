@@ -113,7 +113,7 @@ hits as (select q.query_id, q.max_rows, r.*, row_number() over (partition by q.q
 select query_id, rank, {_PICK} from hits where rank <= max_rows"""))
 def search_query_table(spark, sf):
     """A query per customer, answered in one run."""
-    out = query_table.search_table(records(spark, sf), query_table.checked_queries(asked(spark, sf)).clean)
+    out = query_table.search_table(records(spark, sf), query_table.checked_queries(asked(spark, sf)).clean, _PICK.split(", "))
     return out.selectExpr("query_id", "cast(rank as bigint) rank", *_PICK.split(", "))
 
 
